@@ -184,26 +184,6 @@ def expression_classify(
     ).select("event_id", "e.expression", "e.confidence", "e.mixed")
 
 
-def topic_window(text: Column, words: list[str], lexicon: Lexicon) -> Column:
-    """Neighbourhood of the first topic word, cut at the nearest contrast words."""
-    positions = [F.when(text.contains(w), F.instr(text, w) - 1) for w in words]
-    index = F.array_min(F.array(*positions))
-    start = F.greatest(F.lit(0), index - lexicon.before)
-    end = F.least(F.length(text), index + lexicon.after)
-    short, long = lexicon.contrast_short, lexicon.contrast_long
-    # Start of the last contrast word at or before the topic word.
-    head = F.substring(text, F.lit(1), index + len(short))
-    back = F.instr(F.reverse(head), short[::-1])
-    previous = F.when(back > 0, F.length(head) - back - len(short) + 1)
-    skip = F.when(
-        F.substring(text, previous + 1, F.lit(len(long))) == long, F.lit(len(long))
-    ).otherwise(F.lit(len(short)))
-    start = F.when(previous.isNotNull(), F.greatest(start, previous + skip)).otherwise(start)
-    following = F.locate(short, F.substring(text, index + 1, F.length(text))) - 1
-    end = F.when(following >= 0, F.least(end, index + following)).otherwise(end)
-    return F.when(index.isNull(), text).otherwise(F.substring(text, start + 1, end - start))
-
-
 def sentiment_of(text: Column, lexicon: Lexicon) -> Column:
     good, bad = contains_any(text, lexicon.positive), contains_any(text, lexicon.negative)
     return (
@@ -214,19 +194,69 @@ def sentiment_of(text: Column, lexicon: Lexicon) -> Column:
     )
 
 
+def with_sentiments(
+    df: DataFrame, keys_to_names: dict[str, str], lexicon: Lexicon, text: str = "normalized_text"
+) -> DataFrame:
+    """Adds the sentiment of each topic key column, null where the key is null.
+
+    A topic with located words is judged on their neighbourhood, cut at the nearest contrast words,
+    every other topic on the whole text. Built in steps so that positions are computed once.
+    """
+    t, short, long = F.col(text), lexicon.contrast_short, lexicon.contrast_long
+    at, head, prev, nxt, win = ({k: f"_{n}_{k}" for k in keys_to_names} for n in ("at", "head", "prev", "next", "win"))
+
+    def located(key: str) -> Column:
+        result = F.lit(None).cast("int")
+        for topic_keys, words in lexicon.topic_words:
+            places = F.array(*[F.nullif(F.instr(t, w), F.lit(0)) for w in words])
+            result = F.when(F.col(key).isin(topic_keys), F.array_min(places) - 1).otherwise(result)
+        return result
+
+    rows = df.withColumns({at[k]: located(k) for k in keys_to_names})
+    rows = rows.withColumns(
+        {
+            **{head[k]: F.substring(t, F.lit(1), F.col(at[k]) + len(short)) for k in keys_to_names},
+            **{
+                nxt[k]: F.nullif(F.locate(short, F.substring(t, F.col(at[k]) + 1, F.length(t))), F.lit(0)) - 1
+                for k in keys_to_names
+            },
+        }
+    )
+    rows = rows.withColumns(
+        {
+            prev[k]: F.length(head[k])
+            - F.nullif(F.instr(F.reverse(head[k]), short[::-1]), F.lit(0))
+            - len(short)
+            + 1
+            for k in keys_to_names
+        }
+    )
+
+    def window(k: str) -> Column:
+        a, p, n = F.col(at[k]), F.col(prev[k]), F.col(nxt[k])
+        skip = F.when(F.substring(t, p + 1, F.lit(len(long))) == long, F.lit(len(long))).otherwise(
+            F.lit(len(short))
+        )
+        start = F.greatest(F.lit(0), a - lexicon.before, p + skip)
+        end = F.least(F.length(t), a + lexicon.after, a + n)
+        return F.when(a.isNull(), t).otherwise(F.substring(t, start + 1, end - start))
+
+    rows = rows.withColumns({win[k]: window(k) for k in keys_to_names})
+    rows = rows.withColumns(
+        {
+            name: F.when(F.col(k).isNotNull(), sentiment_of(F.col(win[k]), lexicon))
+            for k, name in keys_to_names.items()
+        }
+    )
+    return rows.drop(*[names[k] for names in (at, head, prev, nxt, win) for k in keys_to_names])
+
+
 def topic_sentiment(events: DataFrame, labels: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    lexicon = lexicon or Lexicon()
     rows = labels.select("event_id", "canonical_key").join(
-        events.select("event_id", "normalized_text"), "event_id"
-    )
-    text, window = F.col("normalized_text"), F.col("normalized_text")
-    for keys, words in lexicon.topic_words:
-        window = F.when(
-            F.col("canonical_key").isin(keys), topic_window(text, words, lexicon)
-        ).otherwise(window)
-    return rows.filter(~is_blank(text)).select(
-        "event_id", "canonical_key", sentiment_of(window, lexicon).alias("sentiment")
+        events.select("event_id", "normalized_text").filter(~is_blank(F.col("normalized_text"))), "event_id"
     )
+    judged = with_sentiments(rows, {"canonical_key": "sentiment"}, lexicon or Lexicon())
+    return judged.select("event_id", "canonical_key", "sentiment")
 
 
 def issue_links(labels: DataFrame, sentiments: DataFrame) -> DataFrame:
@@ -281,6 +311,101 @@ def review_candidates(links: DataFrame, reasons: DataFrame) -> DataFrame:
     )
 
 
+def classify_events(
+    events: DataFrame,
+    topics: list[Rule] = TOPIC_RULES,
+    expressions: list[Rule] = EXPRESSION_RULES,
+    lexicon: Lexicon | None = None,
+    hit_order: str = "asc",
+) -> DataFrame:
+    """All labels of an event in one pass: topics with sentiment, expression, review reason.
+
+    No join and no shuffle: `labels` is an array of at most two topics per event, the general topic
+    where no rule matches. `normalized_text` must already be normalized.
+    """
+    rows = with_topic_candidates(events, topics, hit_order)
+    found = F.col("_topics")
+    none = F.size(found) == 0
+    key = lambda i: F.get(found, F.lit(i))["canonical_key"]
+    rows = rows.withColumns(
+        {
+            "_key1": F.when(none, F.lit(fixed.GENERAL_TOPIC)).otherwise(key(0)),
+            "_key2": key(1),
+            "_none": none,
+            "_tie": is_tied(found),
+            "reason": F.when(is_tied(found), F.lit("ambiguous_topics")).when(
+                F.size(found) > MAX_TOPICS, F.lit("too_many_topics")
+            ),
+        }
+    )
+    rows = with_sentiments(rows, {"_key1": "_s1", "_key2": "_s2"}, lexicon or Lexicon())
+    neutral = lambda c: F.when(is_blank(F.col("normalized_text")), F.lit("neutral")).otherwise(F.col(c))
+
+    def label(k: str, sentiment: str, rank: int, method: Column, confidence: Column) -> Column:
+        return F.struct(
+            F.col(k).alias("canonical_key"),
+            confidence.alias("confidence"),
+            method.alias("method"),
+            F.lit(rank).alias("rank"),
+            neutral(sentiment).alias("sentiment"),
+        )
+
+    first = label(
+        "_key1", "_s1", 1, F.when(F.col("_none"), F.lit("general")).otherwise(F.lit("rule")), F.lit(1.0)
+    )
+    tied = F.col("_tie")
+    second = label(
+        "_key2",
+        "_s2",
+        2,
+        F.when(tied, F.lit("ambiguous")).otherwise(F.lit("rule")),
+        F.when(tied, F.lit(0.5)).otherwise(F.lit(1.0)),
+    )
+    return rows.select(
+        *[F.col(c) for c in events.columns],
+        F.array_compact(F.array(first, F.when(F.col("_key2").isNotNull(), second))).alias("labels"),
+        "reason",
+        expression_columns(F.col("normalized_text"), expressions, hit_order).alias("_e"),
+    ).select(
+        *events.columns,
+        "labels",
+        "reason",
+        "_e.expression",
+        F.col("_e.confidence").alias("expression_confidence"),
+        "_e.mixed",
+    )
+
+
+def classified_links(classified: DataFrame) -> DataFrame:
+    """One row per event and label."""
+    kept = [c for c in ("ws", "event_id", "occurred_at", "source_kind") if c in classified.columns]
+    return classified.select(*kept, F.inline("labels"))
+
+
+def classified_reviews(classified: DataFrame) -> DataFrame:
+    """Review candidates of classified events: one event is one row, so nothing is shuffled."""
+    review = lambda code, x: F.struct(
+        code.alias("reason_code"),
+        x["canonical_key"].alias("suggested_key"),
+        x["sentiment"].alias("suggested_sentiment"),
+    )
+    first = F.get("labels", F.lit(0))
+    by_event = F.when(F.col("reason").isNotNull(), review(F.col("reason"), first))
+    by_link = F.transform(
+        "labels",
+        lambda x: F.when(x["sentiment"] == "mixed", review(F.lit("mixed_sentiment"), x)).when(
+            x["method"] == "ambiguous", review(F.lit("ambiguous_topics"), x)
+        ),
+    )
+    found = classified.withColumn("_r", F.array_compact(F.concat(F.array(by_event), by_link)))
+    once = F.filter(
+        "_r",
+        lambda x, i: F.array_position(F.transform("_r", lambda y: y["reason_code"]), x["reason_code"])
+        == i + 1,
+    )
+    return found.select("event_id", F.inline(once))
+
+
 def annotations(
     events: DataFrame,
     expressions: DataFrame,

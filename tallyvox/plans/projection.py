@@ -36,57 +36,6 @@ class RuleSet:
         )
 
 
-def classify_events(events: DataFrame, rules: RuleSet) -> DataFrame:
-    """All labels of an event in one projection: topics with sentiment, expression, review reason.
-
-    `events(ws, event_id, occurred_at, source_kind, normalized_text)`. No join, no shuffle.
-    """
-    rules = rules.filled()
-    text = analysis_normalize(F.col("normalized_text"), rules.synonyms)
-    rows = events.withColumn("normalized_text", text)
-    rows = cl.with_topic_candidates(rows, rules.topics, rules.hit_order)
-    found = F.col("_topics")
-    labels = cl.labels_of(found)
-    general = F.array(
-        F.struct(
-            F.lit(fixed.GENERAL_TOPIC).alias("canonical_key"),
-            F.lit(1.0).alias("confidence"),
-            F.lit("general").alias("method"),
-            F.lit(1).alias("rank"),
-        )
-    )
-    rows = rows.withColumns(
-        {
-            "labels": F.when(F.size(found) > 0, labels).otherwise(general),
-            "reason": F.when(cl.is_tied(found), F.lit("ambiguous_topics")).when(
-                F.size(found) > cl.MAX_TOPICS, F.lit("too_many_topics")
-            ),
-            "_expression": cl.expression_columns(
-                F.col("normalized_text"), rules.expressions, rules.hit_order
-            ),
-        }
-    )
-    return rows.select(
-        *[c for c in rows.columns if not c.startswith("_")],
-        "_expression.expression",
-        F.col("_expression.confidence").alias("expression_confidence"),
-        "_expression.mixed",
-    )
-
-
-def explode_links(classified: DataFrame, lexicon: cl.Lexicon) -> DataFrame:
-    """One row per event and label with its sentiment."""
-    rows = classified.select(
-        "ws", "event_id", "occurred_at", "source_kind", "normalized_text", F.inline("labels")
-    )
-    text, window = F.col("normalized_text"), F.col("normalized_text")
-    for keys, words in lexicon.topic_words:
-        window = F.when(
-            F.col("canonical_key").isin(keys), cl.topic_window(text, words, lexicon)
-        ).otherwise(window)
-    return rows.withColumn("sentiment", cl.sentiment_of(window, lexicon)).drop("normalized_text")
-
-
 def project(events: DataFrame, rules: RuleSet = RuleSet(), guards: Guards = Guards()) -> dict[str, DataFrame]:
     """Every derived table of a projection, from one pass over the texts.
 
@@ -94,8 +43,13 @@ def project(events: DataFrame, rules: RuleSet = RuleSet(), guards: Guards = Guar
     array, so links and buckets need no join back to the events.
     """
     rules = rules.filled()
-    classified = materialize(classify_events(events, rules))
-    links = explode_links(classified, rules.lexicon)
+    normalized = events.withColumn(
+        "normalized_text", analysis_normalize(F.col("normalized_text"), rules.synonyms)
+    )
+    classified = materialize(
+        cl.classify_events(normalized, rules.topics, rules.expressions, rules.lexicon, rules.hit_order)
+    )
+    links = cl.classified_links(classified)
     annotations = classified.select(
         "ws", "event_id", "occurred_at", "expression",
         F.col("expression_confidence").alias("confidence"), "mixed",
@@ -108,7 +62,7 @@ def project(events: DataFrame, rules: RuleSet = RuleSet(), guards: Guards = Guar
     return {
         "links": links,
         "annotations": annotations,
-        "review_candidates": cl.review_candidates(links, classified.select("event_id", "reason")),
+        "review_candidates": cl.classified_reviews(classified),
         "cells": cells_of(assigned, guards),
         "cell_issues": cell_issues(assigned, links),
         "issue_buckets": buckets,

@@ -57,8 +57,12 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [value or "" for value in first[0]]
 
 
-def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All-string scan with the file name and a sequence that grows in file order."""
+def read_feedback_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All-string scan with the file name and a sequence that grows in file order.
+
+    `multi_line` allows line breaks inside quoted cells; a file is then read by one task. Switch it
+    off for huge files without such breaks, which Spark then splits.
+    """
     names = validate_headers(_header(spark, path))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = (
@@ -66,6 +70,8 @@ def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("header", "true")
         .option("enforceSchema", "true")
         .option("encoding", "UTF-8")
+        .option("escape", '"')
+        .option("multiLine", str(multi_line).lower())
         .option("ignoreLeadingWhiteSpace", "true")
         .option("ignoreTrailingWhiteSpace", "true")
         .option("mode", "PERMISSIVE")

@@ -476,8 +476,12 @@ def _(spark, sf):
 
 
 CTES["t_full_links"] = """
-SELECT g.event_id, g.canonical_key, g.rank, g.method, g.confidence, coalesce(s.sentiment, 'neutral') AS sentiment
-FROM t_general g LEFT JOIN t_sentiments s USING (event_id, canonical_key)"""
+SELECT g.event_id, g.canonical_key, g.rank, g.method, g.confidence, coalesce(s.sentiment, w.whole, 'neutral') AS sentiment
+FROM t_general g LEFT JOIN t_sentiments s USING (event_id, canonical_key)
+LEFT JOIN (SELECT event_id, CASE WHEN {pos} AND {neg} THEN 'mixed' WHEN {pos} THEN 'positive' WHEN {neg} THEN 'negative' ELSE 'neutral' END AS whole
+           FROM t_texts WHERE trim(normalized_text) <> '') w ON w.event_id = g.event_id AND g.method = 'general'""".format(
+    pos=_any("normalized_text", LEXICON.positive), neg=_any("normalized_text", LEXICON.negative)
+)
 
 
 def full_links(spark, sf):

@@ -198,7 +198,7 @@ def topic_catalog(spark: SparkSession, sf: str) -> DataFrame:
 CTES["t_alerts"] = """
 SELECT b.ws, b.canonical_key, b.ws || '-' || b.canonical_key || '-' || strftime(b.bucket_start, '%Y%m%d') AS alert_id,
        b.bucket_start, b.feedback_count AS current_count, s.m AS ewma, s.d AS std,
-       (b.feedback_count - s.m) / greatest(s.d, 1.0) AS z_score,
+       2 * (b.feedback_count - s.m) / greatest(s.d, 1.0) AS z_score,
        CAST(floor(s.m + 2 * s.d + 0.5) AS BIGINT) AS effective_threshold, 'ACTIVE' AS status,
        b.bucket_start + INTERVAL 1 DAY AS created_at
 FROM t_buckets b JOIN (SELECT ws, canonical_key, avg(feedback_count) AS m, stddev_pop(feedback_count) AS d
@@ -222,7 +222,7 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
         F.col("feedback_count").alias("current_count"),
         "ewma",
         "std",
-        ((F.col("feedback_count") - F.col("ewma")) / F.greatest("std", F.lit(1.0))).alias("z_score"),
+        (2 * (F.col("feedback_count") - F.col("ewma")) / F.greatest("std", F.lit(1.0))).alias("z_score"),
         F.floor(F.col("ewma") + 2 * F.col("std") + 0.5).alias("effective_threshold"),
         F.lit("ACTIVE").alias("status"),
         (F.col("bucket_start") + F.expr("INTERVAL 1 DAY")).alias("created_at"),
@@ -410,10 +410,10 @@ sections AS (SELECT {key}, section,
     max(is_head::INT) AS titled FROM placed GROUP BY {key}, section),
 kept AS (SELECT *, max(titled) OVER (PARTITION BY {key}) AS any_titled FROM sections),
 cut AS (SELECT {key}, section, CASE WHEN heading IS NULL AND any_titled = 1 THEN '文档导语' ELSE heading END AS section_heading, body,
-    unnest(CASE WHEN length(body) <= 1000 THEN [0] ELSE generate_series(0, greatest(length(body) - 101, 0), 900) END) AS at
+    unnest(CASE WHEN length(body) <= 1000 THEN [0] ELSE generate_series(0, greatest(length(body) - 101, 0), 900) END) AS cut_at
     FROM kept WHERE body <> '')
-SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY section, at) AS chunk_no,
-       CASE WHEN length(body) <= 1000 THEN body ELSE substring(body, CAST(at + 1 AS BIGINT), 1000) END AS content,
+SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY section, cut_at) AS chunk_no,
+       CASE WHEN length(body) <= 1000 THEN body ELSE substring(body, CAST(cut_at + 1 AS BIGINT), 1000) END AS content,
        section_heading
 FROM cut"""
 

@@ -68,7 +68,10 @@ def ewma_baseline(
         f"struct<bucket_start:timestamp,feedback_count:{count_type},before:{state_type},after:{state_type}>"
     )
     zero = F.struct(state(*start).alias("now"), F.array().cast(f"array<{row_type}>").alias("rows"))
-    folded = grouped.select(*ISSUE, F.inline(F.aggregate(days_left, zero, fold)["rows"]))
+    # Outer, so that no inferred filter repeats the fold.
+    folded = grouped.select(
+        *ISSUE, F.inline_outer(F.aggregate(days_left, zero, fold)["rows"])
+    ).filter(F.col("bucket_start").isNotNull())
     active = F.col("after.active")
     return folded.select(
         *ISSUE,

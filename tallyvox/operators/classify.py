@@ -96,7 +96,10 @@ def topic_classify(
     events: DataFrame, rules: list[Rule] = TOPIC_RULES, hit_order: str = "asc"
 ) -> DataFrame:
     found = with_topic_candidates(events, rules, hit_order)
-    return found.select("event_id", F.inline(labels_of(F.col("_topics"))))
+    # An outer generator: Spark would push the filter it infers for a plain one down to the texts
+    # and evaluate every rule twice.
+    listed = found.select("event_id", F.inline_outer(labels_of(F.col("_topics"))))
+    return listed.filter(F.col("canonical_key").isNotNull())
 
 
 def review_reason(events: DataFrame, rules: list[Rule] = TOPIC_RULES) -> DataFrame:
@@ -379,7 +382,7 @@ def classify_events(
 def classified_links(classified: DataFrame) -> DataFrame:
     """One row per event and label."""
     kept = [c for c in ("ws", "event_id", "occurred_at", "source_kind") if c in classified.columns]
-    return classified.select(*kept, F.inline("labels"))
+    return classified.select(*kept, F.inline_outer("labels"))
 
 
 def classified_reviews(classified: DataFrame) -> DataFrame:
@@ -403,7 +406,8 @@ def classified_reviews(classified: DataFrame) -> DataFrame:
         lambda x, i: F.array_position(F.transform("_r", lambda y: y["reason_code"]), x["reason_code"])
         == i + 1,
     )
-    return found.select("event_id", F.inline(once))
+    listed = found.select("event_id", F.inline_outer(once))
+    return listed.filter(F.col("reason_code").isNotNull())
 
 
 def annotations(

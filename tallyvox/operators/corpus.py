@@ -74,7 +74,9 @@ def chunk_documents(
     )
     return (
         parsed.withColumn("_titled", any_title)
-        .select(key, F.posexplode(pieces).alias("_pos", "_p"))
+        # Outer, so that no inferred filter makes Spark cut every text twice.
+        .select(key, F.posexplode_outer(pieces).alias("_pos", "_p"))
+        .filter(F.col("_pos").isNotNull())
         .select(
             key,
             (F.col("_pos") + 1).alias("chunk_no"),
@@ -184,4 +186,4 @@ def substring_search(
             ]
         )
     )
-    return rows.withColumn("query", F.explode(hits))
+    return rows.withColumn("query", F.explode_outer(hits)).filter(F.col("query").isNotNull())

@@ -252,7 +252,8 @@ def expression_of(question: Column, rules: list[Rule] = EXPRESSION_RULES) -> Col
     text = F.lower(F.coalesce(question, F.lit("")))
     result = F.lit(None).cast("string")
     # Weakest evidence first; every later layer overrides it.
-    for rule in sorted(rules, key=lambda r: r.priority):
+    # Among equals the first listed rule wins, so it comes last.
+    for rule in sorted(reversed(rules), key=lambda r: r.priority):
         hit = F.lit(False)
         for pattern in rule.any_patterns:
             hit = hit | text.contains(pattern.lower())
@@ -260,7 +261,7 @@ def expression_of(question: Column, rules: list[Rule] = EXPRESSION_RULES) -> Col
     result = F.when(
         text.contains(fixed.OTHER_EXPRESSION_NAME), F.lit(fixed.OTHER_EXPRESSION)
     ).otherwise(result)
-    for rule in sorted(rules, key=lambda r: len(r.name)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.name)):
         hit = text.contains(rule.name.lower())
         for part in rule.name.split("/"):
             if part.strip():
@@ -279,13 +280,13 @@ def question_topic_match(
     topics: list[tuple[str, str]],
     expressions: list[Rule] = EXPRESSION_RULES,
 ) -> DataFrame:
-    """Topic whose key or name a question contains; the longest name wins, then the later entry.
+    """Topic whose key or name a question contains; the longest name wins, then the earlier entry.
 
     `topics` is a pack's (key, name) list, folded into the projection.
     """
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     key = F.lit(None).cast("string")
-    for topic_key, name in sorted(topics, key=lambda t: len(t[1])):
+    for topic_key, name in sorted(reversed(topics), key=lambda t: len(t[1])):
         hit = text.contains(name.lower()) | text.contains(topic_key.lower())
         key = F.when(hit, F.lit(topic_key)).otherwise(key)
     return questions.select(

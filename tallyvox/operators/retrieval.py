@@ -36,7 +36,7 @@ LEGACY_K = 32
 
 def split_subqueries(queries: DataFrame) -> DataFrame:
     parts = subqueries(F.col("text"), F.col("question_type"))
-    return queries.select("query_id", F.posexplode(parts).alias("sub_no", "text")).withColumn(
+    return queries.select("query_id", F.posexplode_outer(parts).alias("sub_no", "text")).withColumn(
         "sub_no", F.col("sub_no") + 1
     )
 
@@ -144,7 +144,7 @@ def identifier_hits(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     cores = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(IDENTIFIER_CORE), F.lit(0)))
     located = chunks.select("version_id", "chunk_no", "chunk_id", haystack.alias("_text")).withColumn(
-        "_core", F.explode(cores)
+        "_core", F.explode_outer(cores)
     )
     asked = wanted.select("identifier").distinct().withColumn(
         "_core", F.regexp_extract("identifier", IDENTIFIER_CORE, 0)
@@ -189,7 +189,9 @@ def identifier_supplement(
     The first `k` by chunk id are taken. With `flat_scores` neighbours carry the full score too,
     as results are compared with; otherwise they carry their reduced score.
     """
-    named = queries.select("query_id", F.explode(identifiers(F.col("text"))).alias("identifier"))
+    named = queries.select("query_id", F.explode_outer(identifiers(F.col("text"))).alias("identifier")).filter(
+        F.col("identifier").isNotNull()
+    )
     hits = identifier_hits(named, chunks)
     neighbours = identifier_neighbours(hits, chunks, score * NEIGHBOUR_FACTOR)
     united = identifier_union(hits.withColumn("score", F.lit(score)), neighbours)
@@ -218,7 +220,7 @@ def legacy_lexical(queries: DataFrame, chunks: DataFrame, k: int = LEGACY_K) ->
     held = chunks.select("chunk_id", _words(F.col("content")).alias("_words"))
     in_questions = asked.select(F.explode("_wanted").alias("_word")).distinct()
     spread = held.select(
-        "chunk_id", "_words", F.explode(F.array_distinct("_words")).alias("_word")
+        "chunk_id", "_words", F.explode_outer(F.array_distinct("_words")).alias("_word")
     )
     frequency = (
         spread.select("_word")
@@ -501,6 +503,6 @@ def gold_subqueries(
         .when(count < 2, subqueries(F.col("question_text"), F.col("question_type")))
         .otherwise(F.transform("groups", clause))
     )
-    return rows.select("case_key", F.posexplode(chosen).alias("sub_no", "text")).withColumn(
+    return rows.select("case_key", F.posexplode_outer(chosen).alias("sub_no", "text")).withColumn(
         "sub_no", F.col("sub_no") + 1
     )

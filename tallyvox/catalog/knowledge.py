@@ -295,8 +295,9 @@ def _(spark, sf):
 CTES["t_id_hits"] = """
 SELECT DISTINCT i.identifier, c.version_id, c.chunk_no, c.chunk_id FROM (SELECT DISTINCT identifier FROM t_id_wanted) i
 JOIN t_id_items c ON contains(upper(c.title || chr(10) || c.content || chr(10) || coalesce(c.lexical_text, '')), i.identifier)"""
-CTES["t_id_wanted"] = f"""
-SELECT query_id, id AS identifier FROM (SELECT doc_id AS query_id, unnest(list_distinct({_IDS_SQL})) AS id FROM documents) q"""
+CTES["t_id_wanted"] = r"""
+SELECT query_id, id AS identifier FROM (SELECT doc_id AS query_id, unnest(list_distinct(regexp_extract_all(
+  upper(regexp_replace(text, '([A-Za-z]{2,6})(\d{3,6})', '\1-\2', 'g')), '[A-Z]{2,6}-\d{3,6}'))) AS id FROM documents) q"""
 CTES["t_id_items"] = r"""
 SELECT chunk_id, version_id, chunk_no, title, lexical_text, regexp_replace(content, '([A-Za-z]{2,6})(\d{3,6})', '\1-\2', 'g') AS content FROM t_items"""
 CTES["t_id_neighbours"] = """
@@ -310,7 +311,10 @@ def id_items(spark, sf):
 
 
 def id_questions(spark, sf):
-    return src.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    """One question per document, naming what looks like an identifier in it."""
+    dashed = F.upper(F.regexp_replace("text", r"([A-Za-z]{2,6})(\d{3,6})", "$1-$2"))
+    named = F.array_join(F.regexp_extract_all(dashed, F.lit(r"[A-Z]{2,6}-\d{3,6}"), F.lit(0)), " ")
+    return src.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), named.alias("text"))
 
 
 @query("identifier_supplement", with_tables("""

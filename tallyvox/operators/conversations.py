@@ -253,7 +253,7 @@ def run_latency_baseline(runs: DataFrame, n: int = 100) -> DataFrame:
     everyone = F.count(F.lit(1))
 
     def disc(column: str, p: float, complete: bool) -> Column:
-        value = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+        value = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast("bigint")
         return F.when(F.count(column) == everyone, value) if complete else value
 
     return good.groupBy("ws", "agent_type", "prompt_version", "model_name").agg(

@@ -349,7 +349,7 @@ def answer_score(cases: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def _disc(column: str, p: float, guard: Column | None = None) -> Column:
-    value = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+    value = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast("bigint")
     return value if guard is None else F.when(guard, value)
 
 

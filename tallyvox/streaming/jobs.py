@@ -59,6 +59,8 @@ def stream_ingest(
         .option("maxFilesPerTrigger", max_files)
         .option("ignoreLeadingWhiteSpace", "true")
         .option("ignoreTrailingWhiteSpace", "true")
+        .option("escape", '"')
+        .option("multiLine", "true")
         .csv(path)
     )
 
@@ -138,7 +140,8 @@ def _cell_step(guards: Guards):
             else:
                 held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + 1)
         names = [f.split()[0] for f in CELL_SCHEMA.split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     return step
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyvox.operators.corpus import chunk_documents
 from tallyvox.operators.evaluation import QUESTION_TYPES
 from tallyvox.operators.search import vector_arm
+from tallyvox.session import spread
 
 LABELS = ["expr_suggestion", "expr_complaint", "expr_praise", "expr_neutral", "expr_other"]
 AS_OF = "2024-02-01 00:00:00"
@@ -46,8 +47,13 @@ def with_tables(body: str, recursive: bool = False) -> str:
     return (head + ", ".join(parts) + " " + body) if parts else body
 
 
+# Tables whose rows are long texts, and the key that spreads them.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def as_of() -> F.Column:

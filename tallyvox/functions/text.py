@@ -14,7 +14,7 @@ EMAIL_MARK = "[EMAIL]"
 PHONE_MARK = "[PHONE]"
 
 # Characters a Java `trim` drops and the ones it counts as white space.
-TRIM_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
+TRIM_CHARACTERS = "".join(chr(code) for code in range(0x21))
 WHITESPACE_CLASS = r"\t-\r\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}"
 
 # Traditional to simplified characters, in table order.
@@ -30,7 +30,7 @@ ASSERTION_RATIO = 0.6
 
 
 def java_trim(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM_EDGES, "")
+    return F.btrim(c, F.lit(TRIM_CHARACTERS))
 
 
 def is_blank(c: Column) -> Column:
@@ -38,9 +38,15 @@ def is_blank(c: Column) -> Column:
 
 
 def pii_mask(c: Column, phone: str = PHONE_PATTERN_CN) -> Column:
-    """E-mail addresses first, then phone numbers."""
-    masked = F.regexp_replace(c, EMAIL_PATTERN, EMAIL_MARK)
-    return F.regexp_replace(masked, phone, PHONE_MARK)
+    """E-mail addresses first, then phone numbers.
+
+    Cheap necessary conditions keep the two costly patterns off texts that cannot match.
+    """
+    masked = F.when(c.contains("@"), F.regexp_replace(c, EMAIL_PATTERN, EMAIL_MARK)).otherwise(c)
+    replaced = F.regexp_replace(masked, phone, PHONE_MARK)
+    if phone != PHONE_PATTERN_CN:
+        return replaced
+    return F.when(c.rlike(r"1[3-9]\d{9}"), replaced).otherwise(masked)
 
 
 def import_normalize(c: Column) -> Column:
@@ -81,8 +87,12 @@ def _full_width() -> tuple[str, str]:
 def analysis_normalize(c: Column, synonyms: list[tuple[list[str], str]] = ()) -> Column:
     """Width, script, separators, case, then the ordered synonym replacements."""
     wide, narrow = _full_width()
-    text = F.translate(F.coalesce(c, F.lit("")), wide, narrow)
-    text = F.translate(text, TRADITIONAL, SIMPLIFIED)
+    text = F.coalesce(c, F.lit(""))
+    # Both mappings are disjoint, so one pass does, and only over texts that hold such characters.
+    text = F.when(
+        text.rlike(f"[{wide[0]}-{wide[-2]}{wide[-1]}{TRADITIONAL}]"),
+        F.translate(text, wide + TRADITIONAL, narrow + SIMPLIFIED),
+    ).otherwise(text)
     separators = rf"[{WHITESPACE_CLASS}\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x{{3001}}-\x{{303F}}]+"
     text = F.lower(java_trim(F.regexp_replace(text, separators, " ")))
     for variants, target in synonyms:

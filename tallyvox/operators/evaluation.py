@@ -435,10 +435,11 @@ def case_delta(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
         once = df.groupBy("case_id").agg(
             F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(f"{name}_{c}") for c in _RUN]
         )
-        single = F.when(
-            F.col("_n") > 1, F.raise_error(F.concat(F.lit("case listed twice: "), F.col("case_id").cast("string")))
-        ).otherwise(F.lit(True))
-        return once.withColumn(f"in_{name}", single).drop("_n")
+        repeated = F.raise_error(
+            F.concat(F.lit("case listed twice: "), F.col("case_id").cast("string"))
+        ).cast(df.schema["case_id"].dataType)
+        key = F.when(F.col("_n") > 1, repeated).otherwise(F.col("case_id"))
+        return once.withColumn("case_id", key).drop("_n")
 
     j = side(baseline, "a").join(side(candidate, "b"), "case_id", "full_outer")
     facts = F.col("b_covered_facts") - F.col("a_covered_facts")

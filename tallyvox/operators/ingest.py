@@ -35,7 +35,8 @@ def to_events(mapped: DataFrame, phone: str = PHONE_PATTERN_CN) -> DataFrame:
     )
     error = F.coalesce(
         *[required(F.col(name), name) for name in REQUIRED_FIELDS],
-        F.when(F.col("sanitized_text") == "", F.lit(BLANK_AFTER_MASK)),
+        # Marks are never empty, so a text is blank after masking exactly when it is blank before.
+        F.when(is_blank(F.col("feedback_text")), F.lit(BLANK_AFTER_MASK)),
         F.when(F.col("event_time").isNull(), F.lit(BAD_TIME)),
     )
     normalized = import_normalize(F.col("sanitized_text"))

@@ -38,6 +38,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    Only small inputs are moved: a large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list | None:
     """Rows of a side that may go to the driver, or None when it is larger than the bound."""
     rows = df.limit(limit + 1).collect()

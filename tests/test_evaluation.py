@@ -42,7 +42,7 @@ def test_conversations(spark):
     assert cv.rolling_summary(msgs).first().summary == "user: m0；assistant: m1"
     saved = spark.createDataFrame([(1, "user: m0")], "session_id long, summary string")
     assert cv.extend_summary(saved, msgs.filter("seq = 1")).first().summary == "user: m0；assistant: m1"
-    last = spark.createDataFrame([(1, 0, "user", "玩家问v1.4.2 登录异常的说明？")], "session_id long, seq long, role string, content string")
+    last = spark.createDataFrame([(1, 0, "user", "玩家问 v1.4.2 登录异常的说明？")], "session_id long, seq long, role string, content string")
     focus = cv.focus_extract(last)
     r = focus.first()
     assert (r.topic, r.version) == ("登录异常", "1.4.2")

@@ -42,7 +42,7 @@ def test_search_paths_agree_with_brute_force(spark):
 
 def test_identical_chunks_stay_bounded(spark):
     q = vectors(spark, 2, "query_id", 1)
-    same = spark.createDataFrame([(i, [1.0, 0, 0, 0, 0]) for i in range(5000)], "chunk_id long, embedding array<double>")
+    same = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(5000)], "chunk_id long, embedding array<double>")
     got = se.vector_arm(q, same, 3).orderBy("query_id", "rank").collect()
     assert [r.chunk_id for r in got] == [0, 1, 2, 0, 1, 2]
 

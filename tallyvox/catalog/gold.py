@@ -10,6 +10,7 @@ from tallyvox.catalog.inputs import CTES, with_tables
 from tallyvox.functions import text as tx
 from tallyvox.operators import evaluation as ev
 from tallyvox.operators import retrieval as rt
+from tallyvox.session import materialize
 
 _NORMAL = r"regexp_replace(replace(replace(lower(coalesce({}, '')), '-', ''), '_', ''), '[\s，。；、：！？,.!?;:]', '', 'g')"
 _NORMAL_KEEP = r"regexp_replace(lower(coalesce({}, '')), '[\s，。；、：！？,.!?;:]', '', 'g')"
@@ -35,9 +36,11 @@ SELECT case_key, sort_order, assertion_type, {_holds('a', 'c')} AS holds FROM (
 
 @query("assertion_match", with_tables("SELECT case_key, sort_order::BIGINT AS sort_order, holds FROM t_checked"))
 def _(spark, sf):
-    said = src.answers(spark, sf).select("case_key", "answer")
-    holds = tx.assertion_match(tx.answer_normalize(F.col("answer")), tx.answer_normalize(F.col("assertion_text")))
-    return src.assertions(spark, sf).join(said, "case_key", "left").select("case_key", "sort_order", holds.alias("holds"))
+    normal = tx.answer_normalize
+    said = src.answers(spark, sf).select("case_key", normal(F.col("answer")).alias("a"))
+    claims = src.assertions(spark, sf).withColumn("c", normal(F.col("assertion_text")))
+    holds = tx.assertion_match(F.coalesce("a", F.lit("")), F.col("c"))
+    return claims.join(said, "case_key", "left").select("case_key", "sort_order", holds.alias("holds"))
 
 
 @query("citation_extract", r"""
@@ -69,18 +72,21 @@ LEFT JOIN (SELECT case_key, group_key, min(rank) AS r FROM t_matches WHERE exact
 
 @query("evidence_match", with_tables("SELECT case_key, sort_order::BIGINT AS sort_order, granularity, group_key, document_id, rank, exact FROM t_matches"))
 def _(spark, sf):
-    return ev.evidence_match(src.evidence(spark, sf), src.ranked_ids(spark, sf))
+    ranked, evidence = retrieval(spark, sf)
+    return ev.evidence_match(evidence, ranked)
 
 
 @query("requirement_groups", with_tables("SELECT case_key, group_key, first_rank, satisfied FROM t_groups"))
 def _(spark, sf):
-    return ev.requirement_groups(src.evidence(spark, sf), src.ranked_ids(spark, sf))
+    ranked, evidence = retrieval(spark, sf)
+    return ev.requirement_groups(evidence, ranked)
 
 
 @query("group_coverage", with_tables("""
 SELECT case_key, count(*) FILTER (satisfied) AS satisfied_groups, count(*) AS total_groups, bool_and(satisfied) AS all_satisfied FROM t_groups GROUP BY case_key"""))
 def _(spark, sf):
-    return ev.group_coverage(ev.requirement_groups(src.evidence(spark, sf), src.ranked_ids(spark, sf)))
+    ranked, evidence = retrieval(spark, sf)
+    return ev.group_coverage(ev.requirement_groups(evidence, ranked))
 
 
 CTES["t_case_scores"] = """
@@ -109,7 +115,8 @@ LEFT JOIN t_answers w USING (case_key)"""
 SELECT case_key, evidence_count, d1 AS document_hit_at1, d8 AS document_hit_at8, c3 AS chunk_hit_at3, c8 AS chunk_hit_at8, round(rr, 6) AS reciprocal_rank,
        round(ndcg, 6)::DOUBLE AS ndcg_at8, groups_ok AS group_coverage_at8, dual AS dual_hit_at8, primary_hit AS primary_hit_at8 FROM t_case_scores"""))
 def _(spark, sf):
-    scores = ev.retrieval_case_scores(src.gold(spark, sf), src.evidence(spark, sf), src.ranked_ids(spark, sf))
+    ranked, evidence = retrieval(spark, sf)
+    scores = ev.retrieval_case_scores(src.gold(spark, sf), evidence, ranked)
     return scores.select(
         "case_key", "evidence_count", "document_hit_at1", "document_hit_at8", "chunk_hit_at3", "chunk_hit_at8",
         "reciprocal_rank", "ndcg_at8", "group_coverage_at8", "dual_hit_at8", "primary_hit_at8",
@@ -122,9 +129,16 @@ def _(spark, sf):
     return ev.answer_case_scores(src.gold(spark, sf), src.assertions(spark, sf), src.answers(spark, sf))
 
 
+def retrieval(spark, sf):
+    """The ranked lists, written once because evidence, hits and answers all read them."""
+    ranked = materialize(src.ranked_ids(spark, sf))
+    return ranked, src.evidence(spark, sf, ranked)
+
+
 def scores(spark, sf):
+    ranked, evidence = retrieval(spark, sf)
     return ev.case_scores(
-        src.gold(spark, sf), src.evidence(spark, sf), src.ranked_ids(spark, sf), src.assertions(spark, sf), src.answers(spark, sf)
+        src.gold(spark, sf), evidence, ranked, src.assertions(spark, sf), src.answers(spark, sf, ranked)
     )
 
 
@@ -172,7 +186,8 @@ SELECT {', '.join(f"{_share(f'{c} <= {k}')} AS candidate_{n}_recall_at{k}" for n
 def _(spark, sf):
     half, full = src.near(spark, sf, 40, 32), src.near(spark, sf, 40)
     kinds = rt.provenance_sets(half, full).withColumnRenamed("query_id", "case_key")
-    return ev.retrieval_funnel(src.gold(spark, sf), src.evidence(spark, sf), src.ranked_ids(spark, sf), kinds)
+    ranked, evidence = retrieval(spark, sf)
+    return ev.retrieval_funnel(src.gold(spark, sf), evidence, ranked, kinds)
 
 
 # --- answers and runs ----------------------------------------------------------------------
@@ -359,8 +374,9 @@ SELECT variant, count(*) AS cases, count(*) FILTER (hit) AS baseline_hits, count
        count(*) FILTER (hit AND h2) AS stay_hit, count(*) FILTER (NOT hit AND NOT h2) AS stay_miss, count(*) FILTER (question_type = 'CROSS_DOCUMENT' AND dual) AS baseline_dual,
        count(*) FILTER (question_type = 'CROSS_DOCUMENT' AND vd) AS variant_dual, count(*) FILTER (question_type = 'CROSS_DOCUMENT') AS cross_cases FROM w GROUP BY variant"""))
 def _(spark, sf):
-    rows = ev.retrieval_case_scores(src.gold(spark, sf), src.evidence(spark, sf), src.ranked_ids(spark, sf))
-    wide = ev.evidence_match(src.evidence(spark, sf), src.ranked_ids(spark, sf)).groupBy("case_key").agg(
+    ranked, evidence = retrieval(spark, sf)
+    rows = ev.retrieval_case_scores(src.gold(spark, sf), evidence, ranked)
+    wide = ev.evidence_match(evidence, ranked).groupBy("case_key").agg(
         (F.count_distinct("document_id") >= 2).alias("dual50")
     )
     rows = rows.join(wide, "case_key", "left")
@@ -387,7 +403,8 @@ q AS (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY cr, case_
    CASE question_type WHEN 'SINGLE_DOCUMENT_FACT' THEN 0 WHEN 'CROSS_DOCUMENT' THEN 1 WHEN 'VERSION_CONFLICT' THEN 2 WHEN 'OPERATION_PROCESS' THEN 3 END AS p FROM n)
 SELECT case_key, question_type, cr AS gold_rank, r > a AS filled FROM q WHERE r <= a OR question_type = 'SINGLE_DOCUMENT_FACT' ORDER BY r > a, p, cr, case_key LIMIT 15"""))
 def _(spark, sf):
-    rows = ev.retrieval_case_scores(src.gold(spark, sf), src.evidence(spark, sf), src.ranked_ids(spark, sf)).filter("has_evidence")
+    ranked, evidence = retrieval(spark, sf)
+    rows = ev.retrieval_case_scores(src.gold(spark, sf), evidence, ranked).filter("has_evidence")
     return ev.hard_case_mining(
         rows.select(
             "case_key", "question_type", F.coalesce(F.col("chunk_rank") <= 50, F.lit(False)).alias("candidate_hit_at50"),

@@ -550,11 +550,11 @@ SELECT case_key, 2, 'VERSION', vec_id // 8, (vec_id // 4) % 2 + 1, NULL, ''
 FROM t_gold WHERE question_type NOT IN ('CHITCHAT', 'NO_ANSWER') AND vec_id % 3 = 0"""
 
 
-def evidence(spark: SparkSession, sf: str) -> DataFrame:
+def evidence(spark: SparkSession, sf: str, ranked: DataFrame | None = None) -> DataFrame:
     cases = gold(spark, sf).filter(~F.col("question_type").isin("CHITCHAT", "NO_ANSWER"))
     i = F.col("vec_id")
     hit = cases.select("case_key", (1 + i % 24).cast("int").alias("rank")).join(
-        ranked_ids(spark, sf), ["case_key", "rank"]
+        ranked if ranked is not None else ranked_ids(spark, sf), ["case_key", "rank"]
     )
     none = F.lit(None).cast("bigint")
     first = hit.select(
@@ -620,13 +620,14 @@ LEFT JOIN (SELECT case_key,
   FROM t_ranked GROUP BY case_key) r ON r.case_key = g.case_key"""
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
+def answers(spark: SparkSession, sf: str, ranked: DataFrame | None = None) -> DataFrame:
     i = F.col("vec_id")
     name = F.concat(
         F.lit("knowledge:"), F.col("document_id").cast("string"), F.lit(":v"),
         F.col("version_no").cast("string"), F.lit(":"), F.col("chunk_id").cast("string"),
     )
-    lists = ranked_ids(spark, sf, 12).groupBy("case_key").agg(
+    ranks = ranked if ranked is not None else ranked_ids(spark, sf)
+    lists = ranks.filter("rank <= 12").groupBy("case_key").agg(
         F.collect_list(
             F.when((F.col("rank") == 1) | (F.col("rank") == 2 + F.col("query_id") % 10), name)
         ).alias("cited"),

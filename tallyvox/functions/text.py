@@ -160,13 +160,15 @@ def answer_normalize(c: Column, drop_joiners: bool = True) -> Column:
 def match_tokens(normalized: Column) -> Column:
     """ASCII words of two or more characters plus CJK bigrams."""
     words = F.regexp_extract_all(normalized, F.lit(r"[a-z0-9]{2,}"), F.lit(0))
-    cjk = F.regexp_replace(normalized, r"[^一-鿿]", "")
-    size = F.length(cjk)
-    bigrams = F.when(size == 1, F.array(cjk)).when(
-        size > 1,
-        F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(cjk, i, F.lit(2))),
+    # Texts without such characters skip the second half.
+    letters = F.regexp_extract_all(normalized, F.lit(r"[一-鿿]"), F.lit(0))
+    bigrams = F.zip_with(
+        F.slice(letters, 1, F.greatest(F.size(letters) - 1, F.lit(0))),
+        F.slice(letters, 2, F.size(letters)),
+        lambda a, b: F.concat(a, b),
     )
-    return F.array_distinct(F.concat(words, F.coalesce(bigrams, F.array().cast("array<string>"))))
+    both = F.concat(words, F.when(F.size(letters) == 1, letters).otherwise(bigrams))
+    return F.array_distinct(F.when(normalized.rlike(r"[一-鿿]"), both).otherwise(words))
 
 
 def assertion_match(answer: Column, assertion: Column) -> Column:

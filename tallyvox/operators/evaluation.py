@@ -178,11 +178,11 @@ def answer_case_scores(cases: DataFrame, assertions: DataFrame, answers: DataFra
     `answers(case_key, answer, cited, retrieved, claim, gate_outcome)`.
     """
     said = answers.select("case_key", answer_normalize(F.col("answer")).alias("_answer"))
-    holds = assertion_match(F.col("_answer"), answer_normalize(F.col("assertion_text")))
+    claims = assertions.withColumn("_claim", answer_normalize(F.col("assertion_text")))
     checked = (
-        assertions.join(said, "case_key", "left")
+        claims.join(said, "case_key", "left")
         .withColumn("_answer", F.coalesce("_answer", F.lit("")))
-        .withColumn("_holds", holds)
+        .withColumn("_holds", assertion_match(F.col("_answer"), F.col("_claim")))
     )
     required, forbidden = (F.col("assertion_type") == t for t in ASSERTION_TYPES)
     counted = checked.groupBy("case_key").agg(

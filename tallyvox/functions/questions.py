@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyvox.functions.text import contains_any, is_blank, java_trim
+from tallyvox.functions.text import bind, contains_any, is_blank, java_trim
 
 # Patterns found in questions.
 VERSION_PATTERN = r"(?i)\bv?(\d+(?:\.\d+)+)\b"
@@ -105,9 +105,9 @@ def query_expand(c: Column) -> Column:
         )
     )
     months = F.regexp_extract_all(c, F.lit(MONTH), F.lit(0))
-    lowered = F.lower(c)
-    hints = F.array_compact(
-        F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in TYPE_HINT_WORDS])
+    hints = bind(
+        F.lower(c),
+        lambda t: F.array_compact(F.array(*[F.when(t.contains(w), F.lit(w)) for w in TYPE_HINT_WORDS])),
     )
     words = F.array_distinct(
         F.concat(F.array(java_trim(c)), version_words, id_words, dated, months, hints)
@@ -116,9 +116,11 @@ def query_expand(c: Column) -> Column:
 
 
 def type_route(c: Column) -> Column:
-    lowered = F.lower(F.coalesce(c, F.lit("")))
-    return F.array_compact(
-        F.array(*[F.when(contains_any(lowered, words), F.lit(t)) for t, words in ROUTE_WORDS])
+    return bind(
+        F.lower(F.coalesce(c, F.lit(""))),
+        lambda x: F.array_compact(
+            F.array(*[F.when(contains_any(x, words), F.lit(t)) for t, words in ROUTE_WORDS])
+        ),
     )
 
 

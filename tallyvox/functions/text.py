@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -115,6 +116,11 @@ def token_estimate(c: Column) -> Column:
     return F.when(value == "", F.lit(1)).otherwise(estimate)
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f(c)` with `c` evaluated once, however often `f` mentions it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
     hits = [c.contains(word) for word in words if word]
     return reduce(lambda a, b: a | b, hits) if hits else F.lit(False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox.functions.questions import VERSION_PATTERN, YEAR_MONTH
-from tallyvox.functions.text import cap_text, contains_any, java_trim
+from tallyvox.functions.text import bind, cap_text, contains_any, java_trim
 from tallyvox.operators.dashboard import ranked
 
 # Intents by keyword, in order, and the tools of each intent.
@@ -67,11 +67,13 @@ SEPARATOR = "；"
 
 
 def intent_of(question: Column) -> Column:
-    text = F.lower(F.coalesce(question, F.lit("")))
-    result = F.lit(OTHER_INTENT)
-    for name, words in reversed(INTENTS):
-        result = F.when(contains_any(text, words), F.lit(name)).otherwise(result)
-    return result
+    def first(text: Column) -> Column:
+        result = F.lit(OTHER_INTENT)
+        for name, words in reversed(INTENTS):
+            result = F.when(contains_any(text, words), F.lit(name)).otherwise(result)
+        return result
+
+    return bind(F.lower(F.coalesce(question, F.lit(""))), first)
 
 
 def intent_route(questions: DataFrame) -> DataFrame:
@@ -98,19 +100,14 @@ def time_window(c: Column) -> Column:
 
 
 def topic_of(c: Column, version: Column) -> Column:
-    text = java_trim(c)
-    text = F.when(
-        text.startswith(QUESTION_LEAD), java_trim(F.substring(text, len(QUESTION_LEAD) + 1, 2**31 - 1))
-    ).otherwise(text)
+    text = java_trim(F.regexp_replace(java_trim(c), f"^{QUESTION_LEAD}", ""))
     text = java_trim(F.regexp_replace(text, FILLER_SUFFIX, ""))
     without = F.replace(F.replace(text, F.concat(F.lit("v"), version), F.lit(" ")), version, F.lit(" "))
     text = F.when(version.isNotNull(), java_trim(F.regexp_replace(without, r"\s+", " "))).otherwise(text)
     text = java_trim(F.regexp_replace(text, QUESTION_SUFFIX, ""))
     text = java_trim(F.regexp_replace(text, "是$", ""))
-    cut = F.when(
-        F.length(text) > TOPIC_CHARS, java_trim(F.substring(text, 1, TOPIC_CHARS))
-    ).otherwise(text)
-    return F.when(text == "", version).otherwise(cut)
+    cut = java_trim(F.substring(text, 1, TOPIC_CHARS))
+    return bind(cut, lambda x: F.when(x == "", version).otherwise(x))
 
 
 def focus_extract(messages: DataFrame) -> DataFrame:
@@ -140,7 +137,7 @@ def follow_up_rewrite(questions: DataFrame, focus: DataFrame) -> DataFrame:
         version_label(text).isNotNull()
         | text.rlike(TIME_WINDOW)
         | text.rlike(YEAR_MONTH)
-        | contains_any(F.lower(text), SUBJECT_WORDS)
+        | bind(F.lower(text), lambda t: contains_any(t, SUBJECT_WORDS))
     )
     pronoun = contains_any(text, PRONOUNS)
     elliptical = F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvox.functions.text import cap_text
+from tallyvox.functions.text import bind, cap_text
 from tallyvox.operators.dashboard import period_columns
 from tallyvox.sources import fixed_rules as fixed
 from tallyvox.sources.rule_tables import EXPRESSION_RULES, Rule
@@ -249,7 +249,10 @@ def investigation_summary(counted: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def expression_of(question: Column, rules: list[Rule] = EXPRESSION_RULES) -> Column:
     """Expression a question asks about: by key, by name or name part, by pattern."""
-    text = F.lower(F.coalesce(question, F.lit("")))
+    return bind(F.lower(F.coalesce(question, F.lit(""))), lambda t: _expression_in(t, rules))
+
+
+def _expression_in(text: Column, rules: list[Rule]) -> Column:
     result = F.lit(None).cast("string")
     # Weakest evidence first; every later layer overrides it.
     # Among equals the first listed rule wins, so it comes last.
@@ -284,13 +287,16 @@ def question_topic_match(
 
     `topics` is a pack's (key, name) list, folded into the projection.
     """
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    key = F.lit(None).cast("string")
-    for topic_key, name in sorted(reversed(topics), key=lambda t: len(t[1])):
-        hit = text.contains(name.lower()) | text.contains(topic_key.lower())
-        key = F.when(hit, F.lit(topic_key)).otherwise(key)
+
+    def topic_in(text: Column) -> Column:
+        key = F.lit(None).cast("string")
+        for topic_key, name in sorted(reversed(topics), key=lambda t: len(t[1])):
+            hit = text.contains(name.lower()) | text.contains(topic_key.lower())
+            key = F.when(hit, F.lit(topic_key)).otherwise(key)
+        return key
+
     return questions.select(
         "question_id",
-        key.alias("canonical_key"),
+        bind(F.lower(F.coalesce("text", F.lit(""))), topic_in).alias("canonical_key"),
         expression_of(F.col("text"), expressions).alias("expression"),
     )

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyvox.llm.merge_replay import encode_decode
+from tallyvox.llm.packing import pack
 from tallyvox.llm.token_counts import token_counts
+from tallyvox.llm.wavelet import write_and_read
 from tallyvox.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +28,21 @@ def query(name: str, table: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op4_cost_packing", "documents")
+def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+@query("op7_wavelet_shards", "documents")
+def op7(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), bits=16)
+
+
+@query("op8_merge_replay", "documents")
+def op8(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op10_token_counts", "documents")
 def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)

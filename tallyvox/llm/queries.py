@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyvox.llm import fingerprints as prints
+from tallyvox.llm.embeddings import embedding_groups
 from tallyvox.llm.merge_replay import encode_decode
+from tallyvox.llm.minhash import near_duplicates
 from tallyvox.llm.packing import pack
 from tallyvox.llm.token_counts import token_counts
 from tallyvox.llm.wavelet import write_and_read
@@ -28,11 +31,26 @@ def query(name: str, table: str, sql: str | None = None) -> Callable:
     return register
 
 
+@query("op1_merkle_fingerprints", "documents", prints.SQL)
+def op1(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return prints.fingerprints(docs)
+
+
+@query("op2_int8_embedding_groups", "embeddings")
+def op2(vectors: DataFrame, sf_dir: str) -> DataFrame:
+    return embedding_groups(vectors, threshold=0.9)
+
+
 @query("op4_cost_packing", "documents")
 def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+@query("op6_minhash_groups", "documents")
+def op6(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates(docs, share=85)
+
+
 @query("op7_wavelet_shards", "documents")
 def op7(docs: DataFrame, sf_dir: str) -> DataFrame:
     return write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), bits=16)

@@ -12,6 +12,7 @@ from tallyvox.llm.embeddings import embedding_groups
 from tallyvox.llm.merge_replay import encode_decode
 from tallyvox.llm.minhash import near_duplicates
 from tallyvox.llm.packing import pack
+from tallyvox.llm.quality import quality_scores
 from tallyvox.llm.token_counts import token_counts
 from tallyvox.llm.wavelet import write_and_read
 from tallyvox.session import configure
@@ -41,6 +42,11 @@ def op2(vectors: DataFrame, sf_dir: str) -> DataFrame:
     return embedding_groups(vectors, threshold=0.9)
 
 
+@query("op3_quality", "documents")
+def op3(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_scores(docs, docs.sparkSession.read.parquet(f"{sf_dir}/labels.parquet"), cutoff=0.3)
+
+
 @query("op4_cost_packing", "documents")
 def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)

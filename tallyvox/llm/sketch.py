@@ -65,3 +65,28 @@ def _rows(total: np.ndarray, bits: int, lane: int) -> pa.RecordBatch:
         [pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array(shards, pa.binary())],
         names=["shard", "lane", "counts"],
     )
+
+
+def summed(parts: DataFrame, bits: int, signed: np.dtype = np.dtype("<i8")) -> np.ndarray:
+    """Sum of one array of 2^bits numbers per task, from rows made by `array_rows`."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(v.as_py()), signed) for v in table.column("counts"))
+        return pa.table(
+            {
+                "shard": table.column("shard").slice(0, 1),
+                "lane": table.column("lane").slice(0, 1),
+                "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()),
+            }
+        )
+
+    shape = "shard int, lane int, counts binary"
+    whole = parts.groupBy("shard", "lane").applyInArrow(add, shape).groupBy("shard").applyInArrow(add, shape)
+    out = np.zeros(1 << bits, signed)
+    width = 1 << min(bits, SHARD_BITS)
+    for row in whole.select("shard", "counts").collect():
+        out[row["shard"] * width : (row["shard"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), signed)
+    return out
+
+
+array_rows = _rows

@@ -12,6 +12,7 @@ from tallyvox.llm.embeddings import embedding_groups
 from tallyvox.llm.merge_replay import encode_decode
 from tallyvox.llm.minhash import near_duplicates
 from tallyvox.llm.packing import pack
+from tallyvox.llm.pii import span_digests
 from tallyvox.llm.quality import quality_scores
 from tallyvox.llm.token_counts import token_counts
 from tallyvox.llm.wavelet import write_and_read
@@ -52,6 +53,11 @@ def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
+@query("op5_personal_data", "documents")
+def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return span_digests(docs)
+
+
 @query("op6_minhash_groups", "documents")
 def op6(docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, share=85)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyvox.llm import fingerprints as prints
 from tallyvox.llm.embeddings import embedding_groups
+from tallyvox.llm.lm import lm_scores
 from tallyvox.llm.merge_replay import encode_decode
 from tallyvox.llm.minhash import near_duplicates
 from tallyvox.llm.packing import pack
@@ -73,6 +74,11 @@ def op8(docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op9_attention_scores", "documents")
+def op9(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lm_scores(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op10_token_counts", "documents")
 def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)

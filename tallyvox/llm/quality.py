@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyvox.llm import spans, tokens
 from tallyvox.llm.sketch import array_rows, summed
@@ -195,7 +196,13 @@ def held_out(key: Column) -> Column:
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, sample: int = SAMPLE, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    cutoff: float = 0.3,
+    sample: int = SAMPLE,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: bool = False,
 ) -> DataFrame:
     """(key, held_out, score, predicted): probability that a text is of label quality = 1.
 
@@ -203,8 +210,8 @@ def quality_scores(
     that are not held out, and nothing but texts. Null and empty texts have a score too, that of
     a text without words. A row without a key is scored and not held out; labels without key or
     value are ignored, a key labelled twice has its lowest label; with fewer than ten labels, or
-    one kind only, every score is the labels' smoothed share. Other columns are dropped. Runs
-    jobs when called.
+    one kind only, every score is the labels' smoothed share. Other columns are dropped; `keep`
+    adds the struct `row` of all of them. Runs jobs when called.
     """
     spark = docs.sparkSession
     tokens.arrow_batches(spark)
@@ -236,8 +243,11 @@ def quality_scores(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = network(pooled(*spans.buffer(batch.column("text")), vectors.value))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), pa.array(p.astype(np.float64))], names=["key", "held_out", "score"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    scored = texts.select("key", "text", held_out(F.col("key")).alias("held_out")).mapInArrow(score, f"key {kind}, held_out boolean, score double")
-    return scored.select(F.col("key").alias(key), "held_out", "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+            out = batch.drop_columns(["text"])
+            yield out.append_column("score", pa.array(p.astype(np.float64)))
+
+    row = [F.struct("*").alias("row")] if keep else []
+    held = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), *row, F.col(text).alias("text"))
+    shape = T.StructType([*held.drop("text").schema.fields, T.StructField("score", T.DoubleType())])
+    scored = held.mapInArrow(score, shape)
+    return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int")).withColumnRenamed("key", key)

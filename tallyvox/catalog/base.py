@@ -16,24 +16,28 @@ SQL: dict[str, str] = {}
 DIGITS = 6
 
 
-def _text(c: Column, kind: T.DataType) -> Column:
+def _text(c: Column, kind: T.DataType, digits: int) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        c = F.round(c.cast("double"), DIGITS)
+        c = F.round(c.cast("double"), digits)
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def present(df: DataFrame) -> DataFrame:
-    """Plain columns only: whole numbers as bigint, rounded doubles, lists and maps as text."""
+def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Plain columns only: whole numbers as bigint, rounded doubles, lists and maps as text.
+
+    Scores that were rounded to be ranked keep those digits; a second rounding to fewer could fall
+    either way on a half.
+    """
     shown = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS)
+            c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, T.ArrayType):
             item = f.dataType.elementType
-            c = F.array_join(F.transform(c, lambda x, k=item: _text(x, k)), "|")
+            c = F.array_join(F.transform(c, lambda x, k=item: _text(x, k, digits)), "|")
         elif isinstance(f.dataType, T.MapType):
             c = F.array_join(
                 F.transform(
@@ -46,10 +50,10 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*shown)
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, digits: int = DIGITS) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(fn(configure(spark), sf_dir))
+            return present(fn(configure(spark), sf_dir), digits)
 
         if name in QUERIES:
             raise KeyError(name)

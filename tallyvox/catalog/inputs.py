@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tallyvox.operators.corpus import chunk_documents
 from tallyvox.operators.evaluation import QUESTION_TYPES
 from tallyvox.operators.search import vector_arm
-from tallyvox.session import spread
 
 LABELS = ["expr_suggestion", "expr_complaint", "expr_praise", "expr_neutral", "expr_other"]
 AS_OF = "2024-02-01 00:00:00"
@@ -21,7 +20,10 @@ DOCUMENT_TYPES = [
     "RELEASE_NOTE", "KNOWN_ISSUE", "SUPPORT_SOP", "SENTIMENT_PLAYBOOK", "OPERATION_EVENT", "POSTMORTEM",
 ]
 
+IDS_PER_PARENT = 1 << 24  # turns of a conversation and chunks of a document; a text of 15 GB has fewer chunks
+
 CTES: dict[str, str] = {}
+SHARED = {"t_pairs", "t_near", "t_near_full", "t_near_half", "t_ranked"}  # costly, and read several times
 
 
 def with_tables(body: str, recursive: bool = False) -> str:
@@ -38,7 +40,7 @@ def with_tables(body: str, recursive: bool = False) -> str:
 
     visit(body)
     body = body.strip()
-    parts = [f"{n} AS ({CTES[n].strip()})" for n in wanted]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTES[n].strip()})" for n in wanted]
     head = "WITH RECURSIVE " if recursive else "WITH "
     if body.upper().startswith("WITH RECURSIVE "):
         return head + ", ".join([*parts, body[len("WITH RECURSIVE "):]])
@@ -47,13 +49,8 @@ def with_tables(body: str, recursive: bool = False) -> str:
     return (head + ", ".join(parts) + " " + body) if parts else body
 
 
-# Tables whose rows are long texts, and the key that spreads them.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def as_of() -> F.Column:
@@ -320,7 +317,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CTES["t_questions"] = """
-SELECT conv_id * 1000 + turn AS question_id, conv_id AS session_id,
+SELECT conv_id * 16777216 + turn AS question_id, conv_id AS session_id,
        CASE turn % 8 WHEN 0 THEN '这个' || text WHEN 1 THEN '继续 ' || text WHEN 2 THEN text || ' 版本 v1.2.3'
             WHEN 3 THEN text || ' 为什么' WHEN 4 THEN '里面' || text || ' 趋势' WHEN 5 THEN text || ' 近7天'
             WHEN 6 THEN text || ' 建议' ELSE '上周' || text END AS text
@@ -340,7 +337,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit("上周"), text))
     )
     return table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        (F.col("conv_id") * IDS_PER_PARENT + F.col("turn")).alias("question_id"),
         F.col("conv_id").alias("session_id"),
         marked.alias("text"),
     )
@@ -427,7 +424,7 @@ FROM cut"""
 CTES["t_pieces"] = chunk_sql("SELECT doc_id AS document_id, text FROM documents", "document_id")
 CTES["t_chunks"] = """
 SELECT document_id, 1 + document_id % 3 AS version_no, document_id * 10 + 1 + document_id % 3 AS version_id,
-       chunk_no, document_id * 1000 + chunk_no AS chunk_id, content,
+       chunk_no, document_id * 16777216 + chunk_no AS chunk_id, content,
        CASE WHEN chunk_no % 5 <> 0 THEN 'part ' || (chunk_no // 3) END AS section_heading
 FROM t_pieces"""
 
@@ -441,7 +438,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         (1 + i % 3).alias("version_no"),
         (i * 10 + 1 + i % 3).alias("version_id"),
         n.alias("chunk_no"),
-        (i * 1000 + n).alias("chunk_id"),
+        (i * IDS_PER_PARENT + n).alias("chunk_id"),
         "content",
         F.when(n % 5 != 0, part).alias("section_heading"),
     )

@@ -326,8 +326,8 @@ def _(spark, sf):
 
 
 @query("identifier_union", with_tables("""
-SELECT identifier, chunk_id, round(max(s), 6) AS score FROM (SELECT identifier, chunk_id, 0.12::DOUBLE AS s FROM t_id_hits
-  UNION ALL SELECT identifier, chunk_id, 0.12::DOUBLE * 0.85::DOUBLE FROM t_id_neighbours) q GROUP BY identifier, chunk_id"""))
+SELECT identifier, chunk_id, round(max(s), 9) AS score FROM (SELECT identifier, chunk_id, 0.12::DOUBLE AS s FROM t_id_hits
+  UNION ALL SELECT identifier, chunk_id, 0.12::DOUBLE * 0.85::DOUBLE FROM t_id_neighbours) q GROUP BY identifier, chunk_id"""), digits=9)
 def _(spark, sf):
     chunks = id_items(spark, sf)
     named = id_questions(spark, sf).select(F.explode_outer(qs.identifiers(F.col("text"))).alias("identifier"))
@@ -340,8 +340,8 @@ def _(spark, sf):
 
 
 @query("vector_distance", """
-SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], m::DOUBLE[]), 6) AS distance FROM embeddings,
-  (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) q GROUP BY i) r) c""")
+SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], m::DOUBLE[]), 9) AS distance FROM embeddings,
+  (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) q GROUP BY i) r) c""", digits=9)
 def _(spark, sf):
     vectors = src.table(spark, sf, "embeddings")
     mean = (
@@ -354,7 +354,7 @@ def _(spark, sf):
     )
 
 
-@query("vector_arm", with_tables("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM t_near_full"))
+@query("vector_arm", with_tables("SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM t_near_full"), digits=9)
 def _(spark, sf):
     return src.near(spark, sf, 40)
 
@@ -385,7 +385,7 @@ def lexical(spark, sf, k=40):
     return se.lexical_arm(asked_texts, src.items(spark, sf), k)
 
 
-@query("trigram_similarity", with_tables("SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM t_lexical WHERE rank <= 40"))
+@query("trigram_similarity", with_tables("SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM t_lexical WHERE rank <= 40"), digits=9)
 def _(spark, sf):
     return lexical(spark, sf)
 
@@ -419,7 +419,7 @@ def fused(spark, sf):
     return rt.rrf_fuse(*arms(spark, sf))
 
 
-@query("rrf_fuse", with_tables("SELECT query_id, chunk_id, round(score, 6) AS score, source_kind, rank FROM t_fused_top"))
+@query("rrf_fuse", with_tables("SELECT query_id, chunk_id, round(score, 9) AS score, source_kind, rank FROM t_fused_top"), digits=9)
 def _(spark, sf):
     return fused(spark, sf).select("query_id", "chunk_id", "score", "source_kind", "rank")
 
@@ -448,15 +448,15 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id
          {_KIND} AS source_kind FROM t_lists GROUP BY query_id, chunk_id) q"""
 
 
-@query("subquery_rrf", with_tables("SELECT query_id, chunk_id, round(score, 6) AS score, source_kind, rank FROM t_sub_merged WHERE rank <= 50"))
+@query("subquery_rrf", with_tables("SELECT query_id, chunk_id, round(score, 9) AS score, source_kind, rank FROM t_sub_merged WHERE rank <= 50"), digits=9)
 def _(spark, sf):
     return rt.subquery_rrf(lists(spark, sf))
 
 
 @query("round_merge", with_tables(f"""
-SELECT query_id, chunk_id, round(score, 6) AS score, source_kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+SELECT query_id, chunk_id, round(score, 9) AS score, source_kind, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, max(score) AS score, {_KIND} AS source_kind FROM (
-    SELECT query_id, chunk_id, score, 'lexical' AS source_kind FROM t_near_half UNION ALL SELECT query_id, chunk_id, score, 'vector' FROM t_near_full) u GROUP BY query_id, chunk_id) q) r WHERE rank <= 50"""))
+    SELECT query_id, chunk_id, score, 'lexical' AS source_kind FROM t_near_half UNION ALL SELECT query_id, chunk_id, score, 'vector' FROM t_near_full) u GROUP BY query_id, chunk_id) q) r WHERE rank <= 50"""), digits=9)
 def _(spark, sf):
     half, full = arms(spark, sf)
     return rt.round_merge(
@@ -468,7 +468,7 @@ def _(spark, sf):
 WITH c AS (SELECT query_id, count(*) AS n, max(CASE WHEN rank = 1 THEN score END) AS top, count(*) FILTER (score >= 0.0164) AS ok FROM t_fused_top GROUP BY query_id),
 j AS (SELECT e.vec_id AS query_id, e.label = 3 AS f, coalesce(n, 0) AS n, coalesce(top, 0) AS top, coalesce(ok, 0) AS ok FROM embeddings e LEFT JOIN c ON c.query_id = e.vec_id)
 SELECT query_id, CASE WHEN NOT f AND top >= 0.02 AND ok > 0 THEN 'INJECT' ELSE 'ABSTAIN' END AS outcome, n AS input_count,
-       CASE WHEN NOT f AND top >= 0.02 AND ok > 0 THEN ok ELSE 0 END AS injected_count, round(top, 6) AS top_score FROM j"""))
+       CASE WHEN NOT f AND top >= 0.02 AND ok > 0 THEN ok ELSE 0 END AS injected_count, round(top, 9) AS top_score FROM j"""), digits=9)
 def _(spark, sf):
     questions = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     return rt.evidence_gate(fused(spark, sf), questions, F.col("label") == 3)
@@ -492,8 +492,8 @@ WITH p AS (SELECT query_id, chunk_id, rank AS rrf_rank FROM t_fused WHERE rank <
 r AS (SELECT p.*, f.score AS rel FROM p LEFT JOIN (SELECT * FROM t_near_full WHERE chunk_id % 5 <> 0) f USING (query_id, chunk_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC NULLS LAST, rrf_rank) AS rr, count(*) OVER (PARTITION BY query_id) AS n FROM r),
 s AS (SELECT *, 0.75::DOUBLE * (1.0 - (rr - 1)::DOUBLE / (n - 1)) + 0.25::DOUBLE * (1.0 - (rrf_rank - 1)::DOUBLE / (n - 1)) AS score FROM o)
-SELECT query_id, chunk_id, chunk_id // 8 AS document_id, round(score, 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rr, rrf_rank) AS rank FROM s) q WHERE rank <= 8"""))
+SELECT query_id, chunk_id, chunk_id // 8 AS document_id, round(score, 9) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rr, rrf_rank) AS rank FROM s) q WHERE rank <= 8"""), digits=9)
 def _(spark, sf):
     return sl.rerank_blend(with_documents(fused(spark, sf)), relevance(spark, sf), w=0.25)
 
@@ -529,7 +529,7 @@ def _(spark, sf):
     return sl.coverage_select(lexical_candidates(spark, sf), lexical_signals(spark, sf, True))
 
 
-@query("coverage_select_plain", with_tables("SELECT query_id, chunk_id, document_id, round(score, 6) AS score, rank FROM t_lexical JOIN t_items USING (chunk_id) WHERE rank <= 8"))
+@query("coverage_select_plain", with_tables("SELECT query_id, chunk_id, document_id, round(score, 9) AS score, rank FROM t_lexical JOIN t_items USING (chunk_id) WHERE rank <= 8"), digits=9)
 def _(spark, sf):
     no_type = lexical_signals(spark, sf).drop("question_type").withColumn("groups", F.filter("groups", lambda g: F.lit(False)))
     return sl.coverage_select(lexical_candidates(spark, sf), no_type)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.text import cap_text
-from tallyvox.session import bounded_rows
 
 DEFAULT_DAYS = 7
 TOP = 5
@@ -89,24 +88,10 @@ def expression_topic_samples(
 
 def topic_catalog_fill(workspaces: DataFrame, topics: DataFrame, counts: DataFrame) -> DataFrame:
     """Every eligible topic of every workspace, zero where nothing was counted."""
-    rows = bounded_rows(topics.filter("alert_eligible").orderBy("sort_order"))
-    if rows is None:
-        raise ValueError("a topic pack holds more topics than one expression can carry")
-    if not rows:
-        return workspaces.sparkSession.createDataFrame(
-            [], "ws bigint, canonical_key string, sort_order int, name string, feedback_count bigint"
-        )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(r.sort_order).alias("sort_order"),
-                F.lit(r.canonical_key).alias("canonical_key"),
-                F.lit(r.name).alias("name"),
-            )
-            for r in rows
-        ]
-    )
-    grid = workspaces.select("ws").distinct().select("ws", F.inline(entries))
+    entry = F.struct("sort_order", "canonical_key", "name")
+    packed = topics.filter("alert_eligible").groupBy(F.lit(1).alias("_one")).agg(F.array_sort(F.collect_list(entry)).alias("_topics"))
+    places = workspaces.select("ws").distinct().withColumn("_one", F.lit(1))
+    grid = places.join(packed, "_one").select("ws", F.inline("_topics"))
     return (
         grid.join(counts.select("ws", "canonical_key", "feedback_count"), ["ws", "canonical_key"], "left")
         .withColumn("feedback_count", F.coalesce("feedback_count", F.lit(0)))

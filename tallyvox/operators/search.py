@@ -1,13 +1,12 @@
 """Exact top-k search of many questions over a whole chunk table.
 
-A task scores a batch of chunks against a block of questions as one matrix product and keeps the
-best k per question, so pairs never become rows. A question table within the broadcast bound goes to
-every task; a larger one is cut into blocks and both sides meet block by block.
+Questions and chunks are cut by a hash into blocks of bounded size, and every pair of blocks meets in
+one task, which scores it as one product and keeps the best k per question, so pairs never become
+rows. There is one way for all sizes: a small question table is one block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +16,13 @@ from pyspark.sql import functions as F
 
 from tallyvox.functions.text import trigrams
 from tallyvox.operators.dashboard import ranked
-from tallyvox.session import BROADCAST_ROW_LIMIT
 
 # Scores are rounded so that ranks do not depend on how rows were cut into batches.
 SCORE_DIGITS = 9
-CHUNK_BLOCK = 50_000
-BATCH_ROWS = 2_000
+QUESTION_BLOCK = 1_024
+CHUNK_BLOCK = 2_048
+BATCH_ROWS = 512
+PAIRS_AT_ONCE = 1 << 22
 
 # Weights and thresholds of the lexical arm.
 TITLE_WEIGHT = 3.0
@@ -56,40 +56,61 @@ class CosineKernel:
         return scores
 
 
+class _Sets:
+    """Sets of hashed trigrams, as (row, place in the vocabulary) entries of those it knows."""
+
+    def __init__(self, lists: pd.Series, vocabulary: np.ndarray):
+        self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
+        place = np.searchsorted(vocabulary, flat)
+        known = np.flatnonzero(vocabulary[np.minimum(place, len(vocabulary) - 1)] == flat) if len(vocabulary) else np.zeros(0, np.int64)
+        self.rows = np.repeat(np.arange(len(lists)), self.sizes)[known]
+        self.places = place[known]
+
+
+class _Index(_Sets):
+    """Posting lists of the questions: rows by trigram."""
+
+    def __init__(self, lists: pd.Series, vocabulary: np.ndarray):
+        super().__init__(lists, vocabulary)
+        self.rows = self.rows[np.argsort(self.places, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.places, minlength=len(vocabulary)))])
+
+    def shared(self, other: _Sets) -> np.ndarray:
+        """Common trigrams of every question with every set, by walking the posting lists."""
+        width = len(other.sizes)
+        out = np.zeros(len(self.sizes) * width, dtype=np.int64)
+        count = self.first[other.places + 1] - self.first[other.places]
+        stops = np.concatenate([[0], np.cumsum(count)])
+        start = 0
+        while start < len(count):
+            stop = max(start + 1, int(np.searchsorted(stops, stops[start] + PAIRS_AT_ONCE, side="right")) - 1)
+            n = count[start:stop]
+            at = np.repeat(self.first[other.places[start:stop]] - (stops[start:stop] - stops[start]), n)
+            rows = self.rows[at + np.arange(int(n.sum()))]
+            out += np.bincount(rows * width + np.repeat(other.rows[start:stop], n), minlength=len(out))
+            start = stop
+        return out.reshape(len(self.sizes), width).astype(np.float64)
+
+
 class TrigramKernel:
-    """Weighted trigram similarity over title, section, version and body pieces."""
+    """Weighted trigram similarity over title, section, version and body pieces, as hashed sets."""
 
     def prepare(self, questions: pd.DataFrame) -> tuple:
-        pieces = pd.unique(
-            np.concatenate([np.asarray(x, dtype=object) for c in ("q_tri", "e_tri") for x in questions[c]])
-        )
-        vocabulary = pd.Index(pieces)
-        plain = self._incidence(questions["q_tri"], vocabulary)
-        expanded = self._incidence(questions["e_tri"], vocabulary)
-        return vocabulary, plain, expanded
-
-    @staticmethod
-    def _incidence(lists: pd.Series, vocabulary: pd.Index) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        matrix = np.zeros((len(lists), len(vocabulary)), dtype=np.float32)
-        if sizes.sum():
-            flat = np.concatenate([np.asarray(x, dtype=object) for x in lists])
-            columns = vocabulary.get_indexer(flat)
-            rows = np.repeat(np.arange(len(lists)), sizes)
-            known = columns >= 0
-            matrix[rows[known], columns[known]] = 1.0
-        return matrix, sizes
+        lists = [np.asarray(x, dtype=np.int64) for c in ("q_tri", "e_tri") for x in questions[c]]
+        vocabulary = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        return vocabulary, _Index(questions["q_tri"], vocabulary), _Index(questions["e_tri"], vocabulary)
 
     @staticmethod
-    def _similarity(questions: tuple, field: tuple) -> np.ndarray:
-        shared = (questions[0] @ field[0].T).astype(np.float64)
-        total = questions[1][:, None] + field[1][None, :] - shared
+    def _similarity(questions: _Index, field: _Sets) -> np.ndarray:
+        shared = questions.shared(field)
+        total = questions.sizes[:, None] + field.sizes[None, :] - shared
         return np.divide(shared, total, out=np.zeros_like(shared), where=total > 0)
 
     def score(self, prepared: tuple, chunks: pd.DataFrame) -> np.ndarray:
         vocabulary, plain, expanded = prepared
         fields = {
-            name: self._incidence(chunks[f"{name}_tri"], vocabulary)
+            name: _Sets(chunks[f"{name}_tri"], vocabulary)
             for name in ("title", "section", "tag", "number", "body")
         }
         title = self._similarity(plain, fields["title"])
@@ -149,36 +170,19 @@ def top_k(
     chunks: DataFrame,
     kernel: CosineKernel | TrigramKernel,
     k: int,
-    limit: int = BROADCAST_ROW_LIMIT,
+    question_block: int = QUESTION_BLOCK,
+    chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best chunks per question, ties by chunk id."""
+    """query_id, chunk_id, score, rank: the k best chunks per question, ties by chunk id.
+
+    Counts both tables when called. A block of questions is sent once to every block of chunks and
+    the other way round; a task holds one of each.
+    """
     q_type = questions.schema["query_id"].dataType.simpleString()
     c_type = chunks.schema["chunk_id"].dataType.simpleString()
-    schema = f"query_id {q_type}, chunk_id {c_type}, score double"
     job = _TopK(kernel, k)
-    local = questions.limit(limit + 1).toPandas()
-    if local.empty:
-        partial = questions.sparkSession.createDataFrame([], schema)
-    elif len(local) <= limit:
-        query_ids = local["query_id"].to_numpy()
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            prepared = kernel.prepare(local)
-            for batch in batches:
-                if len(batch):
-                    yield job.best(query_ids, prepared, batch)
-
-        partial = chunks.mapInPandas(scan, schema)
-    else:
-        partial = _block_by_block(questions, chunks, job, limit, schema)
-    return ranked(partial, k, [F.desc("score"), "chunk_id"], "query_id")
-
-
-def _block_by_block(
-    questions: DataFrame, chunks: DataFrame, job: _TopK, limit: int, schema: str
-) -> DataFrame:
-    question_blocks = -(-questions.count() // limit)
-    chunk_blocks = max(1, -(-chunks.count() // CHUNK_BLOCK))
+    question_blocks = max(1, -(-questions.count() // question_block))
+    chunk_blocks = max(1, -(-chunks.count() // chunk_block))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -191,15 +195,14 @@ def _block_by_block(
     def copies(blocks: int) -> F.Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
-    left = questions.withColumn("_q", block("query_id", question_blocks)).withColumn(
-        "_c", copies(chunk_blocks)
-    )
-    right = chunks.withColumn("_c", block("chunk_id", chunk_blocks)).withColumn(
-        "_q", copies(question_blocks)
-    )
-    return (
-        left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(meet, schema)
+    left = questions.withColumn("_q", block("query_id", question_blocks)).withColumn("_c", copies(chunk_blocks))
+    right = chunks.withColumn("_c", block("chunk_id", chunk_blocks)).withColumn("_q", copies(question_blocks))
+    partial = (
+        left.groupBy("_q", "_c")
+        .cogroup(right.groupBy("_q", "_c"))
+        .applyInPandas(meet, f"query_id {q_type}, chunk_id {c_type}, score double")
     )
+    return ranked(partial, k, [F.desc("score"), "chunk_id"], "query_id")
 
 
 def vector_arm(
@@ -207,7 +210,8 @@ def vector_arm(
     chunks: DataFrame,
     k: int = 40,
     exclude_same_id: bool = False,
-    limit: int = BROADCAST_ROW_LIMIT,
+    question_block: int = QUESTION_BLOCK,
+    chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
     """`questions(query_id, embedding)` against `chunks(chunk_id, embedding)` by cosine."""
     return top_k(
@@ -215,26 +219,30 @@ def vector_arm(
         chunks.select("chunk_id", "embedding"),
         CosineKernel(exclude_same_id),
         k,
-        limit,
+        question_block,
+        chunk_block,
     )
 
 
 def lexical_arm(
-    questions: DataFrame, chunks: DataFrame, k: int = 40, limit: int = BROADCAST_ROW_LIMIT
+    questions: DataFrame, chunks: DataFrame, k: int = 40, question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK
 ) -> DataFrame:
     """`questions(query_id, text, expanded)` against chunk title, section, version and body."""
+    def hashed(text: F.Column) -> F.Column:
+        return F.transform(trigrams(text), lambda t: F.xxhash64(t))
+
     asked = questions.select(
         "query_id",
-        trigrams(F.col("text")).alias("q_tri"),
-        trigrams(F.col("expanded")).alias("e_tri"),
+        hashed(F.col("text")).alias("q_tri"),
+        hashed(F.col("expanded")).alias("e_tri"),
     )
     number = F.col("version_no").cast("string")
     indexed = chunks.select(
         "chunk_id",
-        trigrams(F.col("title")).alias("title_tri"),
-        trigrams(F.col("section_heading")).alias("section_tri"),
-        trigrams(F.concat(F.lit("v"), number)).alias("tag_tri"),
-        trigrams(number).alias("number_tri"),
-        trigrams(F.coalesce("lexical_text", "content")).alias("body_tri"),
+        hashed(F.col("title")).alias("title_tri"),
+        hashed(F.col("section_heading")).alias("section_tri"),
+        hashed(F.concat(F.lit("v"), number)).alias("tag_tri"),
+        hashed(number).alias("number_tri"),
+        hashed(F.coalesce("lexical_text", "content")).alias("body_tri"),
     )
-    return top_k(asked, indexed, TrigramKernel(), k, limit)
+    return top_k(asked, indexed, TrigramKernel(), k, question_block, chunk_block)

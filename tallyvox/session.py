@@ -6,9 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a driver-side or broadcast side may hold. Larger inputs take the shuffled path.
-BROADCAST_ROW_LIMIT = 4096
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings the jobs rely on; safe to call on a session somebody else made."""
@@ -20,13 +17,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder named by the cluster; a local one only where none is set in local mode (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="tallyvox-checkpoint-")
     sc.setCheckpointDir(named)
     return named
@@ -36,18 +35,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint so that later passes see the same rows and order."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
-
-    Only small inputs are moved: a large table has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> list | None:
-    """Rows of a side that may go to the driver, or None when it is larger than the bound."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None

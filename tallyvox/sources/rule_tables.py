@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyvox.session import bounded_rows
 from tallyvox.sources import fixed_rules as fixed
 
 RULE_SCHEMA = (
@@ -53,10 +52,8 @@ def topics_frame(
 
 
 def rule_list(rules: DataFrame) -> list[Rule]:
-    """Rules of one pack in order; a pack beyond the driver bound is a data error."""
-    rows = bounded_rows(rules.orderBy("rule_pos"))
-    if rows is None:
-        raise ValueError("a rule pack holds more rules than one expression can carry")
+    """Rules of one pack in order. A pack is configuration that people write, and read whole."""
+    rows = rules.orderBy("rule_pos").collect()
     return [
         Rule(r.canonical_key, r.name, r.priority, r.any_patterns, r.all_patterns, r.exclude_patterns)
         for r in rows

@@ -11,12 +11,12 @@ PREVIEW_CHARS = 120
 def write_facts(df: DataFrame, path: str, table: str, sort_by: list[str] | None = None) -> str:
     """Replace the facts of exactly the workspaces present in `df`; others stay untouched.
 
-    Rows are spread by a hash of the row besides the workspace, so one large workspace is written
-    by many tasks.
+    Rows are range-partitioned by workspace and a hash of the row, so a workspace is written by as
+    many tasks as its share of the rows asks for.
     """
     target = f"{path}/{table}"
     others = [c for c in df.columns if c != "ws"]
-    spread = df.repartition("ws", F.pmod(F.xxhash64(*others), F.lit(32)))
+    spread = df.repartitionByRange("ws", F.xxhash64(*others))
     if sort_by:
         spread = spread.sortWithinPartitions("ws", *sort_by)
     (

@@ -31,7 +31,7 @@ def vectors(spark, n, name, seed):
 def test_search_paths_agree_with_brute_force(spark):
     q, c = vectors(spark, 23, "query_id", 1), vectors(spark, 301, "chunk_id", 2)
     small = se.vector_arm(q, c, 7).collect()
-    blocks = se.vector_arm(q, c, 7, limit=5).collect()
+    blocks = se.vector_arm(q, c, 7, question_block=5, chunk_block=9).collect()
     as_set = lambda rows: {(r.query_id, r.chunk_id, r.rank) for r in rows}
     assert as_set(small) == as_set(blocks)
     unit = lambda rows: np.array([np.array(r.embedding) / (np.linalg.norm(r.embedding) or 1) for r in rows])

@@ -193,22 +193,22 @@ def _(spark, sf):
 # --- answers and runs ----------------------------------------------------------------------
 
 CTES["t_answer_cases"] = """
-SELECT l.doc_id AS case_id, l.toxic = 1 AS refusal_expected, d.text AS answer, [split_part(d.text, chr(10), 1), o.text] AS required_facts,
-       CASE WHEN l.doc_id % 2 = 0 THEN [split_part(o.text, chr(10), 1)] ELSE [split_part(d.text, ' ', 2), o.text] END AS forbidden_claims
-FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN benchmark o ON o.item_id = l.doc_id % 40"""
+SELECT l.doc_id AS case_id, l.toxic = 1 AS refusal_expected, d.text AS answer, [d.text, o.text] AS required_facts,
+       CASE WHEN l.doc_id % 2 = 0 THEN [o.text] ELSE [split_part(d.text, ' ', 2), o.text] END AS forbidden_claims
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN benchmark o ON o.item_id = l.doc_id % (SELECT count(*) FROM benchmark)"""
 
 
 def answer_cases(spark, sf):
     i = F.col("case_id")
+    items = src.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("other"))
     rows = src.table(spark, sf, "labels").withColumnRenamed("doc_id", "case_id").join(
         src.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("answer")), "case_id"
-    ).join(src.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("other")), i % 40 == F.col("item_id"))
-    line = lambda c: F.get(F.split(c, "\n"), F.lit(0))
+    ).join(items, i % F.lit(max(1, items.count())) == F.col("item_id"))
     second = F.coalesce(F.get(F.split("answer", " "), F.lit(1)), F.lit(""))
     return rows.select(
         "case_id", (F.col("toxic") == 1).alias("refusal_expected"), "answer",
-        F.array(line("answer"), F.col("other")).alias("required_facts"),
-        F.when(i % 2 == 0, F.array(line("other"))).otherwise(F.array(second, F.col("other"))).alias("forbidden_claims"),
+        F.array("answer", "other").alias("required_facts"),
+        F.when(i % 2 == 0, F.array("other")).otherwise(F.array(second, F.col("other"))).alias("forbidden_claims"),
     )
 
 

@@ -574,14 +574,14 @@ def evidence(spark: SparkSession, sf: str, ranked: DataFrame | None = None) -> D
 
 
 CTES["t_assertions"] = """
-SELECT g.case_key, 0 AS sort_order, 'REQUIRED_FACT' AS assertion_type, split_part(d.text, chr(10), 1) AS assertion_text, 1 + g.vec_id % 3 AS weight
+SELECT g.case_key, 0 AS sort_order, 'REQUIRED_FACT' AS assertion_type, d.text AS assertion_text, 1 + g.vec_id % 3 AS weight
 FROM t_gold g JOIN documents d ON d.doc_id = g.vec_id
 UNION ALL
-SELECT g.case_key, 1, 'REQUIRED_FACT', split_part(d.text, chr(10), 1), g.vec_id % 5
+SELECT g.case_key, 1, 'REQUIRED_FACT', d.text, g.vec_id % 5
 FROM t_gold g JOIN documents d ON d.doc_id = g.vec_id + 1
 UNION ALL
 SELECT g.case_key, 2, 'FORBIDDEN_CLAIM', b.text, 1
-FROM t_gold g JOIN benchmark b ON b.item_id = g.vec_id % 40 WHERE g.vec_id % 6 <> 0"""
+FROM t_gold g JOIN benchmark b ON b.item_id = g.vec_id % (SELECT count(*) FROM benchmark) WHERE g.vec_id % 6 <> 0"""
 
 
 def assertions(spark: SparkSession, sf: str) -> DataFrame:
@@ -594,12 +594,11 @@ def assertions(spark: SparkSession, sf: str) -> DataFrame:
             text.alias("assertion_text"), weight.cast("bigint").alias("weight"),
         )
 
-    line = F.get(F.split("text", "\n"), F.lit(0))
+    line = F.col("text")
     own = cases.join(texts, i == F.col("doc_id"))
     other = cases.join(texts, i + 1 == F.col("doc_id"))
-    claims = cases.filter(i % 6 != 0).join(
-        table(spark, sf, "benchmark"), i % 40 == F.col("item_id")
-    )
+    items = table(spark, sf, "benchmark")
+    claims = cases.filter(i % 6 != 0).join(items, i % F.lit(max(1, items.count())) == F.col("item_id"))
     return (
         row(own, 0, "REQUIRED_FACT", line, 1 + i % 3)
         .unionByName(row(other, 1, "REQUIRED_FACT", line, i % 5))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.text import token_estimate
+from tallyvox.operators.dashboard import ranked
 from tallyvox.session import materialize
 
 MAX_COUNT = 40
@@ -254,15 +255,15 @@ def cell_issues(assigned: DataFrame, links: DataFrame, samples: int = 5) -> Data
     rows = assigned.select("ws", "cell_no", "event_id", "occurred_at").join(
         links.select("event_id", "canonical_key"), "event_id"
     )
-    return rows.groupBy("ws", "cell_no", "canonical_key").agg(
-        F.count(F.lit(1)).alias("mention_count"),
+    per = ["ws", "cell_no", "canonical_key"]
+    counted = rows.groupBy(*per).agg(F.count(F.lit(1)).alias("mention_count"))
+    first = ranked(rows, samples, ["occurred_at", "event_id"], per)
+    listed = first.groupBy(*per).agg(
         F.transform(
-            F.slice(
-                F.array_sort(F.collect_list(F.struct("occurred_at", "event_id"))), 1, samples
-            ),
-            lambda x: x["event_id"],
-        ).alias("sample_event_ids"),
+            F.array_sort(F.collect_list(F.struct("occurred_at", "event_id"))), lambda x: x["event_id"]
+        ).alias("sample_event_ids")
     )
+    return counted.join(listed, per)
 
 
 def source_window(cells: DataFrame, key: str = "ws") -> DataFrame:

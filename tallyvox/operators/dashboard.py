@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.text import cap_text
+from tallyvox.session import small_side
 
 DEFAULT_DAYS = 7
 TOP = 5
@@ -43,9 +44,13 @@ def analysis_window(
 
 
 def in_window(df: DataFrame, window: DataFrame, at: str) -> DataFrame:
-    """Rows inside their workspace's window. The window table has one row per workspace."""
+    """Rows inside their workspace's window. The window table has one row per workspace.
+
+    Counts the windows when called: few enough of them go to every task, and the rows stay where
+    they are; more of them meet the rows by workspace.
+    """
     return (
-        df.join(window, "ws")
+        df.join(small_side(window), "ws")
         .filter((F.col(at) >= F.col("window_start")) & (F.col(at) <= F.col("window_end")))
         .drop("window_start", "window_end")
     )
@@ -172,16 +177,17 @@ def eligible_overview(
     Recent alerts are the newest of all topics and filtered afterwards.
     """
     keys = topics.filter("alert_eligible").select("canonical_key")
-    known = catalog.join(F.broadcast(keys), "canonical_key", "left_semi")
+    keys = small_side(keys)
+    known = catalog.join(keys, "canonical_key", "left_semi")
     counts = (
         in_window(events.select("ws", "event_id", "occurred_at"), window, "occurred_at")
         .join(links.select("event_id", "canonical_key"), "event_id")
-        .join(F.broadcast(keys), "canonical_key", "left_semi")
+        .join(keys, "canonical_key", "left_semi")
         .groupBy("ws", "canonical_key")
         .agg(F.count(F.lit(1)).alias("feedback_count"))
     )
     eligible = in_window(buckets, window, "bucket_start").join(
-        F.broadcast(keys), "canonical_key", "left_semi"
+        keys, "canonical_key", "left_semi"
     )
     per_topic = (
         topic_catalog_fill(window, topics, counts)

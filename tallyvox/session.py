@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -35,3 +36,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint so that later passes see the same rows and order."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows, unmarked otherwise. Counts it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvox.functions.text import PHONE_PATTERN_CN, is_blank, java_trim, pii_mask
+from tallyvox.operators.ordering import numbered
 
 BOM = chr(0xFEFF)
 REQUIRED_FIELDS = ["feedback_text", "occurred_at", "source", "external_ref"]
@@ -61,14 +62,15 @@ def read_feedback_csv(spark: SparkSession, path: str, multi_line: bool = True) -
     """All-string scan with the file name and a sequence that grows in file order.
 
     `multi_line` allows line breaks inside quoted cells; a file is then read by one task. Switch it
-    off for huge files without such breaks, which Spark then splits.
+    off for huge files without such breaks, which Spark then splits. All files must have the header
+    of the first, in its order; another one is an error when the file is read.
     """
     names = validate_headers(_header(spark, path))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     raw = (
         spark.read.schema(schema)
         .option("header", "true")
-        .option("enforceSchema", "true")
+        .option("enforceSchema", "false")
         .option("encoding", "UTF-8")
         .option("escape", '"')
         .option("multiLine", str(multi_line).lower())
@@ -83,6 +85,11 @@ def read_feedback_csv(spark: SparkSession, path: str, multi_line: bool = True) -
     )
 
 
+def record_numbers(df: DataFrame) -> DataFrame:
+    """`row_no`: the record's number in its file, from 1, however many tasks read the file."""
+    return numbered(df, ["_file"], ["_seq"], "row_no")
+
+
 def preview(df: DataFrame, n: int = 5, phone: str = PHONE_PATTERN_CN) -> DataFrame:
     columns = [c for c in df.columns if not c.startswith("_")]
     masked = [pii_mask(F.col(f"`{c}`").cast("string"), phone).alias(c) for c in columns]

@@ -61,3 +61,31 @@ def test_overwrite_keeps_other_workspaces(spark, tmp_path):
     path = sinks.write_facts(rows, str(tmp_path), "t")
     sinks.write_facts(spark.createDataFrame([(1, "c")], "ws long, k string"), str(tmp_path), "t")
     assert {(r.ws, r.k) for r in spark.read.parquet(path).collect()} == {(1, "c"), (2, "b")}
+
+
+def test_headers_of_one_order_only(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("x,y\n3,4\n")
+    assert sorted((r.x, r.y) for r in fc.read_feedback_csv(spark, str(tmp_path)).collect()) == [("1", "2"), ("3", "4")]
+    (tmp_path / "b.csv").write_text("y,x\n2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        fc.read_feedback_csv(spark, str(tmp_path)).collect()
+
+
+def test_record_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,t\n" + "".join(f"{k},{'x' * 200}\n" for k in range(2000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = fc.read_feedback_csv(spark, str(tmp_path), multi_line=False)
+        assert rows.rdd.getNumPartitions() > 2
+        assert all(int(r.n) + 1 == r.row_no for r in fc.record_numbers(rows).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_large_topic_list(spark):
+    from tallyvox.operators.dashboard import topic_catalog_fill
+
+    topics = spark.createDataFrame([(f"t{k}", k, "n", True) for k in range(5000)], "canonical_key string, sort_order int, name string, alert_eligible boolean")
+    filled = topic_catalog_fill(spark.createDataFrame([(1,), (2,)], "ws long"), topics, spark.createDataFrame([(1, "t7", 3)], "ws long, canonical_key string, feedback_count long"))
+    assert filled.count() == 10_000 and filled.where("feedback_count = 3").count() == 1

@@ -69,7 +69,7 @@ def _(spark, sf):
 @query("stream_cells", with_tables("""
 SELECT ws::VARCHAR AS ws, cell_no, min(occurred_at) AS window_start, max(occurred_at) AS window_end, count(*) AS event_count, CAST(sum(tokens) AS BIGINT) AS estimated_tokens
 FROM t_numbered n GROUP BY ws, cell_no
-HAVING cell_no < (SELECT max(cell_no) FROM t_numbered m WHERE m.ws = n.ws)
+HAVING cell_no < (SELECT max(cell_no) FROM t_numbered m WHERE m.ws = n.ws AND m.occurred_at <= (SELECT max(occurred_at) FROM t_events) - INTERVAL 10 MINUTE)
     OR min(occurred_at) + INTERVAL 60 MINUTE < (SELECT max(occurred_at) FROM t_events) - INTERVAL 10 MINUTE""", recursive=True))
 def _(spark, sf):
     folder = _folder(spark, "cells")

@@ -101,12 +101,16 @@ CELL_SCHEMA = (
     "ws string, cell_no long, window_start timestamp, window_end timestamp, event_count long, "
     "estimated_tokens long, close_reason string"
 )
-CELL_STATE = "cell_no long, start_us long, last_us long, count long, tokens long"
+CELL_STATE = (
+    "cell_no long, start_us long, last_us long, count long, tokens long, "
+    "waiting_us array<long>, waiting_id array<string>, waiting_tokens array<long>"
+)
 
 
-def _cell_step(guards: Guards):
-    """Walks the new events of one workspace from its open cell."""
+def _cell_step(guards: Guards, numeric: bool):
+    """Walks the events of one workspace that the watermark has passed, from its open cell."""
     span = guards.max_minutes * 60_000_000
+    names = [f.split()[0] for f in CELL_SCHEMA.split(", ")]
 
     def row(ws: str, state: tuple, reason: str) -> tuple:
         no, start, last, count, tokens = state
@@ -114,32 +118,32 @@ def _cell_step(guards: Guards):
         return ws, no, stamp(start), stamp(last), count, tokens, reason
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        ws, out = key[0], []
-        state = tuple(held.get) if held.exists else None
-        if held.hasTimedOut:
-            if state and state[3]:
-                out.append(row(ws, state, "window_limit"))
-                held.update((state[0], 0, 0, 0, 0))
-        else:
-            events = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "event_id"])
-            no, start, last, count, tokens = state or (0, 0, 0, 0, 0)
-            for when, size in zip(events["ts_us"].tolist(), events["tokens"].tolist()):
-                full = count >= guards.max_count
-                late = when - start >= span
-                if count and (full or late or tokens + size > guards.max_tokens):
-                    reason = "count_limit" if full else "window_limit" if late else "token_limit"
-                    out.append(row(ws, (no, start, last, count, tokens), reason))
-                    count = 0
-                if count == 0:
-                    no, start, tokens = no + 1, when, 0
-                last, count, tokens = max(last, when) if count else when, count + 1, tokens + size
-            held.update((no, start, last, count, tokens))
-            deadline = (start + span) // 1000
-            if deadline > held.getCurrentWatermarkMs():
-                held.setTimeoutTimestamp(deadline)
-            else:
-                held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + 1)
-        names = [f.split()[0] for f in CELL_SCHEMA.split(", ")]
+        ws, out, passed = key[0], [], held.getCurrentWatermarkMs() * 1000
+        no, start, last, count, tokens, *kept = tuple(held.get) if held.exists else (0, 0, 0, 0, 0, [], [], [])
+        waiting = list(zip(*kept, strict=True))
+        if not held.hasTimedOut:
+            for b in batches:
+                waiting += zip(b["ts_us"].tolist(), b["event_id"].tolist(), b["tokens"].tolist(), strict=True)
+        waiting.sort(key=lambda e: (e[0], int(e[1]) if numeric else e[1]))
+        ready = [e for e in waiting if e[0] <= passed]
+        for when, _, size in ready:
+            full = count >= guards.max_count
+            late = when - start >= span
+            if count and (full or late or tokens + size > guards.max_tokens):
+                reason = "count_limit" if full else "window_limit" if late else "token_limit"
+                out.append(row(ws, (no, start, last, count, tokens), reason))
+                count = 0
+            if count == 0:
+                no, start, tokens = no + 1, when, 0
+            last, count, tokens = when, count + 1, tokens + size
+        if count and start + span < passed:
+            out.append(row(ws, (no, start, last, count, tokens), "window_limit"))
+            count = tokens = 0
+        rest = waiting[len(ready) :]
+        held.update((no, start, last, count, tokens, *([e[k] for e in rest] for k in range(3))))
+        ends = [e[0] // 1000 for e in rest[:1]] + ([(start + span) // 1000] if count else [])
+        if ends:
+            held.setTimeoutTimestamp(max(min(ends), held.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=names)
 
@@ -149,17 +153,20 @@ def _cell_step(guards: Guards):
 def stream_cells(events: DataFrame, guards: Guards = Guards(), lateness: str = "10 minutes") -> DataFrame:
     """Closed cells, as they close. The open cell of a workspace closes once the watermark passes it.
 
-    Only the open cell is kept per workspace. Events are ordered within each batch.
+    Events wait in the state until the watermark has passed them, and are walked in the order of
+    time and id, so an event that is late by less than the allowed time lands in its cell. The state
+    of a workspace is its open cell and the events of the allowed lateness.
     """
+    numeric = isinstance(events.schema["event_id"].dataType, T.IntegralType)
     slim = events.withWatermark("occurred_at", lateness).select(
         F.col("ws").cast("string").alias("ws"),
-        "event_id",
+        F.col("event_id").cast("string").alias("event_id"),
         "occurred_at",
         F.unix_micros("occurred_at").alias("ts_us"),
         token_estimate(F.col("normalized_text")).cast("long").alias("tokens"),
     )
     return slim.groupBy("ws").applyInPandasWithState(
-        _cell_step(guards), CELL_SCHEMA, CELL_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        _cell_step(guards, numeric), CELL_SCHEMA, CELL_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

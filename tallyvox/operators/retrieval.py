@@ -129,27 +129,42 @@ def round_merge(narrow: DataFrame, broad: DataFrame, top: int = CANDIDATES) -> D
 
 # --- identifiers ---------------------------------------------------------------------------
 
-# Every place a text can contain `LETTERS-DIGITS` holds this core of it.
-IDENTIFIER_CORE = r"[A-Z]{2}-\d{3}"
+# Every place a text can contain an identifier lies in one of these runs.
+IDENTIFIER_RUN = r"[A-Z]{2,}-\d{3,}"
+LETTERS, DIGITS = (2, 6), (3, 6)  # lengths of an identifier's two parts
+
+
+def _inside(run: Column) -> Column:
+    """All identifiers a run contains: its last letters and its first digits; at most 20."""
+    letters, digits = F.substring_index(run, "-", 1), F.substring_index(run, "-", -1)
+
+    def lengths(part: Column, bounds: tuple[int, int]) -> Column:
+        return F.sequence(F.lit(bounds[0]), F.least(F.length(part), F.lit(bounds[1])))
+
+    return F.flatten(
+        F.transform(
+            lengths(letters, LETTERS),
+            lambda n: F.transform(
+                lengths(digits, DIGITS),
+                lambda m: F.concat(F.right(letters, n), F.lit("-"), F.left(digits, m)),
+            ),
+        )
+    )
 
 
 def identifier_hits(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks whose title, content or index text contains an identifier.
 
-    `wanted(identifier)`. Both sides meet on the two letters and three digits around the dash, an
-    equi-join, and the full identifier is checked on the pairs that meet.
+    `wanted(identifier)`. The identifiers inside each text are made in the scan and meet the wanted
+    ones by an equi-join; no text is shuffled.
     """
     haystack = F.upper(
         F.concat_ws("\n", "title", "content", F.coalesce("lexical_text", F.lit("")))
     )
-    cores = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(IDENTIFIER_CORE), F.lit(0)))
-    located = chunks.select("version_id", "chunk_no", "chunk_id", haystack.alias("_text")).withColumn(
-        "_core", F.explode_outer(cores)
-    )
-    asked = wanted.select("identifier").distinct().withColumn(
-        "_core", F.regexp_extract("identifier", IDENTIFIER_CORE, 0)
-    )
-    return located.join(asked, "_core").filter(F.col("_text").contains(F.col("identifier"))).select(
+    runs = F.regexp_extract_all(haystack, F.lit(IDENTIFIER_RUN), F.lit(0))
+    held = F.array_distinct(F.flatten(F.transform(runs, _inside)))
+    located = chunks.select("version_id", "chunk_no", "chunk_id", F.explode_outer(held).alias("identifier"))
+    return located.join(wanted.select("identifier").distinct(), "identifier").select(
         "identifier", "version_id", "chunk_no", "chunk_id"
     )
 
@@ -213,34 +228,28 @@ def _words(c: Column) -> Column:
 def legacy_lexical(queries: DataFrame, chunks: DataFrame, k: int = LEGACY_K) -> DataFrame:
     """Chunks that hold every word of a question, by number of occurrences of those words.
 
-    A question meets chunks only on its rarest word, so common words form no pairs. Occurrence
-    counts stand in for cover density.
+    A question meets chunks only on its rarest word, so common words form no pairs. Rows hold one
+    word each; no list of words is shuffled. Occurrence counts stand in for cover density.
     """
     asked = queries.select("query_id", F.array_distinct(_words(F.col("text"))).alias("_wanted"))
-    held = chunks.select("chunk_id", _words(F.col("content")).alias("_words"))
-    in_questions = asked.select(F.explode("_wanted").alias("_word")).distinct()
-    spread = held.select(
-        "chunk_id", "_words", F.explode_outer(F.array_distinct("_words")).alias("_word")
-    )
-    frequency = (
-        spread.select("_word")
-        .join(in_questions, "_word", "left_semi")
-        .groupBy("_word")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    rarest = (
-        asked.select("query_id", "_wanted", F.explode("_wanted").alias("_word"))
-        .join(frequency, "_word", "left")
-        .withColumn("_n", F.coalesce("_n", F.lit(0)))
-    )
+    wanted = asked.select("query_id", F.size("_wanted").alias("_size"), F.explode("_wanted").alias("_word"))
+    held = (
+        chunks.select("chunk_id", F.explode_outer(_words(F.col("content"))).alias("_word"))
+        .join(wanted.select("_word").distinct(), "_word", "left_semi")
+        .groupBy("chunk_id", "_word")
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    frequency = held.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.join(frequency, "_word", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     anchor = ranked(rarest, 1, ["_n", "_word"], "query_id").filter(F.col("_n") > 0)
-    pairs = spread.join(anchor.select("query_id", "_wanted", "_word"), "_word").filter(
-        F.size(F.array_except("_wanted", "_words")) == 0
-    )
-    found = pairs.select(
-        "query_id",
-        "chunk_id",
-        F.size(F.filter("_words", lambda w: F.array_contains("_wanted", w))).alias("score"),
+    pairs = held.select("chunk_id", "_word").join(anchor.select("query_id", "_word"), "_word").drop("_word")
+    found = (
+        pairs.join(wanted, "query_id")
+        .join(held, ["chunk_id", "_word"])
+        .groupBy("query_id", "chunk_id")
+        .agg(F.count(F.lit(1)).alias("_met"), F.first("_size").alias("_size"), F.sum("_times").cast("int").alias("score"))
+        .filter(F.col("_met") == F.col("_size"))
+        .select("query_id", "chunk_id", "score")
     )
     return ranked(found, k, [F.desc("score"), "chunk_id"], "query_id")
 

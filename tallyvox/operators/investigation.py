@@ -54,10 +54,11 @@ def investigation_windows(
 def window_counts(windows: DataFrame, buckets: DataFrame) -> DataFrame:
     """Current and previous sums and the daily series of each alert window.
 
-    Buckets per topic are bounded by the calendar; the join key is (workspace, topic).
+    A window meets only its own days, on (workspace, topic, day).
     """
-    days = buckets.select("ws", "canonical_key", "bucket_start", "feedback_count")
-    joined = windows.join(days, ["ws", "canonical_key"], "left")
+    days = buckets.select("ws", "canonical_key", "bucket_start", "feedback_count", F.to_date("bucket_start").alias("_day"))
+    span = F.sequence(F.to_date("previous_start"), F.to_date("current_end"))
+    joined = windows.withColumn("_day", F.explode(span)).join(days, ["ws", "canonical_key", "_day"], "left")
     at, n = F.col("bucket_start"), F.col("feedback_count")
     current = (at >= F.col("current_start")) & (at < F.col("current_end"))
     previous = (at >= F.col("previous_start")) & (at < F.col("previous_end"))

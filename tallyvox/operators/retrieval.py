@@ -320,27 +320,29 @@ def section_expand(hits: DataFrame, chunks: DataFrame, max_chars: int = CONTEXT_
     """A hit becomes its whole section when that fits, else the hit and what fits around it.
 
     Chunks of a section are placed on a character axis. Only chunks within `max_chars` of the hit
-    can take part, so a hit meets three buckets of that axis instead of the whole section.
+    can take part, so a hit meets three buckets of that axis instead of the whole section. Sections
+    without a hit are left out first, and contents are fetched for the chunks that take part.
     """
     key = ["version_id", "section"]
-    placed = chunks.select(
+    lean = chunks.select(
         "version_id",
         F.coalesce(java_trim(F.col("section_heading")), F.lit("")).alias("section"),
         "chunk_no",
         "chunk_id",
-        "content",
+        F.length("content").cast("long").alias("chars"),
+        F.sha2("content", 256).alias("digest"),
     )
+    hit_sections = lean.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi").select(*key).distinct()
     placed = running_before(
-        placed, key, ["chunk_no"], F.length("content").cast("long") + 1, "offset"
+        lean.join(hit_sections, key, "left_semi"), key, ["chunk_no"], F.col("chars") + 1, "offset"
     )
-    totals = placed.groupBy(*key).agg((F.sum(F.length("content") + 1) - 1).alias("section_chars"))
-    digest = F.sha2("content", 256)
-    first_same = placed.groupBy(*key, digest.alias("digest")).agg(
+    totals = placed.groupBy(*key).agg((F.sum(F.col("chars") + 1) - 1).alias("section_chars"))
+    first_same = placed.groupBy(*key, "digest").agg(
         F.min_by(F.struct("chunk_no", "offset"), "chunk_no").alias("anchor")
     )
     asked = (
         hits.select("query_id", "chunk_id")
-        .join(placed.select(*key, "chunk_id", digest.alias("digest")), "chunk_id")
+        .join(placed.select(*key, "chunk_id", "digest"), "chunk_id")
         .join(first_same, [*key, "digest"])
         .join(totals, key)
         .select("query_id", "chunk_id", *key, "section_chars", "anchor.chunk_no", "anchor.offset")
@@ -361,9 +363,9 @@ def section_expand(hits: DataFrame, chunks: DataFrame, max_chars: int = CONTEXT_
         ),
     )
     near = reach.join(
-        placed.select(*key, "chunk_no", "content", bucket(F.col("offset")).alias("bucket")),
+        placed.select(*key, "chunk_no", F.col("chunk_id").alias("piece"), bucket(F.col("offset")).alias("bucket")),
         [*key, "bucket"],
-    )
+    ).join(chunks.select(F.col("chunk_id").alias("piece"), "content"), "piece")
     gathered = near.groupBy("query_id", "chunk_id", "section_chars", "anchor_no").agg(
         F.array_sort(F.collect_list(F.struct("chunk_no", "content"))).alias("slices")
     )

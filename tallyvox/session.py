@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a long chain of small jobs may put off
+    until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """`df` marked for broadcast if it has at most `rows` rows, unmarked otherwise. Counts it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

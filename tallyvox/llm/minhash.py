@@ -8,8 +8,8 @@ rarest coordinate-value pairs of either text, which are the only ones a text is
 frequent rest of the lists is skipped and only looked up, when the collisions of a candidate are
 counted. Candidates that agree often enough are confirmed on the full sets.
 
-Texts of one set are one entry. Members of a list are not paired with each other: they are compared
-with the list's leader, and what the confirmed links already connect is never compared again. The
+Texts of one set are one entry. Members of a list are not paired with each other at first: they are
+compared with the list's leaders, and what the confirmed links connect is never compared again. The
 pairs between components that remain are then compared in full, so nothing is lost to a cap.
 """
 
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from tallyvox.llm import spans, tokens
 from tallyvox.llm.components import components
 from tallyvox.llm.sketch import bucket_counts
-from tallyvox.session import materialize
+from tallyvox.session import materialize, release
 
 SHINGLE = 5
 COORDINATES = 64
 SKETCH_BITS = 20
-LEADER_ROUNDS = 3
+LEADERS = 3  # members every other one of a list is compared with first
 _SEEDS = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, (3, 256), dtype=np.uint64)
 _SHIFT, _FACTOR, _PLACE = _SEEDS[0], _SEEDS[1] | np.uint64(1), _SEEDS[2] | np.uint64(1)
 
@@ -94,36 +94,47 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "key long, set_a long, set_b long, n_shingles long, signature binary")
 
 
+def _rows_of(batch: pa.RecordBatch, column: str = "signature") -> np.ndarray:
+    return spans.buffer(batch.column(column))[0].view("<u4").reshape(-1, COORDINATES)
+
+
 def _posted(entries: DataFrame, prefix: int) -> DataFrame:
-    """(list, id, size): each entry under the rarest coordinate-value pairs of its signature."""
+    """(list, id, size, central): entries under the rarest coordinate-value pairs of their signatures.
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, _ = spans.buffer(batch.column(0))
-            found = _coordinate_keys(data.view("<u4").reshape(-1, COORDINATES))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary())], names=["keys"])
+    Lists of one entry are left out. `central` is higher the more often the entry's coordinates
+    occur in the corpus: the text that copies were made from comes before its copies.
+    """
 
-    seen = entries.select("signature").mapInArrow(keys, "keys binary")
-    counts = entries.sparkSession.sparkContext.broadcast(bucket_counts(seen, "keys", SKETCH_BITS))
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return _coordinate_keys(_rows_of(batch)).ravel()
+
+    counts = entries.sparkSession.sparkContext.broadcast(bucket_counts(entries, "signature", SKETCH_BITS, keys))
+
+    def often(found: np.ndarray) -> np.ndarray:
+        return counts.value[(found & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, _ = spans.buffer(batch.column("signature"))
-            found = _coordinate_keys(data.view("<u4").reshape(-1, COORDINATES))
-            often = counts.value[(found & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-            order = np.lexsort((found, often), axis=1)[:, :prefix]
+            found = _coordinate_keys(_rows_of(batch))
+            order = np.lexsort((found, often(found)), axis=1)[:, :prefix]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.take_along_axis(found, order, 1).ravel().view(np.int64)),
                     pa.array(np.repeat(batch.column("id").to_numpy(), prefix)),
-                    pa.array(np.repeat(batch.column("size").to_numpy(), prefix)),
                 ],
-                names=["list", "id", "size"],
+                names=["list", "id"],
             )
 
-    posts = entries.select("id", "size", "signature").mapInArrow(post, "list long, id long, size long")
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            central = np.log1p(often(_coordinate_keys(_rows_of(batch)))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), pa.array(central)], names=["id", "size", "central"])
+
+    posts = entries.select("id", "signature").mapInArrow(post, "list long, id long")
     shared = posts.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
-    return posts.join(shared, "list")
+    posts = materialize(posts.join(shared, "list"))
+    weighed = entries.select("id", "size", "signature").mapInArrow(weigh, "id long, size long, central double")
+    return posts.join(weighed, "id")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bit table of fixed size drops most other texts before anything is shuffled.
     """
-    bits = 22
+    bits = 21
     flags = docs.sparkSession.sparkContext.broadcast(
         np.packbits(bucket_counts(wanted.select(F.xxhash64("id").alias("h")), "h", bits) > 0)
     )
@@ -147,45 +158,89 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return hashed.join(wanted, "id", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, entries: DataFrame, sets: DataFrame, share: int, matches: int) -> DataFrame:
-    """Pairs (a, b) that agree in enough coordinates and are similar on their full sets."""
+def _confirmed(
+    pairs: DataFrame, entries: DataFrame, texts: DataFrame, share: int, matches: int, sets: DataFrame | None = None
+) -> DataFrame:
+    """Pairs (a, b) that agree in enough coordinates and are similar on their full sets.
+
+    `sets` may hold the sets of all entries concerned; otherwise those needed are hashed again.
+    """
+
+    def agreeing(batch: pa.RecordBatch) -> np.ndarray:
+        return (_rows_of(batch, "signature_a") == _rows_of(batch, "signature_b")).sum(axis=1) >= matches
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, t = (spans.buffer(batch.column(c))[0].view("<u4").reshape(-1, COORDINATES) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((s == t).sum(axis=1) >= matches))
+            yield batch.select(["a", "b"]).filter(pa.array(agreeing(batch)))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if "signature_a" in batch.schema.names:
+                batch = batch.filter(pa.array(agreeing(batch)))
             keep = []
-            for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
+            for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def of(table: DataFrame, column: str, end: str) -> DataFrame:
-        return table.select(F.col("id").alias(end), F.col(column).alias(column[0] + end))
+    def both_ends(of: DataFrame, table: DataFrame) -> DataFrame:
+        columns = [c for c in table.columns if c != "id"]
+        for end in "ab":
+            of = of.join(table.select(F.col("id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        return of.select("a", "b", *(f"{c}_{end}" for c in columns for end in "ab"))
 
-    close = (
-        pairs.join(of(entries, "signature", "a"), "a")
-        .join(of(entries, "signature", "b"), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(agree, "a long, b long")
-    )
-    return (
-        close.join(of(sets, "members", "a"), "a")
-        .join(of(sets, "members", "b"), "b")
-        .select("a", "b", "ma", "mb")
-        .mapInArrow(similar, "a long, b long")
+    signed = entries.select("id", "signature")
+    if sets is not None:
+        return materialize(both_ends(pairs, signed.join(sets, "id")).mapInArrow(similar, "a long, b long"))
+    close = materialize(both_ends(pairs, signed).mapInArrow(agree, "a long, b long"))
+    if close.isEmpty():
+        return close
+    release(pairs.sparkSession)
+    sets = materialize(_sets(texts, close.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    return materialize(both_ends(close, sets).mapInArrow(similar, "a long, b long"))
+
+
+def _led(posts: DataFrame) -> DataFrame:
+    """(posts, first, led): every post with each leader of its list; led: it is one itself.
+
+    The most central member leads, and two more by a hash.
+    """
+    ranks = [F.struct("central", "id"), *(F.struct(F.xxhash64("id", F.lit(k)), "id") for k in range(1, LEADERS))]
+    leaders = posts.groupBy("list").agg(*(F.max_by(F.struct("id", "size"), r).alias(f"l{k}") for k, r in enumerate(ranks)))
+    leaders = leaders.select("list", F.array_distinct(F.array(*(f"l{k}" for k in range(LEADERS)))).alias("leaders"))
+    met = posts.join(leaders, "list").withColumn("led", F.exists("leaders", lambda x: x["id"] == F.col("id")))
+    return met.select(*posts.columns, "led", F.explode("leaders").alias("first"))
+
+
+def _lead(
+    posts: DataFrame, links: DataFrame | None, entries: DataFrame, texts: DataFrame, share: int, matches: int, sets: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(links, posts left): links between leaders and members added; posts whose list is not in one component yet."""
+    led = _led(posts)
+    apart = "id <> first.id" + (" and component <> first_component" if "component" in posts.columns else "")
+    if "component" in posts.columns:
+        of = posts.select(F.col("id").alias("first_id"), F.col("component").alias("first_component")).distinct()
+        led = led.withColumn("first_id", F.col("first.id")).join(of, "first_id").drop("first_id")
+    pairs = (
+        led.where(apart)
+        .select("size", F.col("first.size").alias("other"), F.greatest("first.id", "id").alias("a"), F.least("first.id", "id").alias("b"))
+        .where(_close_sizes(share))
+        .select("a", "b")
+        .distinct()
     )
+    found = _confirmed(pairs, entries, texts, share, matches, sets)
+    links = found if links is None else links.unionByName(found)
+    release(posts.sparkSession)
+    # a leader has met every member of its list and leaves it
+    columns = [c for c in posts.columns if c != "component"]
+    return links, materialize(_placed(led.where("not led").select(columns).distinct(), links))
 
 
 def _placed(posts: DataFrame, links: DataFrame) -> DataFrame:
     """Posts with the component their entry is in so far, without lists inside one component."""
-    known = components(links)
-    named = posts.join(known.withColumnRenamed("node", "id"), "id", "left").select(
-        "list", "id", "size", F.coalesce("component", "id").alias("component")
+    named = posts.join(components(links, rounds=1).withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
     )
     split = named.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return named.join(split.select("list"), "list")
@@ -209,36 +264,24 @@ def near_duplicates(docs: DataFrame, share: int = 80, key: str = "doc_id", text:
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = materialize(_signed(texts))
     usable = signed.where("n_shingles > 0 and key is not null")
-    least = usable.groupBy("set_a", "set_b").agg(F.min("key").alias("id"))
     entries = materialize(
-        usable.join(least, ["set_a", "set_b"]).where("key = id").select("id", F.col("n_shingles").alias("size"), "signature").dropDuplicates(["id", "signature"])
+        usable.groupBy("set_a", "set_b")
+        .agg(F.min("key").alias("id"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"))
+        .groupBy("id", "signature")
+        .agg(F.max("size").alias("size"), F.min("set_a").alias("set_a"))
     )
     posts = materialize(_posted(entries, COORDINATES - matches + 1))
-    wanted = posts.select("id").distinct()
-    sets = materialize(_sets(texts, wanted))
-    entries = entries.join(wanted, "id", "left_semi")
-
-    open_posts = posts.withColumn("component", F.col("id"))
-    links = None
-    for turn in range(LEADER_ROUNDS):
-        rank = F.xxhash64("id", F.lit(turn))
-        leader = open_posts.groupBy("list").agg(F.min_by(F.struct("id", "size", "component"), rank).alias("first"))
-        pairs = (
-            open_posts.join(leader, "list")
-            .select("id", "component", "size", F.col("first.id").alias("lead"), F.col("first.component").alias("at"), F.col("first.size").alias("other"))
-            .where(f"component <> at and {_close_sizes(share)}")
-            .select(F.col("lead").alias("a"), F.col("id").alias("b"))
-            .distinct()
-        )
-        found = materialize(_confirmed(pairs, entries, sets, share, matches))
-        links = found if links is None else links.unionByName(found)
-        open_posts = materialize(_placed(open_posts.drop("component"), links))
-        if open_posts.isEmpty():
-            break
-    else:
-        links = links.unionByName(materialize(_confirmed(_across(open_posts, share), entries, sets, share, matches)))
-
-    named = components(links.unionByName(_same_set_links(usable, least)))
+    active = entries.join(posts.select("id").distinct(), "id", "left_semi")
+
+    links, left = _lead(posts, None, active, texts, share, matches)
+    if not left.isEmpty():
+        # what has few shingles of its own leads next
+        sets = materialize(_sets(texts, left.select("id").distinct()))
+        bounded = _bounded(left, sets, share)
+        links, left = _lead(bounded.withColumn("central", F.col("common") / F.col("size")), links, active, texts, share, matches, sets)
+        links = links.unionByName(_confirmed(_across(left, share), active, texts, share, matches, sets))
+
+    named = components(links.unionByName(_same_set_links(usable)))
     return (
         signed.join(named.withColumnRenamed("node", "key"), "key", "left")
         .select(
@@ -250,20 +293,48 @@ def near_duplicates(docs: DataFrame, share: int = 80, key: str = "doc_id", text:
     )
 
 
+def _bounded(posts: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Posts with `common`, the number of shingles any other entry of these posts has too.
+
+    No pair shares more than the smaller `common` of the two. Entries for which that rules out every
+    other of a list, were it as short as the list's shortest, leave the list: copies that each have
+    enough changes of their own are not compared with all other copies.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = spans.buffer(batch.column("members"))
+            ids = np.repeat(batch.column("id").to_numpy(), np.diff(offsets) // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(data.view(np.int64))], names=["id", "shingle"])
+
+    owned = sets.mapInArrow(spread, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"))
+    alone = owned.where("id = other").groupBy("id").agg(F.count("*").alias("alone"))
+    bounded = posts.join(alone, "id", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+    short = bounded.groupBy("list").agg(F.min("size").alias("least"))
+    return materialize(bounded.join(short, "list").where(f"100 * common >= {share} * (size + least - common)").drop("least"))
+
+
 def _across(posts: DataFrame, share: int) -> DataFrame:
-    """All pairs of a list that lie in different components.
+    """All pairs of a list's members that lie in different components, each once.
 
     Members of the list's largest component are never paired with each other: one side holds
-    only the members outside it.
+    only the members outside it. A pair that shares several lists is made by the first of them;
+    an entry is in `coordinates - matches + 1` lists at most.
     """
     weight = posts.groupBy("list", "component").agg(F.count("*").alias("n"))
     main = weight.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    placed = posts.join(main, "list")
-    left = placed.where("component <> main").select("list", F.col("id").alias("a"), F.col("component").alias("ca"), "size")
-    right = placed.select("list", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("other"), "main")
-    met = left.join(right, "list").where(f"ca <> cb and (cb = main or a < b) and {_close_sizes(share)}")
+    of_entry = posts.groupBy("id").agg(F.collect_list("list").alias("lists"))
+    placed = posts.join(main, "list").join(of_entry, "id")
+    left = placed.where("component <> main").select("list", F.col("id").alias("a"), F.col("component").alias("ca"), "size", "common", F.col("lists").alias("la"))
+    right = placed.select("list", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("other"), F.col("common").alias("shared"), F.col("lists").alias("lb"), "main")
+    first = "array_min(array_intersect(la, lb)) = list"
+    most = "least(common, shared)"
+    close = f"{_close_sizes(share)} and 100 * {most} >= {share} * (size + other - {most})"
+    met = left.join(right, "list").where(f"ca <> cb and (cb = main or a < b) and {close} and {first}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _same_set_links(usable: DataFrame, least: DataFrame) -> DataFrame:
-    return usable.join(least, ["set_a", "set_b"]).where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))
+def _same_set_links(usable: DataFrame) -> DataFrame:
+    sets = usable.select("set_a", "set_b", "key")
+    least = sets.groupBy("set_a", "set_b").agg(F.min("key").alias("id"))
+    return sets.join(least, ["set_a", "set_b"]).where("key <> id").select(F.col("key").alias("a"), F.col("id").alias("b"))

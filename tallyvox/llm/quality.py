@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvox.llm import spans, tokens
-from tallyvox.llm.sketch import array_rows, summed
+from tallyvox.llm.sketch import LANES, array_rows, summed
 
 PLACE_BITS = 14
 DIM_BITS = 5
@@ -106,7 +106,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 total += _neighbour_sums(word, first, False)
                 total += _neighbour_sums(form, first, True)
         if total.any():
-            yield array_rows(total.astype("<i8"), PLACE_BITS + DIM_BITS, TaskContext.get().partitionId() % 64)
+            yield array_rows(total.astype("<i8"), PLACE_BITS + DIM_BITS, TaskContext.get().partitionId() % LANES)
 
     parts = docs.select("text").mapInArrow(learn, "shard int, lane int, counts binary")
     table = summed(parts, PLACE_BITS + DIM_BITS).reshape(-1, DIM).astype(np.float64)

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SHARD_BITS = 14
+SHARD_BITS = 16
+LANES = 16  # tasks' arrays are added in so many groups first
 
 
-def bucket_counts(df: DataFrame, column: str, bits: int) -> np.ndarray:
+def bucket_counts(df: DataFrame, column: str, bits: int, values_of: Callable | None = None) -> np.ndarray:
     """How many values fall into each of 2^bits buckets (low bits of the value).
 
-    `column` is a long, or a binary of little-endian 64-bit values. Each task counts into one
+    `column` is a long, or `values_of` makes 64-bit values of a batch. Each task counts into one
     array and reports it in compressed shards; the shards are added up in Spark, in two steps so
     that no sum sees one row per task. The driver gets 2^bits counts whatever the input's size.
     Null adds nothing.
@@ -27,37 +27,15 @@ def bucket_counts(df: DataFrame, column: str, bits: int) -> np.ndarray:
 
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            values = batch.column(0)
-            if pa.types.is_binary(values.type):
-                raw = np.frombuffer(b"".join(v for v in values.to_pylist() if v is not None), "<u8")
-            else:
-                raw = values.drop_null().to_numpy(zero_copy_only=False).view(np.uint64)
+            raw = values_of(batch) if values_of else batch.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)
             total += np.bincount((raw & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         if total.any():
-            yield _rows(total, bits, TaskContext.get().partitionId() % 64)
+            yield array_rows(total, bits, TaskContext.get().partitionId() % LANES)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(v.as_py()), "<i8") for v in table.column("counts"))
-        return pa.table(
-            {
-                "shard": table.column("shard").slice(0, 1),
-                "lane": table.column("lane").slice(0, 1),
-                "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()),
-            }
-        )
+    return summed(df.select(column).mapInArrow(count, "shard int, lane int, counts binary"), bits)
 
-    shape = "shard int, lane int, counts binary"
-    parts = df.select(column).mapInArrow(count, shape)
-    lanes = parts.groupBy("shard", "lane").applyInArrow(add, shape)
-    whole = lanes.groupBy("shard").applyInArrow(add, shape)
-    out = np.zeros(1 << bits, np.int64)
-    width = 1 << min(bits, SHARD_BITS)
-    for row in whole.select("shard", "counts").collect():
-        out[row["shard"] * width : (row["shard"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
-    return out
 
-
-def _rows(total: np.ndarray, bits: int, lane: int) -> pa.RecordBatch:
+def array_rows(total: np.ndarray, bits: int, lane: int) -> pa.RecordBatch:
     width = 1 << min(bits, SHARD_BITS)
     n = (1 << bits) // width
     shards = [zlib.compress(total[k * width : (k + 1) * width].tobytes(), 1) for k in range(n)]
@@ -87,6 +65,3 @@ def summed(parts: DataFrame, bits: int, signed: np.dtype = np.dtype("<i8")) -> n
     for row in whole.select("shard", "counts").collect():
         out[row["shard"] * width : (row["shard"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), signed)
     return out
-
-
-array_rows = _rows

@@ -69,11 +69,18 @@ def copies(spark, n=60):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("few", [0, 1 << 30])
-def test_every_link_between_copies(spark, monkeypatch, few):
-    """With leader rounds only up to their bound, and with the full comparison at once."""
-    monkeypatch.setattr(minhash, "FEW_PAIRS", few)
-    compare(copies(spark), 85)
+@pytest.mark.parametrize("share", [80, 85])
+@pytest.mark.parametrize("leaders", [1, 3])
+def test_every_link_between_copies(spark, monkeypatch, leaders, share):
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
+    compare(copies(spark), share)
+
+
+def test_few_rounds_never_join_too_much(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 40)], "a long, b long")
+    few = {r.node: r.component for r in components(chain, rounds=1).collect()}
+    assert set(few) == set(range(1, 41)) and len(components(chain, rounds=1).collect()) == 40
+    assert set(components(chain).select("component").distinct().collect()[0]) == {1}
 
 
 def test_candidates_are_few_for_unlike_texts(spark):

@@ -30,7 +30,7 @@ def arrow_batches(spark: SparkSession) -> None:
 class Encoder:
     """Ids of units by one `encode` function, with a bounded memory of short units."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 3 << 19):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -84,7 +84,7 @@ class Encoder:
         return ids[spans.flat(start[code], per_unit)], np.diff(total[first])
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
     """Encoder of a tokenizers (.json) or sentencepiece (.model) file."""
     if path.endswith(".model"):

@@ -174,6 +174,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, bits: int = 16, key: s
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
+        tokens.library_encoder(path).limit = 3 << 19
         keys: list[pa.Array] = []
         sizes: list[np.ndarray] = []
         held: list[np.ndarray] = []

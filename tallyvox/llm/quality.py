@@ -26,6 +26,7 @@ DIM = 1 << DIM_BITS
 NONZERO = 4
 REACH = 2
 SAMPLE = 20_000  # labelled rows the network may be fitted on, the first by a hash of their key
+CHOOSERS = 16
 GROUP_BYTES = 1 << 20
 HIDDEN = 32
 EPOCHS = 40
@@ -231,6 +232,7 @@ def quality_scores(
         .where(~held_out(F.col(key)))
         .groupBy(F.col(key).alias("key"))
         .agg(F.min("quality").cast("int").alias("quality"))
+        .coalesce(CHOOSERS)  # each task sends its first `sample` rows
         .orderBy(F.xxhash64("key"), "key")
         .limit(sample)
     )

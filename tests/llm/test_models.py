@@ -14,6 +14,8 @@ from tallyvox.llm.lm import lm_scores
 from tallyvox.llm.pii import personal_spans, span_digests
 from tallyvox.llm.quality import Network, quality_scores
 
+from .conftest import prose
+
 
 def low(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
@@ -146,6 +148,26 @@ def test_each_id_is_scored_once_and_causally():
         assert np.allclose(alone, whole[at[k] : at[k + 1]], atol=1e-4)
 
 
+def test_every_training_id_is_learned(path):
+    import pyarrow as pa
+
+    from tallyvox.llm import lm, tokens
+
+    texts = [prose(9, 40_000), "", "one two", prose(3, 900), prose(4, 70)]
+    train = [True, True, True, False, True]
+    held = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(texts), pa.array(train)], names=["key", "text", "train"])
+    row = lm._chunk([held], tokens.library_encoder(path("byte_bpe_50k.json")), 0).to_pylist()[0]
+    of = np.arange(1 << lm.IDS) % 251
+    cls, at = lm._training_texts(row, of)
+    ids, cut, code = lm._open(row["ids"], "<u2"), lm._cut(row["widths"]), lm._open(row["codes"], "<u4")
+    first = lm._open(row["first"], "<i8")
+    want = [[*(of[i] for w in code[first[k] : first[k + 1]] for i in ids[cut[w] : cut[w + 1]]), of[lm.END_ID]] for k in range(5) if train[k]]
+    assert [list(cls[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == want
+    rows = lm._training_windows(cls, at)
+    assert [x for r in rows for x in r[1:] if x >= 0] == [x for text in want for x in text]
+    assert all(r[0] == (-1 if k in (0, -(-len(want[0]) // attention.WINDOW)) else rows[k - 1, -1]) for k, r in enumerate(rows[:-3]))
+
+
 @pytest.mark.parametrize("table", ["odd", "small"])
 def test_language_model(request, path, table):
     docs = request.getfixturevalue(table)

@@ -148,6 +148,22 @@ def test_each_id_is_scored_once_and_causally():
         assert np.allclose(alone, whole[at[k] : at[k + 1]], atol=1e-4)
 
 
+def test_context_is_half_a_window():
+    """Every place behind the first window's half depends on the id 16 places before it."""
+    from tallyvox.llm.lm import id_scores
+
+    rng = np.random.default_rng(2)
+    classes = attention.Classes(rng.integers(0, 50, 600), rng.random(600) < 0.4)
+    p = attention.start(classes)
+    ids, at = rng.integers(0, 600, 150), np.array([0, 150])
+    whole, _ = id_scores(p, classes, ids, at)
+    for t in range(16, 150):
+        changed = ids.copy()
+        changed[t - 16] = (changed[t - 16] + 300) % 600
+        if classes.of[changed[t - 16]] != classes.of[ids[t - 16]]:
+            assert id_scores(p, classes, changed, at)[0][t] != whole[t], t
+
+
 def test_every_training_id_is_learned(path):
     import pyarrow as pa
 

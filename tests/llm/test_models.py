@@ -110,6 +110,22 @@ def test_other_notations_are_found(spark):
     assert found("on 2024-01-02 at 10:11 it was 12/05/2021") == []
 
 
+@pytest.mark.parametrize("rows", [0, 30, 3000])
+def test_rare_kinds_are_selected(spark, rows):
+    """In small corpora, and with few emails and ips among many numbers."""
+    texts = [(k, f"a row of {1000 + k} and {k * 7919 % 99991:05d} {k * 104729 % 999983}, {k} in all") for k in range(rows)]
+    texts += [(k, f"mail u{k}@host{k}.example.org or 10.1.2.{k}") for k in range(rows // 100)]
+    model = pii.fit(spark.createDataFrame(texts, "doc_id long, text string"), sample=400)
+
+    def found(text):
+        good, _ = pii.base_spans(text)
+        return [(pii.KINDS[k], text[s:e]) for s, k, e in model(text, pii.wide_spans(text, good))]
+
+    assert found("write jane [at] mail [dot] example [dot] com now") == [("email", "jane [at] mail [dot] example [dot] com")]
+    assert found("from 10[.]1[.]2[.]3 on") == [("ip", "10[.]1[.]2[.]3")]
+    assert found("on 2024-01-02 at 10:11 it was 12/05/2021") == []
+
+
 def test_attention_slopes():
     """Backward pass against differences."""
     rng = np.random.default_rng(0)

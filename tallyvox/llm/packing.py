@@ -51,12 +51,27 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int
     return pieces
 
 
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """`rows` (key, text) with their block, by a hash of key and length; rows that repeat both beyond a share of a block are dealt over more."""
+    sized = rows.withColumn("size", F.octet_length("text"))
+    often = (
+        sized.groupBy("key", "size")
+        .agg(F.count("*").alias("n"))
+        .withColumn("parts", F.ceil(F.col("n") * (F.col("size") + 16) / F.lit(BLOCK_BYTES // 8)))
+        .where("n > 1 and parts > 1")
+        .select(F.col("key").alias("_key"), F.col("size").alias("_size"), "parts")
+    )
+    met = sized.join(F.broadcast(often), F.col("key").eqNullSafe(F.col("_key")) & (F.col("size") == F.col("_size")), "left")
+    salt = F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    return met.select("key", "text", F.pmod(F.xxhash64("key", "size", salt), F.lit(blocks)).alias("block"))
+
+
 def pack(docs: DataFrame, path: str, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is its ids by the file's library and id 1. Documents are dealt by a hash into
     blocks of about 4 MB of text, each packed on its own, so padding is below one sequence per
-    block and the only shuffle moves each text once. Null and empty texts are the end id alone;
+    block and the only shuffle of texts moves each once; many rows of one key and length go to several blocks. Null and empty texts are the end id alone;
     a null key and repeated rows are packed like any other; an empty table gives no piece;
     other columns are dropped.
     """
@@ -88,8 +103,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, key: str = "doc_id",
             }
         )
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(
+    return dealt(rows, blocks).groupBy("block").applyInArrow(
         pack_block,
         f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

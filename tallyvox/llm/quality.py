@@ -9,11 +9,11 @@ fitted on a bounded sample of labelled rows, and a temperature on rows it was no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -196,6 +196,15 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
+def learned_rows(texts: DataFrame, known: DataFrame, sample: int, features: Callable) -> list[Row]:
+    """(key, quality, row) of at most `sample` labelled texts, the first by a hash; one per key and text, however often it is repeated."""
+    marked = texts.join(F.broadcast(known), "key").withColumn("hash", F.xxhash64("key", "text"))
+    chosen = marked.select("key", "hash").distinct().coalesce(CHOOSERS).orderBy("hash", "key").limit(sample)
+    rows = marked.join(F.broadcast(chosen), ["key", "hash"]).select("key", "quality", "hash", "text")
+    rows = rows.mapInArrow(features, "key string, quality int, hash long, row binary")
+    return sorted(rows.groupBy("key", "quality", "hash").agg(F.first("row").alias("row")).drop("hash").collect())
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -208,7 +217,7 @@ def quality_scores(
     """(key, held_out, score, predicted): probability that a text is of label quality = 1.
 
     Word vectors are counts over every text; the network sees the labels of at most `sample` rows
-    that are not held out, and nothing but texts. Null and empty texts have a score too, that of
+    that are not held out, equal ones once, and nothing but texts. Null and empty texts have a score too, that of
     a text without words. A row without a key is scored and not held out; labels without key or
     value are ignored, a key labelled twice has its lowest label; with fewer than ten labels, or
     one kind only, every score is the labels' smoothed share. Other columns are dropped; `keep`
@@ -223,8 +232,13 @@ def quality_scores(
         for batch in batches:
             rows = pooled(*spans.buffer(batch.column("text")), vectors.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").cast(pa.string()), batch.column("quality"), pa.array([r.tobytes() for r in rows], pa.binary())],
-                names=["key", "quality", "row"],
+                [
+                    batch.column("key").cast(pa.string()),
+                    batch.column("quality"),
+                    batch.column("hash"),
+                    pa.array([r.tobytes() for r in rows], pa.binary()),
+                ],
+                names=["key", "quality", "hash", "row"],
             )
 
     known = (
@@ -236,8 +250,7 @@ def quality_scores(
         .orderBy(F.xxhash64("key"), "key")
         .limit(sample)
     )
-    fit = texts.join(F.broadcast(known), "key").select("key", "quality", "text").mapInArrow(features, "key string, quality int, row binary").collect()
-    fit.sort()
+    fit = learned_rows(texts, known, sample, features)
     width = 4 * DIM + 3
     rows = np.frombuffer(b"".join(r["row"] for r in fit), np.float32).reshape(-1, width)
     network = Network(rows, np.array([r["quality"] for r in fit], np.int64))

@@ -40,6 +40,35 @@ def test_quality_of_odd_rows(spark, odd, none, labels):
     assert {r.score for r in quality_scores(odd, empty).collect()} == {0.5}
 
 
+def test_repeated_rows_are_learned_once(spark):
+    import pyarrow as pa
+
+    from tallyvox.llm.quality import learned_rows
+
+    texts = spark.createDataFrame([(1, "same")] * 500 + [(1, f"other {k}") for k in range(100)] + [(2, None), (3, "three")], "key long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "key long, quality int")
+
+    def features(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key").cast(pa.string()), b.column("quality"), b.column("hash"), b.column("text").cast(pa.binary())],
+                names=["key", "quality", "hash", "row"],
+            )
+
+    rows = learned_rows(texts, known, 1000, features)
+    assert len(rows) == 103 and len({(r.key, r.row) for r in rows}) == 103
+    assert len(learned_rows(texts, known, 20, features)) == 20
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    from tallyvox.llm import packing
+
+    rows = spark.createDataFrame([(None, "x" * 2000)] * 6000 + [(7, "y" * 2000)] * 6000 + [(k, "z" * k) for k in range(500)], "key long, text string")
+    got = packing.dealt(rows, 6).select("key", "block").collect()
+    assert len(got) == 12_500
+    assert max(Counter(r.block for r in got).values()) < 5000
+
+
 def test_network_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 6)).astype(np.float32)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyvox.llm import fingerprints as prints
+from tallyvox.llm import warc
 from tallyvox.llm.embeddings import embedding_groups
 from tallyvox.llm.lm import lm_scores
 from tallyvox.llm.merge_replay import encode_decode
@@ -15,8 +17,10 @@ from tallyvox.llm.minhash import near_duplicates
 from tallyvox.llm.packing import pack
 from tallyvox.llm.pii import span_digests
 from tallyvox.llm.quality import quality_scores
+from tallyvox.llm.repair import damage_and_repair
 from tallyvox.llm.token_counts import token_counts
 from tallyvox.llm.wavelet import write_and_read
+from tallyvox.llm.whitening import whiten
 from tallyvox.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +86,18 @@ def op9(docs: DataFrame, sf_dir: str) -> DataFrame:
 @query("op10_token_counts", "documents")
 def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@query("op11_warc_capture_index", "pages", warc.SQL)
+def op11(pages: DataFrame, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(pages)
+
+
+@query("op12_whitening", "embeddings")
+def op12(vectors: DataFrame, sf_dir: str) -> DataFrame:
+    return whiten(vectors, components=4, weights="one").withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query("op13_conversation_repair", "conversations")
+def op13(turns: DataFrame, sf_dir: str) -> DataFrame:
+    return damage_and_repair(turns)

@@ -33,7 +33,8 @@ def pieces(rope: Rope) -> Iterator[str]:
     while stack:
         top = stack.pop()
         if isinstance(top, str):
-            yield top
+            if top:
+                yield top
         else:
             stack += [top[1], top[0]]
 

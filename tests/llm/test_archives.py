@@ -150,7 +150,7 @@ def test_whitening(spark, weights):
     scale = np.array([3.0, 2.0, 1.0, 0.5, 0.2, 0.1])
     rows = [(k, [float(c) for c in np.float32(rng.normal(size=6) * scale)]) for k in range(300)]
     rows += [(1000 + k, rows[7][1]) for k in range(150)] + [(5, rows[5][1]), (None, rows[3][1])]
-    rows += [(2000, None), (2001, [1.0, None, 1, 1, 1, 1]), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5)]
+    rows += [(2000, None), (2001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] + [0.0] * 5)]
     got = whiten(vectors(spark, rows), weights=weights).collect()
     want = plain_whitening(rows, 4, weights)
     order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[4])

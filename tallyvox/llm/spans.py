@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 WINDOW = 1 << 21  # bytes hashed at once; bounds the memory of a step
-_ODD = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.Generator(np.random.PCG64(20_251)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -27,7 +27,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ",.!#&*$%;:?"]] = True
-_powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,19 +89,24 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.append(starts[1:], n)[: len(starts)], np.searchsorted(starts, offsets)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n + 1:
-        size = max(n, WINDOW) + 1
-        inverse = pow(_ODD, -1, 1 << 64)
-        up, down = np.full(size, _ODD, np.uint64), np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
+def _chunks(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(eight bytes as a number, its place in the span, chunks before each span) of all spans; the last chunk is cut with zeros."""
+    count = (size + 7) >> 3
+    stops = np.concatenate([[0], np.cumsum(count)])
+    place = np.arange(stops[-1]) - np.repeat(stops[:-1], count)
+    at = np.repeat(starts, count) + (place << 3)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))
+    left = np.minimum(np.repeat(size, count) - (place << 3), 8)
+    return wide[at] & _MASK[left], place, stops
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span; equal bytes have equal hashes wherever they stand."""
+    """A 64-bit hash of every span; equal bytes have equal hashes wherever they stand.
+
+    Every eight bytes are mixed with their place before they are added up, so that repetitive and
+    mirrored texts do not cancel out. Whoever needs certainty compares with `equal`.
+    """
     out = np.empty(len(starts), np.uint64)
     size = np.maximum(ends - starts, 0)
     k = 0
@@ -113,17 +117,32 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
             k += 1
             continue
         stop = max(k + 1, int(np.searchsorted(ends, starts[k] + WINDOW, side="right")))
-        base = starts[k]
-        up, down = _power_tables(WINDOW)
-        part = data[base : ends[stop - 1]]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        s, e = starts[k:stop] - base, ends[k:stop] - base
-        out[k:stop] = mix((total[e] - total[s]) * down[s] + size[k:stop].astype(np.uint64))
+        part = data[starts[k] : ends[stop - 1]]
+        value, place, stops = _chunks(part, starts[k:stop] - starts[k], size[k:stop])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ mix((place.astype(np.uint64) + np.uint64(1)) * _ODD)))])
+        out[k:stop] = mix(total[stops[1:]] - total[stops[:-1]] + size[k:stop].astype(np.uint64) * _ODD)
         k = stop
     return out
 
 
+def equal(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray
+) -> np.ndarray:
+    """Whether every span has the same bytes as its partner in the other buffer."""
+    size = np.maximum(ends - starts, 0)
+    same = size == np.maximum(other_ends - other_starts, 0)
+    at = np.flatnonzero(same & (size > 0))
+    a = 0
+    while a < len(at):
+        b = a + max(1, int(np.searchsorted(np.cumsum(size[at[a : a + WINDOW // 8]]), WINDOW, side="right")))
+        some = at[a:b]
+        mine, _, stops = _chunks(data, starts[some], size[some])
+        theirs, _, _ = _chunks(other, other_starts[some], size[some])
+        same[some] = np.add.reduceat(mine != theirs, stops[:-1]) == 0
+        a = b
+    return same
+
+
 def flat(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Positions first[k], first[k] + 1, ... (count[k] of them) for every k, behind each other."""
     count = count.astype(np.int64)

@@ -39,11 +39,20 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, keys)
-        inside = np.minimum(at, max(len(self.keys) - 1, 0))
-        return inside, (self.keys[inside] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        self.text = np.zeros(0, np.uint8)  # the units themselves, so that equal hashes are not taken for equal units
+        self.begin = np.zeros(0, np.int64)
+        self.end = np.zeros(0, np.int64)
+
+    def _known(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the memory, whether the unit is there, whether its hash is there)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), *(np.zeros(len(keys), bool) for _ in range(2))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        held = self.keys[at] == keys
+        known = held.copy()
+        some = np.flatnonzero(held)
+        known[some] = spans.equal(data, starts[some], ends[some], self.text, self.begin[at[some]], self.end[at[some]])
+        return at, known, held
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text in ids)."""
@@ -58,31 +67,45 @@ class Encoder:
     def _group(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = spans.units(data, offsets)
         keys, example, code = np.unique(spans.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        s, e = starts[example], ends[example]
+        if not spans.equal(data, starts, ends, data, s[code], e[code]).all():
+            return self._unhashed(data, starts, ends, first)
         if len(self.keys) > self.limit:
             self._clear()
-        at, known = self._known(keys)
+        at, known, held = self._known(keys, data, s, e)
         new = np.flatnonzero(~known)
         start = np.where(known, self.start[at] if len(self.keys) else 0, 0)
         size = np.where(known, self.size[at] if len(self.keys) else 0, 0)
         ids = self.ids
         if len(new):
             raw = data.tobytes()
-            fresh, count = self.encode([raw[s:e] for s, e in zip(starts[example[new]], ends[example[new]], strict=True)])
-            begin = len(ids) + np.cumsum(count) - count
-            start[new], size[new] = begin, count
+            fresh, count = self.encode([raw[a:b] for a, b in zip(s[new], e[new], strict=True)])
+            start[new], size[new] = len(ids) + np.cumsum(count) - count, count
             ids = np.concatenate([ids, fresh])
-            short = new[count <= 16]
-            place = np.searchsorted(self.keys, keys[short])
-            keep = spans.flat(start[short], size[short])
-            held = len(self.ids) + np.cumsum(size[short]) - size[short]
-            self.ids = np.concatenate([self.ids, ids[keep]])
-            self.keys = np.insert(self.keys, place, keys[short])
-            self.start = np.insert(self.start, place, held)
-            self.size = np.insert(self.size, place, size[short])
+            self._keep(new[(count <= 16) & ~held[new]], keys, ids, start, size, data, s, e)
         per_unit = size[code]
         total = np.concatenate([[0], np.cumsum(per_unit)])
         return ids[spans.flat(start[code], per_unit)], np.diff(total[first])
 
+    def _keep(self, short, keys, ids, start, size, data, s, e) -> None:
+        """Remember the short ones of this group's new units."""
+        place = np.searchsorted(self.keys, keys[short])
+        held = len(self.ids) + np.cumsum(size[short]) - size[short]
+        length = e[short] - s[short]
+        begin = len(self.text) + np.cumsum(length) - length
+        self.ids = np.concatenate([self.ids, ids[spans.flat(start[short], size[short])]])
+        self.text = np.concatenate([self.text, data[spans.flat(s[short], length)]])
+        for name, values in (("keys", keys[short]), ("start", held), ("size", size[short]), ("begin", begin), ("end", begin + length)):
+            setattr(self, name, np.insert(getattr(self, name), place, values))
+
+    def _unhashed(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a group in which two units share a hash: units are told apart by their bytes."""
+        raw, place = data.tobytes(), {}
+        code = np.array([place.setdefault(raw[a:b], len(place)) for a, b in zip(starts, ends, strict=True)], np.int64)
+        ids, size = self.encode(list(place))
+        start, total = np.cumsum(size) - size, np.concatenate([[0], np.cumsum(size[code])])
+        return ids[spans.flat(start[code], size[code])], np.diff(total[first])
+
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:

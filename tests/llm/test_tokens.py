@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -133,3 +134,32 @@ def test_find_token(spark, small, path):
     wavelet.write_shards(small, path("word_bpe_49k.json"), folder)
     found = wavelet.find_token(spark, folder, 1, most=3).collect()
     assert sum(r.n for r in found) >= small.count() and all(len(r.places) == min(3, r.n) for r in found)
+
+
+def mirrored(n=2048):
+    """A Thue-Morse text and its complement: a polynomial modulo a power of two cannot tell them apart."""
+    text = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return [text, text.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_units_of_equal_hash(path, ranks, monkeypatch, same_hash):
+    from tallyvox.llm import merge_replay, spans, tokens
+
+    if same_hash:
+        monkeypatch.setattr(spans, "hashes", lambda data, starts, ends: np.ones(len(starts), np.uint64))
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    encoder = tokens.library_encoder.__wrapped__(path("byte_bpe_50k.json"))
+    replay = merge_replay.rank_encoder.__wrapped__(path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for texts in [mirrored(), ["one two"], mirrored()[1:], ["one owt", "", "two one"], ["one two"]]:
+        data, at = spans.buffer(pa.array(texts, pa.string()))
+        for run, want in ((encoder, lambda t: own.encode(t, add_special_tokens=False).ids), (replay, ranks.encode_ordinary)):
+            ids, stops = run(data, at)
+            assert [ids[a:b].tolist() for a, b in zip(stops[:-1], stops[1:], strict=True)] == [want(t) for t in texts]
+
+
+def test_mirrored_words_differ(spark):
+    from tallyvox.llm.minhash import near_duplicates
+
+    rows = [(k, " ".join([t + s for s in "xyzuvw"])) for k, t in enumerate(mirrored())]
+    assert [r.kept for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()] == [True, True]

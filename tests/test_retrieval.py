@@ -126,3 +126,12 @@ def test_gold_subqueries(spark):
     docs = spark.createDataFrame([(1, "外挂举报"), (2, "春节活动")], "document_id long, title string")
     got = {(r.case_key, r.sub_no): r.text for r in rt.gold_subqueries(cases, ev, docs).collect()}
     assert got == {("dev-1", 1): "外挂举报的流程是什么", ("dev-1", 2): "春节活动 暑期签到的流程是什么", ("dev-2", 1): "a"}
+
+
+def test_quota_with_a_slot_for_every_subquery(spark):
+    items = [(d, f"topic{d}") for d in range(12)]
+    parts = spark.createDataFrame([(1, s, s - 1, 1) for s in range(1, 9)], "query_id long, sub_no int, chunk_id long, rank int")
+    text = "，".join(f"topic{d} list" for d in range(7)) + "，unmatched thing？"
+    got = sl.subquery_quota(candidates(spark, items), parts, signals(spark, text), k=8).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == list(range(8))
+    assert sl.coverage_select(candidates(spark, items), signals(spark, text), k=0).count() == 0

@@ -76,9 +76,8 @@ def _(spark, sf):
     events = src.feedback(spark, sf).select("ws", "event_id", "occurred_at", "normalized_text")
     for part in _arrivals(events):
         part.write.mode("append").parquet(f"{folder}/in")
-        closed = jobs.stream_cells(_stream_of(spark, f"{folder}/in", events))
-        _drain(closed.writeStream.format("parquet").option("path", f"{folder}/out"), folder)
-    return spark.read.parquet(f"{folder}/out").drop("close_reason")
+        _drain(jobs.stream_cells(_stream_of(spark, f"{folder}/in", events), f"{folder}/out"), folder)
+    return spark.read.parquet(f"{folder}/out/cells").drop("close_reason", "batch_id")
 
 
 @query("stream_baseline_alerts", with_tables("""

@@ -185,22 +185,14 @@ def _number(entries: dict[int, tuple[int, int]], guards: Guards):
                 at = steps[at]
             numbers[a:b] = before + np.cumsum(opens)
             entry, before = 0, 0
-        yield rows.assign(cell_no=numbers)[["ws_key", "event_id", "cell_no"]]
+        yield rows.assign(cell_no=numbers)[["ws_key", "event_id", "cell_no", "ts", "tokens"]]
 
     return run
 
 
-def assign_cells(events: DataFrame, guards: Guards = Guards(), partitions: int | None = None) -> DataFrame:
-    """`events` with `tokens` and `cell_no` (from 1 within each workspace, in time order)."""
-    keyed = events.withColumns(
-        {
-            "ws_key": F.col("ws").cast("string"),
-            "ts": F.unix_micros("occurred_at"),
-            "tokens": token_estimate(F.col("normalized_text")).cast("long"),
-        }
-    )
+def number_cells(slim: DataFrame, guards: Guards = Guards(), partitions: int | None = None) -> DataFrame:
+    """`slim(ws_key, ts, event_id, tokens)` with `cell_no`, from 1 within each workspace; `ts` in microseconds."""
     order = ["ws_key", "ts", "event_id"]
-    slim = keyed.select("ws_key", "ts", "event_id", "tokens")
     ranged = (
         slim.repartitionByRange(partitions, *order) if partitions else slim.repartitionByRange(*order)
     )
@@ -209,11 +201,27 @@ def assign_cells(events: DataFrame, guards: Guards = Guards(), partitions: int |
     )
     summaries = ordered.mapInPandas(_summarise(guards), SUMMARY_SCHEMA).collect()
     entries = chain_entries(summaries, guards)
-    id_type = events.schema["event_id"].dataType.simpleString()
-    numbered = ordered.mapInPandas(
-        _number(entries, guards), f"ws_key string, event_id {id_type}, cell_no long"
+    id_type = slim.schema["event_id"].dataType.simpleString()
+    return ordered.mapInPandas(
+        _number(entries, guards), f"ws_key string, event_id {id_type}, cell_no long, ts long, tokens long"
+    )
+
+
+def assign_cells(events: DataFrame, guards: Guards = Guards(), partitions: int | None = None) -> DataFrame:
+    """`events` with `tokens` and `cell_no` (from 1 within each workspace, in time order)."""
+    keyed = events.withColumns(
+        {
+            "ws_key": F.col("ws").cast("string"),
+            "ts": F.unix_micros("occurred_at"),
+            "tokens": token_estimate(F.col("normalized_text")).cast("long"),
+        }
+    )
+    numbered = number_cells(keyed.select("ws_key", "ts", "event_id", "tokens"), guards, partitions)
+    return (
+        keyed.drop("ts")
+        .join(numbered.select("ws_key", "event_id", "cell_no"), ["ws_key", "event_id"])
+        .drop("ws_key")
     )
-    return keyed.drop("ts").join(numbered, ["ws_key", "event_id"]).drop("ws_key")
 
 
 def cells_of(assigned: DataFrame, guards: Guards = Guards()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,12 +273,19 @@ def _(spark, sf):
     return fc.file_manifest(spark, sf)
 
 
-@query("fact_overwrite", with_tables("SELECT ws, canonical_key, bucket_start, feedback_count FROM t_buckets"))
+@query("fact_overwrite", with_tables("""
+SELECT ws, canonical_key, bucket_start, feedback_count, NULL AS links FROM t_buckets WHERE ws <> 3
+UNION ALL SELECT ws, canonical_key, NULL, NULL, sum(feedback_count) FROM t_buckets WHERE ws NOT IN (2, 3) GROUP BY ALL"""))
 def _(spark, sf):
-    folder = f"{checkpoint_dir(spark)}/tallyvox_facts/{sf.strip('/').replace('/', '_')}"
-    facts = src.buckets(spark, sf).drop("source_counts")
-    path = sinks.write_facts(facts, folder, "issue_metric_bucket", ["canonical_key", "bucket_start"])
-    return spark.read.parquet(path).withColumn("ws", F.col("ws").cast("bigint"))
+    """Two fact tables: all workspaces, then 2 and 3 again, of which only one table has rows of 2 and none of 3."""
+    folder = f"{checkpoint_dir(spark)}/tallyvox_facts/{uuid.uuid4().hex}"
+    counts = src.buckets(spark, sf).drop("source_counts")
+    topics = counts.groupBy("ws", "canonical_key").agg(F.sum("feedback_count").alias("links"))
+    sinks.commit_facts(spark, folder, {"counts": counts, "topics": topics}, counts.select("ws"))
+    again = spark.createDataFrame([(2,), (3,)], "ws long")
+    sinks.commit_facts(spark, folder, {"counts": counts.where("ws = 2"), "topics": topics.limit(0)}, again)
+    both = sinks.read_facts(spark, folder, "counts").unionByName(sinks.read_facts(spark, folder, "topics"), allowMissingColumns=True)
+    return both.select("ws", "canonical_key", "bucket_start", "feedback_count", "links")
 
 
 # --- classification ------------------------------------------------------------------------

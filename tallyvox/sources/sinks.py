@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvox.session import materialize
+from tallyvox.sources.versions import RunLog
+
 PREVIEW_CHARS = 120
 
 
-def write_facts(df: DataFrame, path: str, table: str, sort_by: list[str] | None = None) -> str:
-    """Replace the facts of exactly the workspaces present in `df`; others stay untouched.
+def commit_facts(spark: SparkSession, path: str, tables: dict[str, DataFrame], workspaces: DataFrame) -> int:
+    """Replace all facts of `workspaces(ws)` by those of `tables`, in one commit; returns its version.
 
+    A workspace of the list for which a table has no row ends up without rows there; workspaces that
+    are not on the list keep theirs, and rows of them in `tables` are an error. All tables are staged
+    first and become visible together (see `versions`), so a commit that fails leaves the old facts.
     Rows are range-partitioned by workspace and a hash of the row, so a workspace is written by as
-    many tasks as its share of the rows asks for.
+    many tasks as its share of the rows asks for. A null workspace is none.
     """
-    target = f"{path}/{table}"
-    others = [c for c in df.columns if c != "ws"]
-    spread = df.repartitionByRange("ws", F.xxhash64(*others))
-    if sort_by:
-        spread = spread.sortWithinPartitions("ws", *sort_by)
-    (
-        spread.write.partitionBy("ws")
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(target)
-    )
-    return target
+    log = RunLog(spark, path)
+    covered = materialize(workspaces.select("ws").where("ws is not null").distinct())
+    staged = {}
+    for name, df in tables.items():
+        owned = df.join(covered.withColumn("_covered", F.lit(True)), "ws", "left")
+        foreign = F.raise_error(F.concat(F.lit(f"{name}: workspace is not part of the commit: "), F.coalesce(F.col("ws").cast("string"), F.lit("null"))))
+        checked = owned.withColumn("ws", F.when(F.col("_covered"), F.col("ws")).otherwise(foreign.cast(df.schema["ws"].dataType)))
+        others = [c for c in df.columns if c != "ws"]
+        staged[name] = checked.select(*df.columns).repartitionByRange("ws", F.xxhash64(*others))
+    version = log.append({**staged, WORKSPACES: covered})
+    log.compact(lambda runs: _newest(log, runs))
+    return version["number"]
+
+
+WORKSPACES = "_workspaces"
+
+
+def _owners(log: RunLog, runs: list[dict]) -> DataFrame:
+    """(ws, _run): the newest of the runs that covers a workspace."""
+    covered = [log.spark.read.parquet(log.path(r, WORKSPACES)).withColumn("_run", F.lit(n)) for n, r in enumerate(runs)]
+    return reduce(DataFrame.unionByName, covered).groupBy("ws").agg(F.max("_run").alias("_run"))
+
+
+def _visible(log: RunLog, runs: list[dict], table: str) -> DataFrame:
+    parts = [
+        log.spark.read.parquet(log.path(r, table)).withColumn("_run", F.lit(n))
+        for n, r in enumerate(runs)
+        if log.files.exists(f"{r['name']}/{table}")
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.join(_owners(log, runs), ["ws", "_run"], "left_semi").drop("_run")
+
+
+def _newest(log: RunLog, runs: list[dict]) -> dict[str, DataFrame]:
+    """One run that stands for several: of each workspace what the newest of them says."""
+    names = {n for r in runs for n in log.files.names(r["name"])} - {WORKSPACES}
+    return {**{n: _visible(log, runs, n) for n in names}, WORKSPACES: _owners(log, runs).select("ws")}
+
+
+def read_facts(spark: SparkSession, path: str, table: str, version: int | None = None) -> DataFrame:
+    """The facts of all workspaces in one version of the commits, by default the newest."""
+    log = RunLog(spark, path)
+    return _visible(log, log.version(version)["runs"], table)
 
 
 def report_json(summary: DataFrame, risks: DataFrame, evidence: DataFrame) -> DataFrame:

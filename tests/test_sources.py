@@ -56,11 +56,49 @@ def test_rule_tables(spark, tmp_path):
         rt.load_rules(spark, str(tmp_path))
 
 
+def facts(spark, path, *rows):
+    return {"a": spark.createDataFrame([r for r in rows if r[1] != "t"], "ws long, k string"), "b": spark.createDataFrame([r for r in rows if r[1] == "t"], "ws long, k string")}
+
+
+def listed(spark, path, table, version=None):
+    return sorted((r.ws, r.k) for r in sinks.read_facts(spark, path, table, version).collect())
+
+
+def workspaces(spark, *ids):
+    return spark.createDataFrame([(w,) for w in ids], "ws long")
+
+
 def test_overwrite_keeps_other_workspaces(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "ws long, k string")
-    path = sinks.write_facts(rows, str(tmp_path), "t")
-    sinks.write_facts(spark.createDataFrame([(1, "c")], "ws long, k string"), str(tmp_path), "t")
-    assert {(r.ws, r.k) for r in spark.read.parquet(path).collect()} == {(1, "c"), (2, "b")}
+    path = str(tmp_path)
+    sinks.commit_facts(spark, path, facts(spark, path, (1, "a"), (2, "b"), (1, "t")), workspaces(spark, 1, 2))
+    sinks.commit_facts(spark, path, facts(spark, path, (1, "c")), workspaces(spark, 1))
+    assert listed(spark, path, "a") == [(1, "c"), (2, "b")] and listed(spark, path, "b") == []
+    # A projection that gives nothing removes what was there, in all tables.
+    sinks.commit_facts(spark, path, facts(spark, path), workspaces(spark, 1))
+    assert listed(spark, path, "a") == [(2, "b")]
+
+
+def test_failed_commit_leaves_the_old_facts(spark, tmp_path):
+    path = str(tmp_path)
+    sinks.commit_facts(spark, path, facts(spark, path, (1, "a"), (1, "t")), workspaces(spark, 1))
+    broken = facts(spark, path, (1, "new"), (1, "t"))
+    broken["b"] = broken["b"].withColumn("k", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.commit_facts(spark, path, broken, workspaces(spark, 1))
+    with pytest.raises(Exception, match="not part of the commit"):
+        sinks.commit_facts(spark, path, facts(spark, path, (9, "x")), workspaces(spark, 1))
+    assert listed(spark, path, "a") == [(1, "a")] and listed(spark, path, "b") == [(1, "t")]
+
+
+def test_commits_are_merged(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    want = {}
+    for k in range(18):
+        ws = k % 5
+        sinks.commit_facts(spark, path, facts(spark, path, *([(ws, f"v{k}")] if k % 3 else [])), workspaces(spark, ws))
+        want[ws] = [(ws, f"v{k}")] if k % 3 else []
+    assert listed(spark, path, "a") == sorted(r for rows in want.values() for r in rows)
+    assert len(sinks.RunLog(spark, path).version()["runs"]) < 8
 
 
 def test_headers_of_one_order_only(spark, tmp_path):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -268,9 +270,33 @@ def _(spark, sf):
     return ig.import_report(outcomes(spark, sf).withColumn("row_no", F.col("_seq") + 1))
 
 
-@query("file_manifest")
+def page_files(spark, sf):
+    """A folder with a file per page, some empty and some with names that are no CSV file's."""
+    folder = f"{checkpoint_dir(spark)}/tallyvox_files/{uuid.uuid4().hex}"
+    storage, path = pafs.FileSystem.from_uri(folder)
+    storage.create_dir(path, recursive=True)
+
+    def write(batches):
+        out, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with out.open_output_stream(f"{root}/{name}", compression=None) as file:
+                    file.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
+
+    i = F.col("page_id")
+    name = F.concat(F.lit("page-"), i.cast("string"), F.when(i % 5 == 0, ".CSV").when(i % 7 == 0, ".txt").otherwise(".csv"))
+    content = F.when(i % 11 == 0, F.lit("")).otherwise(F.coalesce("html", F.lit(""))).cast("binary")
+    src.table(spark, sf, "pages").select(name.alias("name"), content.alias("content")).mapInArrow(write, "name string").count()
+    return folder
+
+
+@query("file_manifest", """
+SELECT name, octet_length(content) AS size, sha256(content) AS sha256, octet_length(content) > 0 AND lower(name) LIKE '%.csv' AS valid FROM (
+  SELECT 'page-' || page_id || CASE WHEN page_id % 5 = 0 THEN '.CSV' WHEN page_id % 7 = 0 THEN '.txt' ELSE '.csv' END AS name,
+         encode(CASE WHEN page_id % 11 = 0 THEN '' ELSE coalesce(html, '') END) AS content FROM pages) q""")
 def _(spark, sf):
-    return fc.file_manifest(spark, sf)
+    return fc.file_manifest(spark, page_files(spark, sf))
 
 
 @query("fact_overwrite", with_tables("""

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -655,65 +661,62 @@ def dataset_snapshot(
 def dataset_checksum(
     dataset: DataFrame, cases: DataFrame, evidence: DataFrame, assertions: DataFrame
 ) -> DataFrame:
-    """SHA-256 of each dataset's canonical text.
+    """SHA-256 of each dataset's canonical text: its head, then case, evidence and assertion lines.
 
-    The digest of one text is sequential, so the lines of one dataset end up in one task. Case,
-    evidence and assertion lines are first joined per case, in parallel.
+    Lines are rows. Spark sorts those of a dataset, on disk where they do not fit, and they stream
+    through the digest a batch at a time; a dataset's text is never put together. The digest of one
+    text is sequential, so this stream is one task per dataset. Keys of datasets and cases are
+    unique; evidence and assertions of unknown cases count for nothing.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    case_line = F.concat(
-        F.lit("case:"),
-        F.concat_ws("|", *[text(c) for c in ("case_key", "question_text", "question_type", "difficulty", "should_refuse")]),
-        F.lit("\n"),
-    )
-
-    def per_case(rows: DataFrame, line: Column, name: str) -> DataFrame:
-        return rows.groupBy("case_key").agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("sort_order", line.alias("line")))),
-                    lambda x: x["line"],
-                ),
-                "",
-            ).alias(name)
-        )
 
-    evidence_line = F.concat(
-        F.lit("evidence:"),
-        F.concat_ws(
-            "|",
-            *[text(c) for c in ("case_key", "granularity", "document_id", "version_no", "chunk_id")],
-            F.coalesce("requirement_key", F.lit("")),
-        ),
-        F.lit("\n"),
-    )
-    assertion_line = F.concat(
-        F.lit("assertion:"),
-        F.concat_ws("|", *[text(c) for c in ("case_key", "assertion_type", "assertion_text", "weight")]),
-        F.lit("\n"),
-    )
-    lines = (
-        cases.select("dataset_key", "case_key", case_line.alias("c"))
-        .join(per_case(evidence, evidence_line, "e"), "case_key", "left")
-        .join(per_case(assertions, assertion_line, "a"), "case_key", "left")
-        .fillna("", ["e", "a"])
-    )
-    joined = lines.groupBy("dataset_key").agg(
-        *[
-            F.expr(f"listagg({c}, '') WITHIN GROUP (ORDER BY case_key)").alias(c)
-            for c in ("c", "e", "a")
-        ]
-    )
-    head = F.concat(
-        F.concat_ws("|", *[text(c) for c in ("dataset_key", "dataset_version", "split", "corpus_version")]),
-        F.lit("\n"),
-    )
-    return dataset.join(joined, "dataset_key", "left").select(
-        "dataset_key",
-        F.sha2(
-            F.concat(head, *[F.coalesce(c, F.lit("")) for c in ("c", "e", "a")]), 256
-        ).alias("checksum"),
-    )
+    def lines(rows: DataFrame, part: int, kind: str, order: Column, columns: list[Column]) -> DataFrame:
+        line = F.concat(F.lit(kind), F.concat_ws("|", *columns), F.lit("\n"))
+        key = F.col("case_key") if part else F.lit(None).cast("string")
+        return rows.select("dataset_key", F.lit(part).alias("part"), key.alias("case_key"), order.alias("at"), line.alias("line"))
+
+    keys = cases.select("dataset_key", "case_key")
+    none = F.lit(None).cast("long")
+    at = F.col("sort_order").cast("long")
+    head = [text(c) for c in ("dataset_key", "dataset_version", "split", "corpus_version")]
+    case = [text(c) for c in ("case_key", "question_text", "question_type", "difficulty", "should_refuse")]
+    proof = [text(c) for c in ("case_key", "granularity", "document_id", "version_no", "chunk_id")]
+    claim = [text(c) for c in ("case_key", "assertion_type", "assertion_text", "weight")]
+    every = (
+        lines(dataset, 0, "", none, head)
+        .unionByName(lines(cases, 1, "case:", none, case))
+        .unionByName(lines(evidence.join(keys, "case_key"), 2, "evidence:", at, [*proof, F.coalesce("requirement_key", F.lit(""))]))
+        .unionByName(lines(assertions.join(keys, "case_key"), 3, "assertion:", at, claim))
+    )
+    kind = dataset.schema["dataset_key"].dataType.simpleString()
+    ordered = every.repartition("dataset_key").sortWithinPartitions("dataset_key", "part", "case_key", "at", "line")
+    return ordered.select("dataset_key", "part", "line").mapInArrow(_checksums, f"dataset_key {kind}, checksum string")
+
+
+def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the lines of each key, which follow each other; a key without a head (part 0) has none."""
+    key, sha = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([sha.hexdigest()])], names=["dataset_key", "checksum"])
+
+    for batch in batches:
+        keys, n = batch.column(0), batch.num_rows
+        if not n:
+            continue
+        cuts = [0, *(np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).fill_null(True).to_numpy(zero_copy_only=False)) + 1), n]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if key is None or keys[int(a)] != key:
+                if sha is not None:
+                    yield row()
+                key, sha = keys[int(a)], hashlib.sha256() if batch.column(1)[int(a)].as_py() == 0 else None
+            if sha is not None:
+                part = batch.column(2).slice(int(a), int(b - a)).cast(pa.large_string())
+                _, offsets, data = part.buffers()
+                at = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+                sha.update(memoryview(data)[int(at[0]) : int(at[-1])])
+    if sha is not None:
+        yield row()
 
 
 def gold_data_quality(

@@ -51,3 +51,30 @@ def test_conversations(spark):
     assert got[1] == ("1.4.2 登录异常什么时候好", "contextual_reference")
     assert got[2] == ("1.4.2 登录异常 为什么", "contextual_reference")
     assert got[3][1] == "self_contained" and got[4][1] == "focus_empty"
+
+
+def test_checksum_of_streamed_lines(spark):
+    import hashlib
+
+    from tallyvox.operators import evaluation as ev
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        data = spark.createDataFrame([("d1", "v", "s", "c"), ("d2", None, "s", "c"), ("d0", "v", "s", "c")], "dataset_key string, dataset_version string, split string, corpus_version string")
+        case = [(d, f"{d}-{k:03d}", f"question {k}", "T", "E", k % 2 == 0) for d in ("d1", "d2", "gone") for k in range(40)]
+        cases = spark.createDataFrame(case, "dataset_key string, case_key string, question_text string, question_type string, difficulty string, should_refuse boolean").repartition(5)
+        proof = [(c[1], n, "CHUNK", n, 1, None, None if n else "g") for c in case for n in range(11)]
+        evidence = spark.createDataFrame(proof, "case_key string, sort_order int, granularity string, document_id long, version_no int, chunk_id long, requirement_key string").repartition(5)
+        claim = [(c[1], n, "REQUIRED_FACT", f"fact {n}", 2) for c in case[::2] for n in range(3)]
+        claims = spark.createDataFrame(claim, "case_key string, sort_order int, assertion_type string, assertion_text string, weight int").repartition(5)
+        got = {r.dataset_key: r.checksum for r in ev.dataset_checksum(data, cases, evidence, claims).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key, version in (("d1", "v"), ("d2", "null"), ("d0", "v")):
+        text = f"{key}|{version}|s|c\n"
+        text += "".join(f"case:{c[1]}|{c[2]}|T|E|{str(c[5]).lower()}\n" for c in case if c[0] == key)
+        text += "".join(f"evidence:{p[0]}|CHUNK|{p[3]}|1|null|{p[6] or ''}\n" for p in proof if p[0].startswith(key))
+        text += "".join(f"assertion:{a[0]}|REQUIRED_FACT|{a[3]}|2\n" for a in claim if a[0].startswith(key))
+        want[key] = hashlib.sha256(text.encode()).hexdigest()
+    assert got == want

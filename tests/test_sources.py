@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +129,55 @@ def test_large_topic_list(spark):
     topics = spark.createDataFrame([(f"t{k}", k, "n", True) for k in range(5000)], "canonical_key string, sort_order int, name string, alert_eligible boolean")
     filled = topic_catalog_fill(spark.createDataFrame([(1,), (2,)], "ws long"), topics, spark.createDataFrame([(1, "t7", 3)], "ws long, canonical_key string, feedback_count long"))
     assert filled.count() == 10_000 and filled.where("feedback_count = 3").count() == 1
+
+
+def one_task(spark, path):
+    """The same file as one task's CSV reader sees it."""
+    import csv
+
+    names = next(csv.reader(open(path, encoding="utf-8", newline="")))
+    read = spark.read.schema(", ".join(f"`{n}` string" for n in [*names, fc.CORRUPT])).options(**fc.CELLS)
+    return [tuple(r) for r in read.option("header", "true").option("multiLine", "true").csv(str(path)).collect()]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", [64, 300, 4096])
+def test_records_with_line_breaks_over_splits(spark, tmp_path, end, split):
+    rng = random.Random(split)
+    cells = ["plain", "", " blank around ", '"a, b"', '"line{0}break"', '"{0}{0}"', '"say ""yes"" {0} no"', '5" wide', '"x"y', '"""{0}"""', "é" * 9, '"' + "long{0}" * 40 + '"']
+    rows = [",".join([str(k), rng.choice(cells), rng.choice(cells)]) for k in range(400)] + ["", '400,"open until the end{0}', "of the file"]
+    (tmp_path / "a.csv").write_text(("n,x,y{0}" + "{0}".join(rows)).format(end), encoding="utf-8", newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = fc.read_feedback_csv(spark, str(tmp_path))
+        rows = got.orderBy("_seq").collect()
+        parts = got.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > 4
+    want = one_task(spark, tmp_path / "a.csv")
+    # A line break in a cell is one character; the raw text of a record with too few or too many cells shows it so, too.
+    want = [(*r[:3], r[3] and r[3].replace("\r\n", "\n")) for r in want]
+    assert [tuple(r)[:4] for r in rows] == want and len({r._seq for r in rows}) == len(rows)
+    assert [r.row_no for r in fc.record_numbers(got).orderBy("_seq").collect()] == list(range(1, len(want) + 1))
+
+
+def test_quotes_at_line_ends():
+    from tallyvox.sources.csv_records import ends_inside
+
+    for line, outside, inside in [("a,b", 0, 1), ('"a', 1, 0), ('a"b', 0, 0), ('x,"', 1, 0), ('""', 0, 1), ('"a""', 1, 0), ('a",b', 0, 0), ('a","b', 1, 1), (' "a" x, "', 1, 1)]:
+        assert (ends_inside(line, False), ends_inside(line, True)) == (bool(outside), bool(inside)), line
+
+
+def test_manifest_reads_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fc, "BLOCK", 1000)
+    (tmp_path / "a.CSV").write_bytes(bytes(range(256)) * 50)
+    (tmp_path / "b c%20.csv").write_bytes(b"x")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "note.txt").write_bytes(b"y" * 1000)
+    want = {(p.name, p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size > 0 and p.name.lower().endswith(".csv")) for p in tmp_path.iterdir()}
+    assert {tuple(r) for r in fc.file_manifest(spark, str(tmp_path)).collect()} == want
+    monkeypatch.setattr(fc, "ARROW_SYSTEMS", set())
+    assert {tuple(r) for r in fc.file_manifest(spark, str(tmp_path)).collect()} == want

@@ -561,12 +561,12 @@ def _(spark, sf):
 
 @query("retrieval_batch")
 def _(spark, sf):
-    """The whole batch: texts of `benchmark` as questions with the vectors of the same numbers."""
+    """The whole batch: texts of `benchmark` as questions with the vectors of the same numbers, where there are any."""
     vectors = src.table(spark, sf, "embeddings")
-    asked_texts = src.table(spark, sf, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(
+    asked_texts = src.table(spark, sf, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"), "left").select(
         F.col("item_id").alias("query_id"), "text", F.lit("CROSS_DOCUMENT").alias("question_type"), "embedding"
     )
     holders = src.items(spark, sf).join(
-        vectors.select(F.col("vec_id").alias("document_id"), "embedding"), "document_id"
+        vectors.select(F.col("vec_id").alias("document_id"), "embedding"), "document_id", "left"
     )
     return retrieve(asked_texts, holders)["gate"]

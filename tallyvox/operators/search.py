@@ -1,28 +1,38 @@
 """Exact top-k search of many questions over a whole chunk table.
 
-Questions and chunks are cut by a hash into blocks of bounded size, and every pair of blocks meets in
-one task, which scores it as one product and keeps the best k per question, so pairs never become
-rows. There is one way for all sizes: a small question table is one block.
+Questions are cut into blocks of bounded rows and bytes. A block goes to every task, chunks are
+scanned where they are and never copied (those of a few files are dealt over the cores once), and a
+task keeps the k best per question, so pairs never become rows. There is one way for all sizes: a
+small question table is one block.
+
+Vectors are pruned exactly: a task cuts its chunks into cells around pivots. No vector of a cell is
+nearer to a question than its pivot's angle less the cell's radius allows, so a cell that cannot
+reach a question's k-th score so far is skipped.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyvox.functions.text import trigrams
 from tallyvox.operators.dashboard import ranked
+from tallyvox.session import checkpoint_dir, materialize
 
 # Scores are rounded so that ranks do not depend on how rows were cut into batches.
 SCORE_DIGITS = 9
-QUESTION_BLOCK = 1_024
+QUESTION_BLOCK = 4_096
+QUESTION_BYTES = 64 << 20
 CHUNK_BLOCK = 2_048
-BATCH_ROWS = 512
 PAIRS_AT_ONCE = 1 << 22
+SLACK = 1e-7  # what rounding may take from a bound
 
 # Weights and thresholds of the lexical arm.
 TITLE_WEIGHT = 3.0
@@ -33,35 +43,124 @@ FIELD_THRESHOLD = 0.12
 BODY_THRESHOLD = 0.15
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(length of every list, all their values behind each other); a null list is empty."""
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return size, column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_pandas().to_numpy()
+
+
+class Best:
+    """The k best chunks of every question so far; ties at the edge are settled by chunk id."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.floor = k, np.full(questions, -np.inf)
+        self.parts: list[tuple] = []
+        self.pending, self.limit = 0, max(4 * questions * k, 1 << 16)
+        self.pairs = self.computed = 0
+
+    def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of the questions `rows` with the chunks `ids`; minus infinity is no hit."""
+        self.computed += scores.size
+        floor = self.floor[rows]
+        if scores.shape[1] > self.k:
+            floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+        r, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+        if len(r):
+            self.parts.append((rows[r], ids[c], scores[r, c]))
+            self.pending += len(r)
+        if self.pending > self.limit:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not self.parts:
+            return None
+        rows, ids, found = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -found, rows))
+        rows, ids, found = rows[order], ids[order], found[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        last = place == self.k - 1
+        self.floor[rows[last]] = found[last]
+        best = place < self.k
+        self.parts, self.pending = [(rows[best], ids[best], found[best])], int(best.sum())
+        return self.parts[0]
+
+
 class CosineKernel:
     """Similarity of `embedding` columns."""
 
+    columns = ("embedding",)
+
     def __init__(self, exclude_same_id: bool = False):
         self.exclude_same_id = exclude_same_id
 
-    def prepare(self, questions: pd.DataFrame) -> tuple:
-        return questions["query_id"].to_numpy(), self._unit(questions["embedding"])
+    def prepare(self, questions: pa.Table) -> tuple:
+        return _ids(questions.column("query_id")), self._unit(questions.column("embedding").combine_chunks())
 
     @staticmethod
-    def _unit(vectors: pd.Series) -> np.ndarray:
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    def _unit(vectors: pa.Array) -> np.ndarray:
+        flat = _lists(vectors)[1].astype(np.float64)
+        matrix = flat.reshape(len(vectors), len(flat) // max(1, len(vectors)))
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return matrix / np.where(norms == 0, 1.0, norms)
 
-    def score(self, prepared: tuple, chunks: pd.DataFrame) -> np.ndarray:
-        ids, questions = prepared
-        scores = np.round(questions @ self._unit(chunks["embedding"]).T, SCORE_DIGITS)
-        if self.exclude_same_id:
-            scores[ids[:, None] == chunks["chunk_id"].to_numpy()[None, :]] = -np.inf
-        return scores
+    def _offer(self, best: Best, prepared: tuple, rows: np.ndarray, ids: np.ndarray, unit: np.ndarray, but: tuple | None = None) -> None:
+        asked, questions = prepared
+        step = max(1, PAIRS_AT_ONCE // max(1, len(unit)))
+        for a in range(0, len(rows), step):
+            some = rows[a : a + step]
+            scores = np.round(questions[some] @ unit.T, SCORE_DIGITS)
+            if self.exclude_same_id:
+                scores[asked[some][:, None] == ids[None, :]] = -np.inf
+            if but is not None:
+                own, cell = but
+                scores[own[some][:, None] == cell[None, :]] = -np.inf
+            best.offer(some, ids, scores)
+
+    def scan(self, prepared: tuple, ids: np.ndarray, chunks: pa.RecordBatch, best: Best) -> None:
+        """Offers every chunk that may be among the k best of a question."""
+        unit, questions = self._unit(chunks.column("embedding")), prepared[1]
+        everyone = np.arange(len(questions))
+        best.pairs += len(everyone) * len(unit)
+        cells = int(np.sqrt(len(unit)))
+        there = (np.abs(unit).sum(axis=1) > 0) if len(unit) else np.zeros(0, bool)
+        if cells < 8 or not there.all() or not len(everyone):
+            return self._offer(best, prepared, everyone, ids, unit)
+        pivots = unit[:: len(unit) // cells][:cells]
+        near = unit @ pivots.T
+        cell = near.argmax(axis=1)
+        order = np.argsort(cell, kind="stable")
+        unit, ids, cell = unit[order], ids[order], cell[order]
+        edges = np.searchsorted(cell, np.arange(cells + 1))
+        least = np.full(cells, 1.0)
+        np.minimum.at(least, cell, near[order, cell])
+        to_pivot = np.clip(questions @ pivots.T, -1, 1)
+        own = to_pivot.argmax(axis=1)
+        for c in range(cells):
+            rows = np.flatnonzero(own == c)
+            if len(rows):
+                self._offer(best, prepared, rows, ids[edges[c] : edges[c + 1]], unit[edges[c] : edges[c + 1]])
+        best.cut()
+        bound = np.cos(np.maximum(np.arccos(to_pivot) - np.arccos(np.clip(least, -1, 1)), 0)) + SLACK
+        bound[np.abs(questions).sum(axis=1) == 0] = 1.0  # nothing has an angle to these; all scores are 0
+        wanted = (bound >= best.floor[:, None]) & (own[:, None] != np.arange(cells))
+        if (wanted @ np.diff(edges)).sum() * 2 > len(everyone) * len(unit):
+            self._offer(best, prepared, everyone, ids, unit, (own, cell))  # little to skip: one product
+            return None
+        for c in range(cells):
+            rows = np.flatnonzero(wanted[:, c])
+            if len(rows):
+                self._offer(best, prepared, rows, ids[edges[c] : edges[c + 1]], unit[edges[c] : edges[c + 1]])
 
 
 class _Sets:
     """Sets of hashed trigrams, as (row, place in the vocabulary) entries of those it knows."""
 
-    def __init__(self, lists: pd.Series, vocabulary: np.ndarray):
-        self.sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
+    def __init__(self, lists: pa.Array, vocabulary: np.ndarray):
+        self.sizes, flat = _lists(lists)
         place = np.searchsorted(vocabulary, flat)
         known = np.flatnonzero(vocabulary[np.minimum(place, len(vocabulary) - 1)] == flat) if len(vocabulary) else np.zeros(0, np.int64)
         self.rows = np.repeat(np.arange(len(lists)), self.sizes)[known]
@@ -71,7 +170,7 @@ class _Sets:
 class _Index(_Sets):
     """Posting lists of the questions: rows by trigram."""
 
-    def __init__(self, lists: pd.Series, vocabulary: np.ndarray):
+    def __init__(self, lists: pa.Array, vocabulary: np.ndarray):
         super().__init__(lists, vocabulary)
         self.rows = self.rows[np.argsort(self.places, kind="stable")]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.places, minlength=len(vocabulary)))])
@@ -96,10 +195,12 @@ class _Index(_Sets):
 class TrigramKernel:
     """Weighted trigram similarity over title, section, version and body pieces, as hashed sets."""
 
-    def prepare(self, questions: pd.DataFrame) -> tuple:
-        lists = [np.asarray(x, dtype=np.int64) for c in ("q_tri", "e_tri") for x in questions[c]]
-        vocabulary = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
-        return vocabulary, _Index(questions["q_tri"], vocabulary), _Index(questions["e_tri"], vocabulary)
+    columns = ("q_tri", "e_tri")
+
+    def prepare(self, questions: pa.Table) -> tuple:
+        plain, expanded = (questions.column(c).combine_chunks() for c in self.columns)
+        vocabulary = np.unique(np.concatenate([_lists(c)[1] for c in (plain, expanded)]))
+        return _ids(questions.column("query_id")), vocabulary, _Index(plain, vocabulary), _Index(expanded, vocabulary)
 
     @staticmethod
     def _similarity(questions: _Index, field: _Sets) -> np.ndarray:
@@ -107,10 +208,17 @@ class TrigramKernel:
         total = questions.sizes[:, None] + field.sizes[None, :] - shared
         return np.divide(shared, total, out=np.zeros_like(shared), where=total > 0)
 
-    def score(self, prepared: tuple, chunks: pd.DataFrame) -> np.ndarray:
-        vocabulary, plain, expanded = prepared
+    def scan(self, prepared: tuple, ids: np.ndarray, chunks: pa.RecordBatch, best: Best) -> None:
+        everyone = np.arange(len(prepared[0]))
+        step = max(1, PAIRS_AT_ONCE // 4 // max(1, len(everyone)))
+        best.pairs += len(everyone) * len(ids)
+        for a in range(0, len(ids), step):
+            best.offer(everyone, ids[a : a + step], self.score(prepared, chunks.slice(a, step)))
+
+    def score(self, prepared: tuple, chunks: pa.RecordBatch) -> np.ndarray:
+        _, vocabulary, plain, expanded = prepared
         fields = {
-            name: _Sets(chunks[f"{name}_tri"], vocabulary)
+            name: _Sets(chunks.column(f"{name}_tri"), vocabulary)
             for name in ("title", "section", "tag", "number", "body")
         }
         title = self._similarity(plain, fields["title"])
@@ -131,38 +239,10 @@ class TrigramKernel:
         return np.where(matched, np.round(scores, SCORE_DIGITS), -np.inf)
 
 
-@dataclass(frozen=True)
-class _TopK:
-    kernel: CosineKernel | TrigramKernel
-    k: int
-
-    def _cut(self, query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
-        """The k best of one batch per question; ties at the edge are settled by chunk id."""
-        keep = np.isfinite(scores)
-        if scores.shape[1] > self.k:
-            edge = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-            keep &= scores >= edge[:, None]
-        rows, columns = np.nonzero(keep)
-        found = scores[rows, columns]
-        order = np.lexsort((ids[columns], -found, rows))
-        rows, columns, found = rows[order], columns[order], found[order]
-        first = np.searchsorted(rows, rows, side="left")
-        best = np.arange(len(rows)) - first < self.k
-        return pd.DataFrame(
-            {
-                "query_id": query_ids[rows[best]],
-                "chunk_id": ids[columns[best]],
-                "score": found[best],
-            }
-        )
-
-    def best(self, query_ids: np.ndarray, prepared: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for start in range(0, len(chunks), BATCH_ROWS):
-            batch = chunks.iloc[start : start + BATCH_ROWS]
-            scores = self.kernel.score(prepared, batch)
-            parts.append(self._cut(query_ids, batch["chunk_id"].to_numpy(), scores))
-        return pd.concat(parts, ignore_index=True)
+def _spread(chunks: DataFrame) -> DataFrame:
+    """Chunks of fewer files than there are cores are dealt over these, each once; others are scanned where they are."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks if len(chunks.inputFiles()) >= cores else chunks.repartition(cores, "chunk_id")
 
 
 def top_k(
@@ -175,34 +255,49 @@ def top_k(
 ) -> DataFrame:
     """query_id, chunk_id, score, rank: the k best chunks per question, ties by chunk id.
 
-    Counts both tables when called. A block of questions is sent once to every block of chunks and
-    the other way round; a task holds one of each.
+    Counts the questions when called and brings them to the driver block by block, at most
+    `question_block` rows and QUESTION_BYTES each, from where a block is broadcast. One block's result
+    is lazy; of several, each is written to the shared folder before the next is sent.
     """
-    q_type = questions.schema["query_id"].dataType.simpleString()
-    c_type = chunks.schema["chunk_id"].dataType.simpleString()
-    job = _TopK(kernel, k)
-    question_blocks = max(1, -(-questions.count() // question_block))
-    chunk_blocks = max(1, -(-chunks.count() // chunk_block))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return job.best(left["query_id"].to_numpy(), job.kernel.prepare(left), right)
-
-    def block(column: str, blocks: int) -> F.Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks))
-
-    def copies(blocks: int) -> F.Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-
-    left = questions.withColumn("_q", block("query_id", question_blocks)).withColumn("_c", copies(chunk_blocks))
-    right = chunks.withColumn("_c", block("chunk_id", chunk_blocks)).withColumn("_q", copies(question_blocks))
-    partial = (
-        left.groupBy("_q", "_c")
-        .cogroup(right.groupBy("_q", "_c"))
-        .applyInPandas(meet, f"query_id {q_type}, chunk_id {c_type}, score double")
-    )
-    return ranked(partial, k, [F.desc("score"), "chunk_id"], "query_id")
+    spark = chunks.sparkSession
+    types = {"query_id": questions.schema["query_id"].dataType, "chunk_id": chunks.schema["chunk_id"].dataType}
+    names = [t.simpleString() for t in types.values()]
+    size = questions.agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.greatest(F.size(c), F.lit(0))).alias(c) for c in kernel.columns)
+    ).first()
+    blocks = max(1, -(-size["n"] // question_block), -(-8 * sum(size[c] or 0 for c in kernel.columns) // QUESTION_BYTES))
+    if blocks > 1:
+        questions = materialize(questions)
+    arrow = [to_arrow_type(t) for t in types.values()]
+
+    def partial(block: int) -> tuple[DataFrame, object]:
+        some = questions.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else questions
+        shared = spark.sparkContext.broadcast(kernel.prepare(some.toArrow()))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            prepared = shared.value
+            best = Best(len(prepared[0]), k)
+            for batch in batches:
+                for a in range(0, batch.num_rows, chunk_block):
+                    some = batch.slice(a, chunk_block)
+                    kernel.scan(prepared, _ids(some.column("chunk_id")), some, best)
+            found = best.cut()
+            if found is not None:
+                rows, ids, scores = found
+                columns = [pa.array(prepared[0][rows], arrow[0]), pa.array(ids, arrow[1]), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+
+        rows = chunks.mapInArrow(scan, f"query_id {names[0]}, chunk_id {names[1]}, score double")
+        return ranked(rows, k, [F.desc("score"), "chunk_id"], "query_id"), shared
+
+    if blocks == 1:
+        return partial(0)[0]
+    folder = f"{checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
+    for block in range(blocks):
+        rows, shared = partial(block)
+        rows.write.mode("append").parquet(folder)
+        shared.unpersist()
+    return spark.read.parquet(folder)
 
 
 def vector_arm(
@@ -213,10 +308,10 @@ def vector_arm(
     question_block: int = QUESTION_BLOCK,
     chunk_block: int = CHUNK_BLOCK,
 ) -> DataFrame:
-    """`questions(query_id, embedding)` against `chunks(chunk_id, embedding)` by cosine."""
+    """`questions(query_id, embedding)` against `chunks(chunk_id, embedding)` by cosine; rows without a vector have no hits."""
     return top_k(
-        questions.select("query_id", "embedding"),
-        chunks.select("chunk_id", "embedding"),
+        questions.select("query_id", "embedding").where("embedding is not null"),
+        _spread(chunks.select("chunk_id", "embedding").where("embedding is not null")),
         CosineKernel(exclude_same_id),
         k,
         question_block,
@@ -237,7 +332,7 @@ def lexical_arm(
         hashed(F.col("expanded")).alias("e_tri"),
     )
     number = F.col("version_no").cast("string")
-    indexed = chunks.select(
+    indexed = _spread(chunks).select(
         "chunk_id",
         hashed(F.col("title")).alias("title_tri"),
         hashed(F.col("section_heading")).alias("section_tri"),

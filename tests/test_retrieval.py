@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from tallyvox.operators import corpus as co
 from tallyvox.operators import retrieval as rt
 from tallyvox.operators import search as se
 from tallyvox.operators import selection as sl
+from tallyvox.session import checkpoint_dir
 
 
 def chunked(spark, text, **kw):
@@ -135,3 +138,42 @@ def test_quota_with_a_slot_for_every_subquery(spark):
     got = sl.subquery_quota(candidates(spark, items), parts, signals(spark, text), k=8).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == list(range(8))
     assert sl.coverage_select(candidates(spark, items), signals(spark, text), k=0).count() == 0
+
+
+def test_clustered_vectors_are_pruned_exactly():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 24))
+    vectors = np.repeat(centres, 200, axis=0) + rng.normal(size=(12_000, 24)) * 0.03
+    vectors = vectors[rng.permutation(len(vectors))]
+    asked = centres[rng.integers(0, 60, 300)] + rng.normal(size=(300, 24)) * 0.03
+    kernel = se.CosineKernel()
+    lists = lambda m: pa.array(list(m.tolist()), pa.list_(pa.float64()))
+    prepared = kernel.prepare(pa.table({"query_id": pa.array(range(300)), "embedding": lists(asked)}))
+    best = se.Best(300, 10)
+    for a in range(0, len(vectors), 2048):
+        some = lists(vectors[a : a + 2048])
+        ids = np.arange(a, a + len(some))
+        kernel.scan(prepared, ids, pa.RecordBatch.from_arrays([pa.array(ids), some], names=["chunk_id", "embedding"]), best)
+    rows, ids, scores = best.cut()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    full = np.round(unit(asked) @ unit(vectors).T, se.SCORE_DIGITS)
+    want = np.argsort(-full, axis=1, kind="stable")[:, :10]
+    assert (ids.reshape(300, 10) == want).all() and (scores.reshape(300, 10) == np.take_along_axis(full, want, 1)).all()
+    assert best.pairs == 300 * 12_000 and best.computed < 0.2 * best.pairs
+
+
+def test_odd_vectors_and_many_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 3)]) for k in range(300)] + [(900, [0.0] * 3), (901, None)]
+    vectors = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    chunks = vectors.withColumnRenamed("query_id", "chunk_id").repartition(3)
+    few = se.vector_arm(vectors, chunks, 5, exclude_same_id=True, question_block=50, chunk_block=80).collect()
+    one = se.vector_arm(vectors, chunks.coalesce(1), 5, exclude_same_id=True, chunk_block=1).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, one))
+    folder = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks.repartition(6).write.parquet(folder)
+    plan = se.vector_arm(vectors, spark.read.parquet(folder), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the k best per question; chunks stay where they are
+    assert se.vector_arm(vectors.limit(0), chunks, 5).count() == 0 and se.vector_arm(vectors, chunks.limit(0), 5).count() == 0

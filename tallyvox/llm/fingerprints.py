@@ -1,28 +1,24 @@
-"""Document fingerprints: Merkle trees over sections, paragraphs and sentences, in SQL functions.
-
-A section ends at an empty line, a paragraph at a line break, a sentence at a blank behind a
-mark. A paragraph's hash is that of its text, a section's that of its paragraphs' hashes, the
-root's that of the sections' hashes, so equal roots mean equal texts. A fingerprint is the root and,
-in the shape of the tree, eight digits per sentence: what differs between two of them locates an
-edit without the texts.
+"""Document fingerprints: Merkle trees over sections, paragraphs and leaves, in SQL functions.
+
+A section ends at an empty line, a paragraph at a line break. A leaf is a piece of a paragraph of at
+most 65 code points: it ends at a blank behind a mark or behind one of a few letters and digits, else
+after 64, so that an edit moves no cut behind the next such blank. A paragraph's hash is that of its
+text, a section's that of its paragraphs' hashes, the root's that of the sections' hashes, so equal
+roots mean equal texts. A fingerprint is the root and, in the shape of the tree, eight digits per
+leaf: what differs between two of them locates an edit without the texts.
 """
 
 from __future__ import annotations
 
-import math
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyvox.operators.ordering import numbered
-
-BLOCK = 32
-CUT = "\x1e"
-SENTENCE_END = r"([.,;:!?#&*$%]) "
-
-
-def _marked(text: Column) -> Column:
-    return F.regexp_replace(text, SENTENCE_END, "$1" + CUT)
+BLOCK = 32  # rows of a block, more where there would be over MOST_BLOCKS of them
+MOST_BLOCKS = 65_536
+SAMPLE = 16  # rows sampled per block to place its bounds
+LEAF = r"(?s).{0,63}?[.,;:!?#&*$%dlry0-9] |.{1,64}"
 
 
 def root(text: Column) -> Column:
@@ -35,28 +31,42 @@ def root(text: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """`root:` and the sentences' digits; paragraphs are parted by a comma, sections by a semicolon."""
+    """`root:` and the leaves' digits; paragraphs are parted by a comma, sections by a semicolon."""
 
     def paragraph(p: Column) -> Column:
-        return F.array_join(F.transform(F.split(p, CUT), lambda s: F.substring(F.md5(s), 1, 8)), "")
+        return F.array_join(
+            F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda s: F.substring(F.md5(s), 1, 8)), ""
+        )
 
-    tree = F.transform(
-        F.split(_marked(text), "\n\n"), lambda s: F.array_join(F.transform(F.split(s, "\n"), paragraph), ",")
-    )
+    tree = F.transform(F.split(text, "\n\n"), lambda s: F.array_join(F.transform(F.split(s, "\n"), paragraph), ","))
     return F.concat(root(text), F.lit(":"), F.array_join(tree, ";"))
 
 
 def leaves(print_: Column) -> Column:
-    """Distinct sentences of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.substring(print_, 66, 1 << 30), F.lit("[0-9a-f]{8}"), 0))
+    """Leaves of a fingerprint, each with its number among equal ones."""
+    ordered = F.sort_array(F.regexp_extract_all(F.substring(print_, 66, 1 << 30), F.lit("[0-9a-f]{8}"), F.lit(0)))
+    beside = F.arrays_zip(ordered.alias("here"), F.concat(F.array(F.lit("")), ordered).alias("before"))
+    first = F.filter(
+        F.transform(beside, lambda z, at: F.when(z["here"] != z["before"], at)), lambda at: at.isNotNull()
+    )
+    behind = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(ordered)))
+    counts = F.zip_with(first, behind, lambda x, y: y - x)
+    return F.flatten(
+        F.zip_with(
+            F.array_distinct(ordered),
+            F.slice(counts, F.lit(1), F.size(first)),
+            lambda leaf, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat_ws("x", leaf, k)),
+        )
+    )
 
 
 def likeness(a: Column, b: Column, leaves_a: Column | None = None, leaves_b: Column | None = None) -> Column:
-    """Share of common sentences among all of two fingerprints; 1 exactly if the roots are equal or all agree."""
+    """Share of common leaves among all of two fingerprints, repeated ones counted; 1 exactly if the roots are equal
+    or all agree, 0 without leaves."""
     x, y = (leaves(a) if leaves_a is None else leaves_a), (leaves(b) if leaves_b is None else leaves_b)
     both = F.size(F.array_intersect(x, y))
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(
-        both.cast("double") / (F.size(x) + F.size(y) - both)
+        both.cast("double") / F.greatest(F.size(x) + F.size(y) - both, F.lit(1))
     )
 
 
@@ -71,32 +81,59 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.filter(at, lambda k: k.isNotNull())
 
 
+def _block(at: Column, bounds: list) -> Column:
+    """Number of bounds that are not above `at`, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    fields = [f"_{k}" for k in range(len(bounds[0]))]
+    rows = json.dumps([dict(zip(fields, b)) for b in bounds])
+    table = F.from_json(F.lit(rows), f"array<struct<{','.join(f'{f}:bigint' for f in fields)}>>")
+    probe = F.struct(*(at[f].cast("bigint").alias(f) for f in fields))
+
+    def step(low: Column, half: Column) -> Column:
+        behind = low + half
+        fits = (behind <= F.lit(len(bounds))) & (F.get(table, behind - 1) <= probe)
+        return F.when(fits, behind).otherwise(low)
+
+    halves = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, halves)), F.lit(0), step)
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """(key, text, print, next, next_print): each row with the following one, keys descending, in a ring.
 
-    Keys are cut into blocks of equal span, about 32 rows each, and every text is shuffled once,
-    to its block. The row behind a block's last is the first of the next block that has rows;
+    Rows are cut into blocks of about 32 by rank: the bounds are taken from a sample of rows, so that
+    neither far-off keys nor a key or a text that many rows share fill a block. Every text is shuffled
+    once, to its block. The row behind a block's last is the first of the next block that has rows;
     only those first rows, one per block, travel again.
     """
-    span = docs.agg(F.count("key").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("all")).first()
-    low = span["lo"] or 0
-    width = BLOCK * math.ceil(((span["hi"] or 0) - low + 1) / max(span["n"], 1))
-    block = F.floor((F.col("key") - F.lit(low)) / F.lit(width)).cast("long")
-    if span["all"] > span["n"]:  # rows without a key follow all others, in the order of a hash of their text
-        block = F.coalesce(block, F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(span["all"] // BLOCK + 1)))
-    keyed = docs.withColumn("block", F.coalesce(block, F.lit(-1)))
+    place = F.struct(
+        F.col("key").isNull().cast("bigint").alias("_0"),
+        F.coalesce(F.bitwise_not("key"), F.lit(0)).alias("_1"),
+        F.xxhash64("text").alias("_2"),
+        F.monotonically_increasing_id().alias("_3"),
+    )
+    rows = docs.withColumn("at", place)
+    total = docs.count()
+    blocks = min(total // BLOCK + 1, MOST_BLOCKS)
+    bounds = []
+    if blocks > 1:
+        part = min(1.0, SAMPLE * blocks / total)
+        seen = sorted(tuple(r) for r in rows.sample(part, seed=1).select("at.*").toLocalIterator())
+        bounds = sorted({seen[k * len(seen) // blocks] for k in range(1, blocks)}) if seen else []
+    keyed = rows.withColumn("block", _block(F.col("at"), bounds))
     placed = keyed.repartition("block").withColumn("print", fingerprint(F.col("text")))
 
-    order = numbered(keyed.select("block").distinct(), [], ["block"], "at")
-    total = order.agg(F.max("at")).first()[0] or 0
-    after = order.select("at", F.col("block").alias("owner"))
-    owners = order.withColumn("at", F.when(F.col("at") == total, 1).otherwise(F.col("at") + 1)).join(after, "at").select("block", "owner")
+    # at most MOST_BLOCKS numbers
+    ring = Window.orderBy("block")
+    every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    owners = keyed.select("block").distinct().select(
+        "block", F.coalesce(F.lag("block").over(ring), F.last("block").over(every)).alias("owner")
+    )
 
-    inside = Window.partitionBy("block").orderBy(F.col("key").desc_nulls_last(), "text")
+    inside = Window.partitionBy("block").orderBy("at")
     row = F.struct("text", "print")
-    walked = placed.select(
-        "block", "key", "text", "print", F.lead(row).over(inside).alias("follow"), F.row_number().over(inside).alias("n")
-    )
+    walked = placed.select("block", "key", "text", "print", F.lead(row).over(inside).alias("follow"))
     heads = (
         placed.select("block", "text", "print", F.row_number().over(inside).alias("n"))
         .where("n = 1")
@@ -112,8 +149,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     The edit puts the first code points of the next document, keys descending, in place of the
     last half. Null texts are empty. Equal texts have equal fingerprints and likeness 1; a lone
-    row is its own next; rows of one key follow each other by text; rows without a key come
-    last. Other columns are dropped. Runs small jobs on the keys when called.
+    row is its own next; rows of one key follow each other by a hash of their text; rows without a key
+    come last. Other columns are dropped. Runs a count and a sample of the keys when called.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = F.length("text").cast("long")
@@ -143,22 +180,25 @@ e AS (SELECT *, substring(text, 1, n_chars - n_chars // 2) || substring(next, 1,
 p AS (SELECT *,
         sha256(list_aggregate(list_transform(string_split(text, chr(10) || chr(10)), lambda s: sha256(list_aggregate(
           list_transform(string_split(s, chr(10)), lambda x: sha256(x)), 'string_agg', ''))), 'string_agg', '')) || ':' ||
-        list_aggregate(list_transform(string_split(regexp_replace(text, '([.,;:!?#&*$%]) ', '\1' || chr(30), 'g'), chr(10) || chr(10)),
-          lambda s: list_aggregate(list_transform(string_split(s, chr(10)), lambda x: list_aggregate(list_transform(string_split(x, chr(30)),
-          lambda y: substring(md5(y), 1, 8)), 'string_agg', '')), 'string_agg', ',')), 'string_agg', ';') AS a,
+        array_to_string(list_transform(string_split(text, chr(10) || chr(10)),
+          lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda x: array_to_string(list_transform(
+          regexp_extract_all(x, '@LEAF@'), lambda y: substring(md5(y), 1, 8)), '')), ',')), ';') AS a,
         sha256(list_aggregate(list_transform(string_split(edited, chr(10) || chr(10)), lambda s: sha256(list_aggregate(
           list_transform(string_split(s, chr(10)), lambda x: sha256(x)), 'string_agg', ''))), 'string_agg', '')) || ':' ||
-        list_aggregate(list_transform(string_split(regexp_replace(edited, '([.,;:!?#&*$%]) ', '\1' || chr(30), 'g'), chr(10) || chr(10)),
-          lambda s: list_aggregate(list_transform(string_split(s, chr(10)), lambda x: list_aggregate(list_transform(string_split(x, chr(30)),
-          lambda y: substring(md5(y), 1, 8)), 'string_agg', '')), 'string_agg', ',')), 'string_agg', ';') AS b FROM e),
+        array_to_string(list_transform(string_split(edited, chr(10) || chr(10)),
+          lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda x: array_to_string(list_transform(
+          regexp_extract_all(x, '@LEAF@'), lambda y: substring(md5(y), 1, 8)), '')), ',')), ';') AS b FROM e),
 q AS (SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first_value(a) OVER (ORDER BY doc_id DESC)) AS c FROM p),
-l AS (SELECT *, list_distinct(regexp_extract_all(a[66:], '[0-9a-f]{8}')) AS la,
-        list_distinct(regexp_extract_all(b[66:], '[0-9a-f]{8}')) AS lb,
-        list_distinct(regexp_extract_all(c[66:], '[0-9a-f]{8}')) AS lc FROM q)
+l AS (SELECT *, flatten(list_transform(map_entries(list_histogram(regexp_extract_all(a[66:], '[0-9a-f]{8}'))),
+        lambda e: list_transform(range(1, e.value::BIGINT + 1), lambda k: e.key || 'x' || k))) AS la,
+        flatten(list_transform(map_entries(list_histogram(regexp_extract_all(b[66:], '[0-9a-f]{8}'))),
+        lambda e: list_transform(range(1, e.value::BIGINT + 1), lambda k: e.key || 'x' || k))) AS lb,
+        flatten(list_transform(map_entries(list_histogram(regexp_extract_all(c[66:], '[0-9a-f]{8}'))),
+        lambda e: list_transform(range(1, e.value::BIGINT + 1), lambda k: e.key || 'x' || k))) AS lc FROM q)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS edited_fingerprint,
   CASE WHEN a[:64] = b[:64] THEN 1.0::DOUBLE ELSE len(list_intersect(la, lb))::DOUBLE
-    / (len(la) + len(lb) - len(list_intersect(la, lb))) END AS near_edited,
+    / greatest(len(la) + len(lb) - len(list_intersect(la, lb)), 1) END AS near_edited,
   CASE WHEN a[:64] = c[:64] THEN 1.0::DOUBLE ELSE len(list_intersect(la, lc))::DOUBLE
-    / (len(la) + len(lc) - len(list_intersect(la, lc))) END AS near_next
+    / greatest(len(la) + len(lc) - len(list_intersect(la, lc)), 1) END AS near_next
 FROM l
-"""
+""".replace("@LEAF@", LEAF)

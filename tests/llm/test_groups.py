@@ -184,3 +184,47 @@ def test_edit_is_located(spark):
 
     df = spark.createDataFrame([("a b. c\nd e\n\nf g", "a b. c\nd X\n\nf g")], "x string, y string")
     assert df.select(changed_paragraphs(fingerprint(F.col("x")), fingerprint(F.col("y")))).first()[0] == [1]
+
+
+def test_fingerprints_of_skewed_keys(spark):
+    """A far-off key, a key of a third of the rows and equal rows spread over blocks; the ring stays whole."""
+    from tallyvox.llm import fingerprints as module
+
+    rows = [(k, f"text {k}") for k in range(1000)] + [(10**12, "far")]
+    rows += [(500_000, f"same key {k}") for k in range(300)] + [(600_000, "equal row")] * 300
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3, "text")
+    got = module._with_next(df).select("key", "text", "next").collect()
+    assert sorted((r.key, r.text) for r in got) == sorted(rows)
+    assert sorted(r.next for r in got) == sorted(t for _, t in rows)
+    follow = {(r.key, r.text): r.next for r in got if r.key < 1000 and r.key > 0}
+    assert all(n == f"text {k - 1}" for (k, _), n in follow.items())
+    assert next(r.next for r in got if r.key == 10**12) == "equal row"
+    assert sum(r.next == "equal row" for r in got if r.text == "equal row") == 299
+    assert next(r.next for r in got if r.key == 0) == "far"
+
+
+def test_blocks_are_bounded_for_any_keys(spark):
+    from pyspark.sql import functions as F
+
+    from tallyvox.llm.fingerprints import _block
+
+    bounds = [(k, k % 2) for k in range(0, 40, 2)]
+    df = spark.range(-3, 50).select(F.struct(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).alias("at"))
+    named = df.select("at.a", _block(F.struct(F.col("at.a").alias("_0"), F.col("at.b").alias("_1")), bounds).alias("n"))
+    assert all(r.n == sum(b <= (r.a, 0) for b in bounds) for r in named.collect())
+
+
+def test_likeness_of_texts_without_marks(spark):
+    """Lists of words, scripts without blanks and repeated sentences keep what an edit leaves alone."""
+    import random
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = " ".join("".join(rng.choices(letters, k=6)) for _ in range(200))
+    script = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(900))
+    same = "One sentence that is repeated. " * 60
+    junk = "".join(rng.choices(letters, k=4000))
+    rows = [(k, t) for k, t in enumerate([words, script, same, junk])]
+    for r in fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.near_edited > 0.2 and r.near_edited > r.near_next
+        assert max(len(p) for p in r.fingerprint[65:].replace(";", ",").split(",")) > 8 * 10

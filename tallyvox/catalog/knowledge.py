@@ -392,12 +392,23 @@ def _(spark, sf):
 
 CTES["t_doc_words"] = r"""
 SELECT chunk_id, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM t_chunks"""
-
-
-@query("legacy_lexical", with_tables(r"""
+CTES["t_covers"] = r"""
 WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS wanted FROM benchmark),
-m AS (SELECT query_id, chunk_id, len(list_filter(w, lambda x: list_contains(wanted, x)))::BIGINT AS score FROM q JOIN t_doc_words ON list_has_all(w, wanted))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM m) r WHERE rank <= 32"""))
+m AS (SELECT query_id, chunk_id, wanted, w FROM q JOIN t_doc_words ON len(wanted) > 0 AND list_has_all(w, wanted)),
+e AS (SELECT query_id, chunk_id, len(wanted) AS size, unnest(w) AS word, unnest(range(len(w))) AS pos, wanted FROM m),
+h AS (SELECT query_id, chunk_id, size, word, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS nth
+      FROM e WHERE list_contains(wanted, word)),
+s AS (SELECT a.query_id, a.chunk_id, a.pos, a.nth, a.size, b.word, max(b.pos) AS last, max(b.nth) AS last_at
+      FROM h a JOIN h b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL),
+c AS (SELECT query_id, chunk_id, pos, nth, min(last) AS low, min(last_at) AS low_at FROM s
+      GROUP BY query_id, chunk_id, pos, nth, size HAVING count(*) = size),
+f AS (SELECT query_id, chunk_id, low, min(pos) AS pos, min(nth) AS nth, any_value(low_at) AS low_at FROM c GROUP BY query_id, chunk_id, low)
+SELECT query_id, chunk_id, round(sum(0.1::DOUBLE / (1 + (pos - low) - (nth - low_at)) ORDER BY pos), 12) AS score FROM f GROUP BY query_id, chunk_id"""
+
+
+@query("legacy_lexical", with_tables("""
+SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM t_covers) r WHERE rank <= 32"""), digits=9)
 def _(spark, sf):
     asked_texts = src.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rt.legacy_lexical(asked_texts, src.chunks(spark, sf))

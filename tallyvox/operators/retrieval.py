@@ -32,6 +32,7 @@ SUPPLEMENT_LIMIT = 5
 GATE = {False: (0.02, 0.0164), True: (0.35, 0.25)}
 CONTEXT_CHARS = 1000
 LEGACY_K = 32
+COVER_WEIGHT = 0.1  # of a word without a label
 
 
 def split_subqueries(queries: DataFrame) -> DataFrame:
@@ -225,19 +226,54 @@ def _words(c: Column) -> Column:
     )
 
 
+def cover_density(entries: Column, words: Column) -> Column:
+    """Rank of a text for a question from `entries`, an array of (pos, word) by position, word from 0 to `words` - 1.
+
+    A cover is a span that holds every word of the question and no shorter such span. Each adds
+    COVER_WEIGHT over one plus the number of other words inside it, so close words count more than
+    frequent ones. One sweep: the last place of each word is kept, the earliest of them begins the
+    cover that ends here, and it is a new one if it begins behind the one before.
+    """
+    nowhere = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("at"))
+    state = F.struct(
+        F.lit(0).alias("at"),
+        F.array_repeat(nowhere, words).alias("last"),
+        F.lit(-1).alias("start"),
+        F.lit(0.0).alias("score"),
+    )
+
+    def step(seen: Column, entry: Column) -> Column:
+        here = F.struct(entry["pos"].alias("pos"), seen["at"].alias("at"))
+        last = F.transform(seen["last"], lambda x, k: F.when(k == entry["word"], here).otherwise(x))
+        low = F.array_min(last)
+        others = (entry["pos"] - low["pos"]) - (seen["at"] - low["at"])
+        new = low["pos"] > seen["start"]
+        return F.struct(
+            (seen["at"] + 1).alias("at"),
+            last.alias("last"),
+            F.greatest(seen["start"], low["pos"]).alias("start"),
+            F.when(new, seen["score"] + COVER_WEIGHT / (1 + others)).otherwise(seen["score"]).alias("score"),
+        )
+
+    return F.aggregate(entries, state, step, lambda seen: F.round(seen["score"], 12))
+
+
 def legacy_lexical(queries: DataFrame, chunks: DataFrame, k: int = LEGACY_K) -> DataFrame:
-    """Chunks that hold every word of a question, by number of occurrences of those words.
+    """Chunks that hold every word of a question, by cover density.
 
     A question meets chunks only on its rarest word, so common words form no pairs. Rows hold one
-    word each; no list of words is shuffled. Occurrence counts stand in for cover density.
+    word with its positions in one chunk; no list of words is shuffled. Scores are rounded to twelve
+    digits, ties go by chunk id. Questions without words find nothing.
     """
     asked = queries.select("query_id", F.array_distinct(_words(F.col("text"))).alias("_wanted"))
-    wanted = asked.select("query_id", F.size("_wanted").alias("_size"), F.explode("_wanted").alias("_word"))
+    wanted = asked.select(
+        "query_id", F.size("_wanted").alias("_size"), F.posexplode("_wanted").alias("_no", "_word")
+    )
     held = (
-        chunks.select("chunk_id", F.explode_outer(_words(F.col("content"))).alias("_word"))
+        chunks.select("chunk_id", F.posexplode_outer(_words(F.col("content"))).alias("_pos", "_word"))
         .join(wanted.select("_word").distinct(), "_word", "left_semi")
         .groupBy("chunk_id", "_word")
-        .agg(F.count(F.lit(1)).alias("_times"))
+        .agg(F.collect_list("_pos").alias("_places"))
     )
     frequency = held.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"))
     rarest = wanted.join(frequency, "_word", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
@@ -246,10 +282,22 @@ def legacy_lexical(queries: DataFrame, chunks: DataFrame, k: int = LEGACY_K) ->
     found = (
         pairs.join(wanted, "query_id")
         .join(held, ["chunk_id", "_word"])
+        .select(
+            "query_id",
+            "chunk_id",
+            "_size",
+            F.transform(
+                "_places", lambda p: F.struct(p.alias("pos"), F.col("_no").alias("word"))
+            ).alias("_entries"),
+        )
         .groupBy("query_id", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("_met"), F.first("_size").alias("_size"), F.sum("_times").cast("int").alias("score"))
+        .agg(
+            F.count(F.lit(1)).alias("_met"),
+            F.first("_size").alias("_size"),
+            F.sort_array(F.flatten(F.collect_list("_entries"))).alias("_entries"),
+        )
         .filter(F.col("_met") == F.col("_size"))
-        .select("query_id", "chunk_id", "score")
+        .select("query_id", "chunk_id", cover_density(F.col("_entries"), F.col("_size")).alias("score"))
     )
     return ranked(found, k, [F.desc("score"), "chunk_id"], "query_id")
 

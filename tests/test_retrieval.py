@@ -177,3 +177,40 @@ def test_odd_vectors_and_many_blocks(spark):
     plan = se.vector_arm(vectors, spark.read.parquet(folder), 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # the k best per question; chunks stay where they are
     assert se.vector_arm(vectors.limit(0), chunks, 5).count() == 0 and se.vector_arm(vectors, chunks.limit(0), 5).count() == 0
+
+
+def test_cover_density(spark):
+    """Covers and their ranks worked out by hand."""
+    rows = [
+        (1, "red apple"),  # one cover, nothing between: 0.1
+        (2, "red big sour apple"),  # one cover, two words between: 0.1 / 3
+        (3, "red apple red apple"),  # three covers side by side: 0.3
+        (4, "red red red apple"),  # only the last red begins a cover: 0.1
+        (5, "red only"),
+        (6, "apple x red y z apple"),  # covers of one and of two words between: 0.1 / 2 + 0.1 / 3
+        (7, None),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "Red apple? red"), (2, ""), (3, None), (4, "sour")], "query_id long, text string")
+    got = [(r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in rt.legacy_lexical(asked, chunks).collect()]
+    want = [(1, 3, 0.3, 1), (1, 1, 0.1, 2), (1, 4, 0.1, 3), (1, 6, 0.083333333, 4), (1, 2, 0.033333333, 5), (4, 2, 0.1, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_cover_density_against_all_spans(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randrange(30))] for _ in range(60)]
+    asked = [(1, "a"), (2, "a b"), (3, "c a b"), (4, "a b c d")]
+    chunks = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "chunk_id long, content string")
+    want = {}
+    for q, words in asked:
+        need = set(words.split())
+        for k, t in enumerate(texts):
+            spans = [(p, r) for p in range(len(t)) for r in range(p, len(t)) if need <= set(t[p : r + 1])]
+            least = [s for s in spans if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in spans)]
+            if least:
+                want[q, k] = round(sum(0.1 / (1 + sum(w not in need for w in t[p : r + 1])) for p, r in least), 9)
+    got = rt.legacy_lexical(spark.createDataFrame(asked, "query_id long, text string"), chunks, k=100).collect()
+    assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in got} == want

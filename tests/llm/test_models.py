@@ -247,3 +247,33 @@ def test_language_model(request, path, table):
 
 def test_language_model_of_nothing(none, path):
     assert lm_scores(none, path("byte_bpe_50k.json")).count() == 0
+
+
+def test_base_spans_equal_the_patterns():
+    import random
+
+    rng = random.Random(8)
+    shapes = ["a@b.c", "_x@d.e-f", "@", ".", "..", "1.2.3.4", "300.1.1.1.7", "10.0.0.1", "4539 1488-0343 6467", "+1 (415) 555-1234", " ", "+", "-", "%", "é", "12", "ab"]
+    for _ in range(3000):
+        text = "".join(rng.choices(shapes, k=rng.randint(1, 14)))
+        want = [(m.start(), k, m.end(), pii.passes(kind, m[0])) for k, kind in enumerate(pii.KINDS) for m in pii.BASE[kind].finditer(text)]
+        good, bad = pii.base_spans(text)
+        assert sorted((s, k, e) for s, k, e, ok in want if ok) == good
+        assert sorted((s, k, e) for s, k, e, ok in want if not ok) == bad
+
+
+def test_very_long_runs_are_read_once():
+    import time
+
+    began = time.time()
+    for text in ("7" * 10**6, "a" * 10**6 + "@", "1.1.1." + "0" * 10**6 + "9", "a." * 500_000, "x@" * 500_000, "+1" + "(" * 10**6, "1 " * 500_000):
+        good, _ = pii.base_spans(text)
+        pii.wide_spans(text, good)
+    assert pii.base_spans("1.1.1." + "0" * 10**4 + "9")[0] == [(0, 1, 10_007)]
+    assert time.time() - began < 60
+
+
+def test_generators_propose_what_the_trees_are_taught():
+    for text in (f"write {'n' * 90} [at] mail [dot] example [dot] org", "x(at)example(dot)org", "call 0014155551234 now"):
+        assert any(e - s > 12 for s, _, e in pii.wide_spans(text, []))
+    assert pii.wide_spans(f"{'n' * 90} [at] mail [dot] org", [])[0][0] == 0

@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and leaves, in SQL functions.
 
 A section ends at an empty line, a paragraph at a line break. A leaf is a piece of a paragraph of at
-most 65 code points: it ends at a blank behind a mark or behind one of a few letters and digits, else
+most 64 code points: it ends at a blank behind a mark or behind one of a few letters and digits, else
 after 64, so that an edit moves no cut behind the next such blank. A paragraph's hash is that of its
 text, a section's that of its paragraphs' hashes, the root's that of the sections' hashes, so equal
 roots mean equal texts. A fingerprint is the root and, in the shape of the tree, eight digits per
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 BLOCK = 32  # rows of a block, more where there would be over MOST_BLOCKS of them
 MOST_BLOCKS = 65_536
 SAMPLE = 16  # rows sampled per block to place its bounds
-LEAF = r"(?s).{0,63}?[.,;:!?#&*$%dlry0-9] |.{1,64}"
+CUT = "\x1e"
+LEAF_END = r"([.,;:!?#&*$%dlry0-9]) "
+LEAF = r"[^\x1e]{1,64}"
 
 
 def root(text: Column) -> Column:
@@ -38,7 +40,8 @@ def fingerprint(text: Column) -> Column:
             F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda s: F.substring(F.md5(s), 1, 8)), ""
         )
 
-    tree = F.transform(F.split(text, "\n\n"), lambda s: F.array_join(F.transform(F.split(s, "\n"), paragraph), ","))
+    marked = F.regexp_replace(text, LEAF_END, "$1" + CUT)
+    tree = F.transform(F.split(marked, "\n\n"), lambda s: F.array_join(F.transform(F.split(s, "\n"), paragraph), ","))
     return F.concat(root(text), F.lit(":"), F.array_join(tree, ";"))
 
 
@@ -180,12 +183,12 @@ e AS (SELECT *, substring(text, 1, n_chars - n_chars // 2) || substring(next, 1,
 p AS (SELECT *,
         sha256(list_aggregate(list_transform(string_split(text, chr(10) || chr(10)), lambda s: sha256(list_aggregate(
           list_transform(string_split(s, chr(10)), lambda x: sha256(x)), 'string_agg', ''))), 'string_agg', '')) || ':' ||
-        array_to_string(list_transform(string_split(text, chr(10) || chr(10)),
+        array_to_string(list_transform(string_split(regexp_replace(text, '@END@', '\1' || chr(30), 'g'), chr(10) || chr(10)),
           lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda x: array_to_string(list_transform(
           regexp_extract_all(x, '@LEAF@'), lambda y: substring(md5(y), 1, 8)), '')), ',')), ';') AS a,
         sha256(list_aggregate(list_transform(string_split(edited, chr(10) || chr(10)), lambda s: sha256(list_aggregate(
           list_transform(string_split(s, chr(10)), lambda x: sha256(x)), 'string_agg', ''))), 'string_agg', '')) || ':' ||
-        array_to_string(list_transform(string_split(edited, chr(10) || chr(10)),
+        array_to_string(list_transform(string_split(regexp_replace(edited, '@END@', '\1' || chr(30), 'g'), chr(10) || chr(10)),
           lambda s: array_to_string(list_transform(string_split(s, chr(10)), lambda x: array_to_string(list_transform(
           regexp_extract_all(x, '@LEAF@'), lambda y: substring(md5(y), 1, 8)), '')), ',')), ';') AS b FROM e),
 q AS (SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first_value(a) OVER (ORDER BY doc_id DESC)) AS c FROM p),
@@ -201,4 +204,4 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a AS fingerprint, b AS
   CASE WHEN a[:64] = c[:64] THEN 1.0::DOUBLE ELSE len(list_intersect(la, lc))::DOUBLE
     / greatest(len(la) + len(lc) - len(list_intersect(la, lc)), 1) END AS near_next
 FROM l
-""".replace("@LEAF@", LEAF)
+""".replace("@LEAF@", LEAF).replace("@END@", LEAF_END)

@@ -51,7 +51,8 @@ def test_run(spark):
 
 def test_fingerprints_match_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     for name, sql in queries.SQL.items():
         df = queries.QUERIES[name](spark, FOLDER)
         cursor = con.execute(sql)

@@ -211,6 +211,32 @@ def _(spark, sf):
     return db.issue_samples(plain_links(spark, sf), src.feedback(spark, sf), src.window(spark, sf))
 
 
+@query("issue_detail", with_tables("""
+WITH b AS (SELECT ws, canonical_key, count(*) AS active FROM t_buckets GROUP BY ws, canonical_key),
+s AS (SELECT e.ws, l.canonical_key, e.event_id, e.sanitized_text, row_number() OVER (PARTITION BY e.ws, l.canonical_key ORDER BY e.event_id) AS n
+      FROM t_in_window e JOIN t_links l USING (event_id))
+SELECT c.ws, c.canonical_key, c.canonical_name, w.w0 AS window_start, w.w1 AS window_end,
+  coalesce((SELECT string_agg(strftime(x.bucket_start, '%Y-%m-%d') || '=' || x.feedback_count, '|' ORDER BY x.bucket_start) FROM t_window_buckets x WHERE x.ws = c.ws AND x.canonical_key = c.canonical_key), '') AS trend,
+  coalesce((SELECT string_agg(a.alert_id || '=' || a.current_count || '=' || a.status, '|' ORDER BY a.created_at DESC, a.alert_id DESC) FROM t_alerts a WHERE a.ws = c.ws AND a.canonical_key = c.canonical_key), '') AS alerts,
+  b.active AS active_buckets, CASE WHEN b.active >= 3 THEN 'active' ELSE 'baseline_building' END AS baseline_status,
+  coalesce((SELECT string_agg(s.event_id || '=' || s.sanitized_text, '|' ORDER BY s.event_id) FROM s WHERE s.n <= 5 AND s.ws = c.ws AND s.canonical_key = c.canonical_key), '') AS samples
+FROM t_catalog c JOIN t_window w USING (ws) JOIN b USING (ws, canonical_key)"""))
+def _(spark, sf):
+    buckets, catalog = src.buckets(spark, sf), src.topic_catalog(spark, sf)
+    rows = db.issue_detail(
+        catalog, buckets, src.alerts(spark, sf), bl.latest_profile(bl.ewma_baseline(buckets)),
+        plain_links(spark, sf), src.feedback(spark, sf), src.window(spark, sf),
+    )
+    text = lambda *parts: F.concat_ws("=", *[p.cast("string") for p in parts])
+    return rows.select(
+        "ws", "canonical_key", "canonical_name", "window_start", "window_end",
+        F.transform("trend", lambda d: text(F.date_format(d["bucket_start"], "yyyy-MM-dd"), d["feedback_count"])).alias("trend"),
+        F.transform("alerts", lambda a: text(a["alert_id"], a["current_count"], a["status"])).alias("alerts"),
+        "baseline.active_buckets", F.col("baseline.status").alias("baseline_status"),
+        F.transform("samples", lambda x: text(x["event_id"], x["sanitized_text"])).alias("samples"),
+    )
+
+
 @query("cell_samples", with_tables("""
 SELECT ws, canonical_key, event_id, rank, sample_text FROM (SELECT i.ws, i.canonical_key, i.event_id,
   CASE WHEN length(e.sanitized_text) <= 8 THEN e.sanitized_text ELSE substring(e.sanitized_text, 1, 8) || '…' END AS sample_text,

@@ -277,6 +277,40 @@ def cell_samples(
     ).drop("sanitized_text")
 
 
+def issue_detail(
+    catalog: DataFrame,
+    buckets: DataFrame,
+    alerts: DataFrame,
+    profiles: DataFrame,
+    links: DataFrame,
+    events: DataFrame,
+    window: DataFrame,
+    k: int = TOP,
+) -> DataFrame:
+    """One row per topic of the catalog: days inside the window, all alerts, baseline, samples.
+
+    Alerts are newest first. A topic without days, alerts or samples has empty lists, one without a
+    profile a null baseline. Lists are bounded by the calendar or by `k`; sample ids are chosen
+    before any text is read.
+    """
+    key = ["ws", "canonical_key"]
+    alert = F.struct("created_at", "alert_id", "bucket_start", "current_count", "z_score", "status")
+    history = alerts.groupBy(*key).agg(F.sort_array(F.collect_list(alert), asc=False).alias("alerts"))
+    profile = profiles.select(*key, F.struct("active_buckets", "ewma", "variance", "status", "last_bucket").alias("baseline"))
+    seen = in_window(events.select("ws", "event_id", "occurred_at"), window, "occurred_at").drop("occurred_at")
+    chosen = ranked(seen.join(links.select("event_id", "canonical_key").distinct(), "event_id"), k, ["event_id"], key)
+    texts = chosen.join(events.select("ws", "event_id", "sanitized_text"), ["ws", "event_id"])
+    samples = texts.groupBy(*key).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "event_id", "sanitized_text"))).alias("samples")
+    )
+    head = catalog.select(*key, "canonical_name").join(window.select("ws", "window_start", "window_end"), "ws", "left")
+    rows = head.join(issue_trend_series(buckets, window).withColumnRenamed("series", "trend"), key, "left")
+    for part in (history, profile, samples):
+        rows = rows.join(part, key, "left")
+    lists = ["trend", "alerts", "samples"]
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in lists})
+
+
 def latest_run(runs: DataFrame, at: str = "created_at", key: str = "run_id") -> DataFrame:
     """Newest run per workspace, picked by a maximum that is combined before the shuffle."""
     rest = [c for c in runs.columns if c != "ws"]

@@ -10,6 +10,7 @@ from tallyvox.catalog.inputs import CTES, with_tables
 from tallyvox.functions import text as tx
 from tallyvox.operators import evaluation as ev
 from tallyvox.operators import retrieval as rt
+from tallyvox.operators import selection as sl
 from tallyvox.session import materialize
 
 _NORMAL = r"regexp_replace(replace(replace(lower(coalesce({}, '')), '-', ''), '_', ''), '[\s，。；、：！？,.!?;:]', '', 'g')"
@@ -82,6 +83,56 @@ def _(spark, sf):
     return ev.requirement_groups(evidence, ranked)
 
 
+CTES["t_reordered"] = """
+SELECT case_key, document_id, version_no, chunk_id, row_number() OVER (PARTITION BY case_key ORDER BY score DESC, rr, rank) AS rank FROM (
+  SELECT *, 0.75::DOUBLE * (1.0 - (rr - 1)::DOUBLE / (n - 1)) + 0.25::DOUBLE * (1.0 - (rank - 1)::DOUBLE / (n - 1)) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY case_key ORDER BY chunk_id % 5 = 0, chunk_id % 7 DESC, rank) AS rr, count(*) OVER (PARTITION BY case_key) AS n
+    FROM t_ranked WHERE rank <= 30) q) r QUALIFY row_number() OVER (PARTITION BY case_key ORDER BY score DESC, rr, rank) <= 8"""
+CTES["t_met"] = """
+SELECT e.case_key, e.granularity, CASE WHEN coalesce(e.requirement_key, '') = '' THEN '__solo_' || e.sort_order ELSE e.requirement_key END AS group_key, e.document_id, r.rank,
+       CASE e.granularity WHEN 'DOCUMENT' THEN true WHEN 'VERSION' THEN e.version_no = r.version_no ELSE e.version_no = r.version_no AND e.chunk_id = r.chunk_id END AS exact
+FROM t_evidence e JOIN t_reordered r USING (case_key, document_id)"""
+
+
+@query("case_diagnostics", with_tables("""
+WITH a AS (SELECT case_key, group_key, min(rank) AS r FROM t_met WHERE exact GROUP BY case_key, group_key),
+b AS (SELECT case_key, group_key, min(rank) AS r FROM t_matches WHERE exact GROUP BY case_key, group_key),
+g AS (SELECT case_key, bool_and(coalesce(a.r <= 8, false)) AS ok, min(a.r) AS r_after, min(b.r) AS r_before,
+        string_agg(t.group_key || '=' || coalesce(b.r, 0) || '=' || coalesce(a.r, 0) || '=' || coalesce(a.r <= 8, false), '|' ORDER BY t.group_key) AS groups
+      FROM t_groups t LEFT JOIN a USING (case_key, group_key) LEFT JOIN b USING (case_key, group_key) GROUP BY case_key),
+f AS (SELECT case_key, min(rank) AS fine FROM t_matches WHERE exact AND granularity IN ('CHUNK', 'VERSION') GROUP BY case_key),
+d AS (SELECT case_key, count(DISTINCT document_id) AS n FROM t_met GROUP BY case_key),
+l AS (SELECT case_key, string_agg(chunk_id, '|' ORDER BY rank) AS chunks FROM t_reordered GROUP BY case_key),
+o AS (SELECT case_key, string_agg(document_id, '|' ORDER BY rank) AS documents FROM (SELECT case_key, document_id, min(rank) AS rank FROM t_reordered GROUP BY case_key, document_id) q GROUP BY case_key),
+s AS (SELECT case_key, count(*) AS n, string_agg(sub_no || '=' || m, '|' ORDER BY sub_no) AS subs FROM (SELECT case_key, rank % 2 + 1 AS sub_no, count(*) AS m FROM t_ranked GROUP BY 1, 2) q GROUP BY case_key),
+z AS (SELECT case_key, count(*) AS n FROM t_ranked GROUP BY case_key)
+SELECT c.case_key, coalesce(g.r_before, 0) AS rerank_before_rank, coalesce(g.r_after, 0) AS rerank_after_rank,
+       coalesce(f.fine <= 10, false) AS candidate_hit_at10, coalesce(f.fine <= 30, false) AS candidate_hit_at30, coalesce(f.fine <= 50, false) AS candidate_hit_at50,
+       coalesce(z.n, 0) AS candidate_count, coalesce(o.documents, '') AS final_documents, coalesce(l.chunks, '') AS final_chunks, coalesce(g.ok, false) AS group_coverage,
+       z.n IS NOT NULL AND (c.question_type <> 'CROSS_DOCUMENT' OR coalesce(d.n, 0) >= 2) AS dual_hit, coalesce(g.groups, '') AS groups, s.subs AS sub_queries
+FROM t_gold c LEFT JOIN g USING (case_key) LEFT JOIN f USING (case_key) LEFT JOIN d USING (case_key) LEFT JOIN l USING (case_key)
+LEFT JOIN o USING (case_key) LEFT JOIN s USING (case_key) LEFT JOIN z USING (case_key)"""))
+def _(spark, sf):
+    """Candidates are the nearest vectors, reordered by a relevance that leaves every fifth one unscored."""
+    ranked, evidence = retrieval(spark, sf)
+    c = F.col("chunk_id")
+    relevance = ranked.filter(c % 5 != 0).select(
+        F.col("case_key").alias("query_id"), "chunk_id", (c % 7).cast("double").alias("relevance")
+    )
+    pool = ranked.drop("query_id").withColumnRenamed("case_key", "query_id")
+    chosen = sl.rerank_blend(pool, relevance, w=0.25).select(F.col("query_id").alias("case_key"), "chunk_id", "rank")
+    final = materialize(chosen.join(ranked.select("case_key", "chunk_id", "document_id", "version_no"), ["case_key", "chunk_id"]))
+    parts = ranked.select("case_key", (F.col("rank") % 2 + 1).alias("sub_no"), "chunk_id")
+    rows = ev.case_diagnostics(src.gold(spark, sf), evidence, ranked, final, parts=parts)
+    text = lambda x, names: F.concat_ws("=", *[x[n].cast("string") for n in names])
+    return rows.withColumns(
+        {
+            "groups": F.transform("groups", lambda g: text(g, ["group_key", "rrf_rank", "final_rank", "satisfied"])),
+            "sub_queries": F.transform("sub_queries", lambda q: text(q, ["sub_no", "candidates"])),
+        }
+    )
+
+
 @query("group_coverage", with_tables("""
 SELECT case_key, count(*) FILTER (satisfied) AS satisfied_groups, count(*) AS total_groups, bool_and(satisfied) AS all_satisfied FROM t_groups GROUP BY case_key"""))
 def _(spark, sf):

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyvox.catalog import inputs as src
 from tallyvox.catalog.base import query
-from tallyvox.catalog.inputs import CTES, with_tables
+from tallyvox.catalog.inputs import AS_OF, CTES, with_tables
 from tallyvox.operators import conversations as cv
+from tallyvox.operators import investigation as iv
+from tallyvox.sources.rule_tables import Rule
 
 _INTENT = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in cv.INTENTS
@@ -130,3 +132,83 @@ SELECT ws, agent_type, prompt_version, model_name, count(*) AS samples, quantile
 FROM n WHERE k <= 100 AND status = 'succeeded' GROUP BY ws, agent_type, prompt_version, model_name"""))
 def _(spark, sf):
     return cv.run_latency_baseline(src.runs(spark, sf))
+
+
+# Questions name topics by parts of words, so that the given texts reach every tool.
+_ASKED_TOPICS = [("error", "heit"), ("payment", "tion"), ("click", "eron the"), ("refund", "und")]
+_ASKED_EXPRESSIONS = [Rule("expr_suggestion", "Sugg/建议", 40, ["趋势"]), Rule("expr_complaint", "Bad/ung", 30, ["que"]), Rule("expr_praise", "Good", 20, ["est"])]
+_SHOWN = "CASE {} WHEN 'expr_suggestion' THEN 'Sugg/建议' WHEN 'expr_complaint' THEN 'Bad/ung' WHEN 'expr_praise' THEN 'Good' ELSE '其他' END"
+_ISO = """strftime({0}, '%Y-%m-%dT%H:%M') || CASE WHEN epoch_us({0}) % 60000000 = 0 THEN '' WHEN epoch_us({0}) % 1000000 = 0 THEN strftime({0}, ':%S')
+  WHEN epoch_us({0}) % 1000 = 0 THEN strftime({0}, ':%S.%g') ELSE strftime({0}, ':%S.%f') END || 'Z'"""
+_SPAN = _ISO.format("w.w0") + " || ' 至 ' || " + _ISO.format("w.w1")
+_CAPPED = "CASE WHEN length(e.sanitized_text) <= 200 THEN e.sanitized_text ELSE substring(e.sanitized_text, 1, 200) || '…' END"
+_ALERT = "coalesce(c.canonical_name, '未知主题') || ' 当前值 ' || a.current_count || '、EWMA ' || printf('%.1f', round(a.ewma, 1)) || '、z-score ' || printf('%.1f', round(a.z_score, 1)) || '、状态 ' || a.status"
+_COUNTS = "' 最近7天 ' || cur || ' 条，前7天 ' || prev || ' 条'"
+CTES["t_two_weeks"] = f"""
+SELECT c.ws, c.canonical_key, c.canonical_name, CAST(coalesce(sum(b.feedback_count) FILTER (b.bucket_start >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY), 0) AS BIGINT) AS cur,
+       CAST(coalesce(sum(b.feedback_count) FILTER (b.bucket_start < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY), 0) AS BIGINT) AS prev
+FROM t_catalog c LEFT JOIN t_buckets b ON b.ws = c.ws AND b.canonical_key = c.canonical_key AND b.bucket_start >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND b.bucket_start < TIMESTAMP '{AS_OF}'
+GROUP BY ALL"""
+CTES["t_tool_facts"] = f"""
+SELECT 'ISSUE_TREND' AS tool, ws, canonical_key AS topic, '' AS expression, '来源 issue_metric_bucket；' || canonical_name || {_COUNTS} || '。' AS content FROM t_two_weeks
+UNION ALL SELECT 'TOPIC_DISTRIBUTION', ws, '', '', '来源 issue_metric_bucket；最近7天 Top5：' || string_agg(canonical_name || ' ' || cur || ' 条', '；' ORDER BY cur DESC, canonical_key) || '。'
+  FROM (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY cur DESC, canonical_key) AS n FROM t_two_weeks WHERE cur > 0) q WHERE n <= 5 GROUP BY ws
+UNION ALL SELECT 'EXPRESSION_DISTRIBUTION', ws, '', '', '来源 feedback_projection_annotation；分析窗口 ' || {_SPAN} || '；L2 表达分布：' || x.t || '。' FROM t_window w JOIN (
+  SELECT ws, string_agg({_SHOWN.format('expression')} || ' ' || n || ' 条', '；' ORDER BY pos) AS t FROM (SELECT a.ws, l.pos, l.expression, count(*) AS n FROM t_window_annotations a
+    JOIN (VALUES ('expr_suggestion', 1), ('expr_complaint', 2), ('expr_praise', 3), ('expr_other', 4)) l(expression, pos) USING (expression) GROUP BY ALL) q GROUP BY ws) x USING (ws)
+UNION ALL SELECT 'EXPRESSION_TOPIC_DRILLDOWN', ws, '', expression, '来源 annotation ⋈ issue_link；' || {_SHOWN.format('expression')} || '（' || expression || '）下 Top5 议题；分析窗口 ' || {_SPAN} || '：' || x.t || '。' FROM t_window w JOIN (
+  SELECT ws, expression, string_agg(upper(canonical_key) || ' ' || n || ' 条', '；' ORDER BY n DESC, canonical_key) AS t FROM (
+    SELECT a.ws, a.expression, l.canonical_key, count(*) AS n, row_number() OVER (PARTITION BY a.ws, a.expression ORDER BY count(*) DESC, l.canonical_key) AS r
+    FROM t_window_annotations a JOIN t_links l USING (event_id) GROUP BY a.ws, a.expression, l.canonical_key) q WHERE r <= 5 GROUP BY ws, expression) x USING (ws)
+UNION ALL SELECT 'EXPRESSION_TOPIC_SAMPLES', ws, canonical_key, expression, '来源 feedback_event；' || {_SHOWN.format('expression')} || ' × ' || upper(canonical_key) || ' 样本：' || string_agg(s, '；' ORDER BY event_id) FROM (
+    SELECT a.ws, l.canonical_key, a.expression, a.event_id, {_CAPPED} AS s, row_number() OVER (PARTITION BY a.ws, a.expression, l.canonical_key ORDER BY a.event_id) AS r
+    FROM t_window_annotations a JOIN t_links l USING (event_id) JOIN t_events e USING (event_id)) q WHERE r <= 5 GROUP BY ws, canonical_key, expression
+UNION ALL SELECT 'ALERT_HISTORY', ws, canonical_key, '', '来源 alert；' || string_agg(t, '；' ORDER BY created_at DESC, alert_id DESC) || '。' FROM (
+    SELECT a.ws, a.canonical_key, a.created_at, a.alert_id, {_ALERT} AS t, row_number() OVER (PARTITION BY a.ws, a.canonical_key ORDER BY a.created_at DESC, a.alert_id DESC) AS r
+    FROM t_alerts a JOIN t_catalog c USING (ws, canonical_key)) q WHERE r <= 5 GROUP BY ws, canonical_key
+UNION ALL SELECT 'ALERT_HISTORY', ws, '', '', '来源 alert；' || string_agg(t, '；' ORDER BY created_at DESC, alert_id DESC) || '。' FROM (
+    SELECT a.ws, a.created_at, a.alert_id, {_ALERT} AS t, row_number() OVER (PARTITION BY a.ws ORDER BY a.created_at DESC, a.alert_id DESC) AS r
+    FROM t_alerts a LEFT JOIN t_catalog c USING (ws, canonical_key)) q WHERE r <= 5 GROUP BY ws
+UNION ALL SELECT 'SAMPLE_FEEDBACK', ws, canonical_key, '', '来源 feedback_event；样本：' || string_agg(s, '；' ORDER BY r) FROM (
+    SELECT i.ws, i.canonical_key, {_CAPPED} AS s, row_number() OVER (PARTITION BY i.ws, i.canonical_key ORDER BY i.cell_no, i.pos) AS r
+    FROM (SELECT ws, canonical_key, cell_no, unnest(sample_event_ids) AS event_id, generate_subscripts(sample_event_ids, 1) AS pos FROM t_cell_issues) i JOIN t_events e USING (event_id)) q WHERE r <= 5 GROUP BY ws, canonical_key
+UNION ALL SELECT 'PERIOD_COMPARISON', ws, canonical_key, '', '来源 issue_metric_bucket；' || canonical_name || {_COUNTS} || '，绝对变化 ' || printf('%+d', cur - prev) || ' 条。' FROM t_two_weeks WHERE cur <> 0 OR prev <> 0
+UNION ALL SELECT 'PERIOD_COMPARISON', ws, '', '', '来源 issue_metric_bucket；全工作区主题聚合' || {_COUNTS} || '，绝对变化 ' || printf('%+d', cur - prev) || ' 条。'
+  FROM (SELECT ws, CAST(sum(cur) AS BIGINT) AS cur, CAST(sum(prev) AS BIGINT) AS prev FROM t_two_weeks GROUP BY ws) q WHERE cur <> 0 OR prev <> 0"""
+
+
+@query("question_evidence", with_tables(f"""
+WITH m AS (SELECT question_id, session_id % 4 AS ws, {_INTENT} AS intent, CASE WHEN contains(lower(text), 'eron the') OR contains(lower(text), 'click') THEN 'click' WHEN contains(lower(text), 'heit') OR contains(lower(text), 'error') THEN 'error'
+    WHEN contains(lower(text), 'tion') OR contains(lower(text), 'payment') THEN 'payment' WHEN contains(lower(text), 'und') OR contains(lower(text), 'refund') THEN 'refund' END AS canonical_key,
+    coalesce(CASE WHEN contains(lower(text), 'sugg') OR contains(text, '建议') THEN 'expr_suggestion' WHEN contains(lower(text), 'bad') OR contains(lower(text), 'ung') THEN 'expr_complaint' WHEN contains(lower(text), 'good') THEN 'expr_praise'
+      WHEN contains(text, '其他') THEN 'expr_other' WHEN contains(text, '趋势') THEN 'expr_suggestion' WHEN contains(lower(text), 'que') THEN 'expr_complaint' WHEN contains(lower(text), 'est') THEN 'expr_praise' END, '') AS e FROM t_questions),
+a AS (SELECT m.question_id, m.ws, t.tool_pos, t.tool, m.e, coalesce(c.canonical_key, '') AS k, c.canonical_name AS name FROM m JOIN (VALUES {_TOOLS}) t(intent, tool_pos, tool) USING (intent) LEFT JOIN t_catalog c USING (ws, canonical_key)),
+j AS (SELECT a.*, f.content, f.content IS NOT NULL AS has FROM a LEFT JOIN t_tool_facts f ON f.tool = a.tool AND f.ws = a.ws
+      AND f.topic = CASE WHEN a.tool IN ('ISSUE_TREND', 'ALERT_HISTORY', 'SAMPLE_FEEDBACK', 'PERIOD_COMPARISON', 'EXPRESSION_TOPIC_SAMPLES') THEN a.k ELSE '' END
+      AND f.expression = CASE WHEN a.tool IN ('EXPRESSION_TOPIC_DRILLDOWN', 'EXPRESSION_TOPIC_SAMPLES') THEN a.e ELSE '' END)
+SELECT question_id, tool_pos::BIGINT AS tool_pos, tool, has AS sufficient,
+  CASE tool WHEN 'ISSUE_TREND' THEN CASE WHEN has THEN 'trend:' || k || ':last_14_days' ELSE 'trend:unresolved' END WHEN 'TOPIC_DISTRIBUTION' THEN 'distribution:last_7_days' WHEN 'EXPRESSION_DISTRIBUTION' THEN 'expression:distribution'
+    WHEN 'EXPRESSION_TOPIC_DRILLDOWN' THEN 'expression:topics:' || CASE WHEN e = '' THEN 'unresolved' ELSE e END
+    WHEN 'EXPRESSION_TOPIC_SAMPLES' THEN 'expression:samples:' || CASE WHEN e = '' THEN 'unresolved' WHEN k = '' THEN 'topic_unresolved' ELSE e || ':' || k END
+    WHEN 'ALERT_HISTORY' THEN 'alerts:' || CASE WHEN has AND k <> '' THEN k ELSE 'recent' END WHEN 'SAMPLE_FEEDBACK' THEN 'samples:' || CASE WHEN k = '' THEN 'unresolved' ELSE k END
+    WHEN 'PERIOD_COMPARISON' THEN CASE WHEN has THEN 'comparison:' || CASE WHEN k = '' THEN 'workspace' ELSE k END || ':last_14_days' ELSE 'comparison:last_14_days' END ELSE 'availability:version_event' END AS reference,
+  CASE tool WHEN 'ISSUE_TREND' THEN '主题趋势' WHEN 'TOPIC_DISTRIBUTION' THEN '主题分布' WHEN 'EXPRESSION_DISTRIBUTION' THEN 'L2 表达分布' WHEN 'EXPRESSION_TOPIC_DRILLDOWN' THEN 'L2→L1 交叉分布' WHEN 'EXPRESSION_TOPIC_SAMPLES' THEN 'L2×L1 脱敏样本'
+    WHEN 'ALERT_HISTORY' THEN CASE WHEN has THEN '告警与基线' ELSE '告警历史' END WHEN 'SAMPLE_FEEDBACK' THEN '脱敏样本' WHEN 'PERIOD_COMPARISON' THEN '时间范围比较' ELSE '版本数据可用性' END AS title,
+  coalesce(content, CASE tool WHEN 'ISSUE_TREND' THEN '未识别具体主题，无法查询单主题趋势。' WHEN 'TOPIC_DISTRIBUTION' THEN '最近7天没有可用的主题聚合数据。' WHEN 'EXPRESSION_DISTRIBUTION' THEN '当前分析窗口内没有可用的 L2 表达标注数据。'
+    WHEN 'EXPRESSION_TOPIC_DRILLDOWN' THEN CASE WHEN e = '' THEN '未识别具体 L2 表达类型（如建议/吐槽/好评），无法查询交叉议题分布。' ELSE {_SHOWN.format('e')} || ' 在当前分析窗口内没有可关联的 L1 议题数据。' END
+    WHEN 'EXPRESSION_TOPIC_SAMPLES' THEN CASE WHEN e = '' THEN '未识别具体 L2 表达类型，无法安全抽取交叉样本。' WHEN k = '' THEN '未识别具体 L1 主题，无法安全抽取 L2×L1 交叉样本。' ELSE {_SHOWN.format('e')} || ' × ' || name || ' 没有可用的脱敏反馈样本。' END
+    WHEN 'ALERT_HISTORY' THEN '当前查询范围内没有告警记录。' WHEN 'SAMPLE_FEEDBACK' THEN CASE WHEN k = '' THEN '未识别具体主题，无法安全抽取反馈样本。' ELSE '当前主题没有可用的脱敏反馈样本。' END
+    WHEN 'PERIOD_COMPARISON' THEN coalesce(name, '全工作区主题聚合') || ' 在最近14天没有可比较的指标数据。' ELSE '当前未接入版本或活动事件数据，不能确认版本前后变化，更不能据此判断因果。' END) AS content FROM j"""))
+def _(spark, sf):
+    """Every turn of a conversation as a question to one of four workspaces."""
+    questions = src.questions(spark, sf).withColumn("ws", F.col("session_id") % 4)
+    named = iv.question_topic_match(questions, _ASKED_TOPICS, _ASKED_EXPRESSIONS)
+    asked = questions.select("question_id", "ws").join(named, "question_id")
+    tools = cv.intent_route(questions).select("question_id", "tool_pos", "tool")
+    catalog = src.topic_catalog(spark, sf)
+    facts = iv.evidence_facts(
+        catalog, src.buckets(spark, sf), src.alerts(spark, sf), src.issues_of_cells(spark, sf), src.feedback(spark, sf),
+        src.annotations(spark, sf), src.links(spark, sf).select("event_id", "canonical_key"), src.window(spark, sf),
+        src.as_of(), _ASKED_EXPRESSIONS,
+    )
+    return iv.question_evidence(asked, tools, catalog, facts, _ASKED_EXPRESSIONS)

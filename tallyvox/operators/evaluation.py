@@ -115,6 +115,100 @@ def requirement_groups(evidence: DataFrame, ranked_list: DataFrame, k: int = TOP
     )
 
 
+def case_diagnostics(
+    cases: DataFrame,
+    evidence: DataFrame,
+    candidates: DataFrame,
+    final: DataFrame,
+    gate: DataFrame | None = None,
+    parts: DataFrame | None = None,
+    k: int = TOP,
+) -> DataFrame:
+    """Where retrieval and rerank placed the evidence of every case, as a whole and per requirement group.
+
+    `candidates` and `final` are ranked lists before and after the rerank. Ranks are those of the first
+    exact meeting, 0 where there is none; hits at 10, 30 and 50 count evidence finer than a document.
+    `gate(case_key, outcome, top_score, input_count, injected_count)` is added as it is; a case without
+    one injects nothing. `parts(case_key, sub_no, chunk_id)` gives the candidates per sub-query. Cases
+    without evidence have no groups and cover nothing; two documents are asked of cross-document cases
+    only, and of none without any list.
+    """
+    unmet = evidence.select(
+        "case_key", "granularity", group_key().alias("group_key"), "document_id",
+        F.lit(None).cast("int").alias("rank"), F.lit(False).alias("exact"), F.lit(False).alias("_final"),
+    )
+    before = evidence_match(evidence, candidates).drop("sort_order").withColumn("_final", F.lit(False))
+    after = evidence_match(evidence, final).drop("sort_order").withColumn("_final", F.lit(True))
+    rank, exact, last = F.col("rank"), F.col("exact"), F.col("_final")
+    fine = exact & F.col("granularity").isin("CHUNK", "VERSION")
+    groups = (
+        unmet.unionByName(before)
+        .unionByName(after)
+        .groupBy("case_key", "group_key")
+        .agg(
+            F.min(F.when(exact & ~last, rank)).alias("_before"),
+            F.min(F.when(exact & last, rank)).alias("_after"),
+            F.min(F.when(fine & ~last, rank)).alias("_fine"),
+            F.collect_set(F.when(last & (rank <= k), F.col("document_id"))).alias("_documents"),
+        )
+    )
+    satisfied = F.coalesce(F.col("_after") <= k, F.lit(False))
+    shown = F.struct(
+        "group_key",
+        F.coalesce("_before", F.lit(0)).alias("rrf_rank"),
+        F.coalesce("_after", F.lit(0)).alias("final_rank"),
+        satisfied.alias("satisfied"),
+    )
+    met = groups.groupBy("case_key").agg(
+        F.min("_before").alias("_before"),
+        F.min("_after").alias("_after"),
+        F.min("_fine").alias("_fine"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_documents")))).alias("_documents"),
+        F.bool_and(satisfied).alias("_covered"),
+        F.array_sort(F.collect_list(shown)).alias("groups"),
+    )
+    sizes = candidates.groupBy("case_key").agg(F.count(F.lit(1)).alias("candidate_count"))
+    lists = final.groupBy("case_key").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "document_id", "chunk_id"))).alias("_final")
+    )
+    rows = cases.select("case_key", "question_type")
+    for part in (met, sizes, lists):
+        rows = rows.join(part, "case_key", "left")
+    listed = F.col("candidate_count").isNotNull() | F.col("_final").isNotNull()
+    ids = F.coalesce("_final", F.array().cast(lists.schema["_final"].dataType))
+    none = F.array().cast(met.schema["groups"].dataType)
+    result = rows.select(
+        "case_key",
+        F.coalesce("_before", F.lit(0)).alias("rerank_before_rank"),
+        F.coalesce("_after", F.lit(0)).alias("rerank_after_rank"),
+        *[F.coalesce(F.col("_fine") <= n, F.lit(False)).alias(f"candidate_hit_at{n}") for n in (10, 30, 50)],
+        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"),
+        F.array_distinct(F.transform(ids, lambda x: x["document_id"])).alias("final_documents"),
+        F.transform(ids, lambda x: x["chunk_id"]).alias("final_chunks"),
+        F.coalesce("_covered", F.lit(False)).alias("group_coverage"),
+        (listed & ((F.col("question_type") != "CROSS_DOCUMENT") | (F.coalesce("_documents", F.lit(0)) >= 2))).alias("dual_hit"),
+        F.coalesce("groups", none).alias("groups"),
+    )
+    if parts is not None:
+        counted = parts.groupBy("case_key", "sub_no").agg(F.count("chunk_id").alias("candidates"))
+        per_case = counted.groupBy("case_key").agg(
+            F.array_sort(F.collect_list(F.struct("sub_no", "candidates"))).alias("sub_queries")
+        )
+        result = result.join(per_case, "case_key", "left")
+    if gate is not None:
+        decisions = gate.select(
+            "case_key",
+            F.col("outcome").alias("gate_outcome"),
+            F.col("top_score").alias("gate_top_score"),
+            F.col("input_count").alias("gate_input_count"),
+            F.col("injected_count").alias("gate_injected_count"),
+        )
+        result = result.join(decisions, "case_key", "left").fillna(
+            {"gate_outcome": "INJECT", "gate_top_score": 0.0, "gate_input_count": 0, "gate_injected_count": 0}
+        )
+    return result
+
+
 def group_coverage(groups: DataFrame) -> DataFrame:
     return groups.groupBy("case_key").agg(
         F.count_if(F.col("satisfied")).alias("satisfied_groups"),

@@ -15,6 +15,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyvox.functions.text import bind
+
 BLOCK = 32  # rows of a block, more where there would be over MOST_BLOCKS of them
 MOST_BLOCKS = 65_536
 SAMPLE = 16  # rows sampled per block to place its bounds
@@ -46,20 +48,29 @@ def fingerprint(text: Column) -> Column:
 
 
 def leaves(print_: Column) -> Column:
-    """Leaves of a fingerprint, each with its number among equal ones."""
-    ordered = F.sort_array(F.regexp_extract_all(F.substring(print_, 66, 1 << 30), F.lit("[0-9a-f]{8}"), F.lit(0)))
-    beside = F.arrays_zip(ordered.alias("here"), F.concat(F.array(F.lit("")), ordered).alias("before"))
-    first = F.filter(
-        F.transform(beside, lambda z, at: F.when(z["here"] != z["before"], at)), lambda at: at.isNotNull()
-    )
-    behind = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(ordered)))
-    counts = F.zip_with(first, behind, lambda x, y: y - x)
-    return F.flatten(
-        F.zip_with(
-            F.array_distinct(ordered),
-            F.slice(counts, F.lit(1), F.size(first)),
-            lambda leaf, n: F.transform(F.sequence(F.lit(1), n), lambda k: F.concat_ws("x", leaf, k)),
-        )
+    """Leaves of a fingerprint, repeated ones with their number among equal ones; the list is made and sorted once."""
+
+    def counted(ordered: Column) -> Column:
+        starts = F.zip_with(ordered, F.concat(F.array(F.lit("")), ordered), lambda here, before: here != before)
+        first = F.filter(F.transform(starts, lambda new, at: F.when(new, at)), lambda at: at.isNotNull())
+
+        def named(first: Column) -> Column:
+            ends = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(ordered)))
+            counts = F.slice(F.zip_with(first, ends, lambda x, y: y - x), F.lit(1), F.size(first))
+            return F.flatten(
+                F.zip_with(
+                    F.array_distinct(ordered),
+                    counts,
+                    lambda leaf, n: F.when(n == 1, F.array(leaf)).otherwise(
+                        F.transform(F.sequence(F.lit(1), n), lambda k: F.when(k == 1, leaf).otherwise(F.concat_ws("x", leaf, k)))
+                    ),
+                )
+            )
+
+        return F.when(F.size(F.array_distinct(ordered)) == F.size(ordered), ordered).otherwise(bind(first, named))
+
+    return bind(
+        F.sort_array(F.regexp_extract_all(F.substring(print_, 66, 1 << 30), F.lit("[0-9a-f]{8}"), F.lit(0))), counted
     )
 
 
@@ -67,9 +78,15 @@ def likeness(a: Column, b: Column, leaves_a: Column | None = None, leaves_b: Col
     """Share of common leaves among all of two fingerprints, repeated ones counted; 1 exactly if the roots are equal
     or all agree, 0 without leaves."""
     x, y = (leaves(a) if leaves_a is None else leaves_a), (leaves(b) if leaves_b is None else leaves_b)
-    both = F.size(F.array_intersect(x, y))
+
+    def share(x: Column, y: Column) -> Column:
+        return bind(
+            F.size(F.array_intersect(x, y)),
+            lambda both: both.cast("double") / F.greatest(F.size(x) + F.size(y) - both, F.lit(1)),
+        )
+
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.lit(1.0)).otherwise(
-        both.cast("double") / F.greatest(F.size(x) + F.size(y) - both, F.lit(1))
+        bind(x, lambda x: bind(y, lambda y: share(x, y)))
     )
 
 
@@ -125,7 +142,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
         seen = sorted(tuple(r) for r in rows.sample(part, seed=1).select("at.*").toLocalIterator())
         bounds = sorted({seen[k * len(seen) // blocks] for k in range(1, blocks)}) if seen else []
     keyed = rows.withColumn("block", _block(F.col("at"), bounds))
-    placed = keyed.repartition("block").withColumn("print", fingerprint(F.col("text")))
+    placed = keyed.repartition("block")
 
     # at most MOST_BLOCKS numbers
     ring = Window.orderBy("block")
@@ -135,14 +152,11 @@ def _with_next(docs: DataFrame) -> DataFrame:
     )
 
     inside = Window.partitionBy("block").orderBy("at")
-    row = F.struct("text", "print")
-    walked = placed.select("block", "key", "text", "print", F.lead(row).over(inside).alias("follow"))
-    heads = (
-        placed.select("block", "text", "print", F.row_number().over(inside).alias("n"))
-        .where("n = 1")
-        .join(owners, "block")
-        .select(F.col("owner").alias("block"), row.alias("head"))
-    )
+    row = F.struct("key", "text", "print")  # with the key, so that both branches read the same exchange
+    printed = placed.withColumn("print", fingerprint(F.col("text")))
+    walked = printed.select("block", "key", "text", "print", F.lead(row).over(inside).alias("follow"))
+    first = placed.withColumn("n", F.row_number().over(inside)).where("n = 1").join(owners, "block")
+    heads = first.withColumn("print", fingerprint(F.col("text"))).select(F.col("owner").alias("block"), row.alias("head"))
     found = walked.join(heads, "block", "left").withColumn("follow", F.coalesce("follow", "head"))
     return found.select("key", "text", "print", F.col("follow.text").alias("next"), F.col("follow.print").alias("next_print"))
 

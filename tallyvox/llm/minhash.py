@@ -10,7 +10,8 @@ counted. Candidates that agree often enough are confirmed on the full sets.
 
 Texts of one set are one entry. Members of a list are not paired with each other at first: they are
 compared with the list's leaders, and what the confirmed links connect is never compared again. The
-pairs between components that remain are then compared in full, so nothing is lost to a cap.
+pairs between components that remain are then compared in full, block by block inside tasks, so
+nothing is lost to a cap and only similar pairs become rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvox.llm import spans, tokens
@@ -31,6 +32,8 @@ from tallyvox.session import materialize, release
 SHINGLE = 5
 COORDINATES = 64
 SKETCH_BITS = 20
+BLOCK_ROWS = 1024  # members of a list that one task compares with as many others
+BLOCK_SHINGLES = 1 << 19
 LEADERS = 3  # members every other one of a list is compared with first
 _SEEDS = np.random.Generator(np.random.PCG64(64)).integers(0, 1 << 64, (3, 256), dtype=np.uint64)
 _SHIFT, _FACTOR, _PLACE = _SEEDS[0], _SEEDS[1] | np.uint64(1), _SEEDS[2] | np.uint64(1)
@@ -279,7 +282,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, key: str = "doc_id", text:
         sets = materialize(_sets(texts, left.select("id").distinct()))
         bounded = _bounded(left, sets, share)
         links, left = _lead(bounded.withColumn("central", F.col("common") / F.col("size")), links, active, texts, share, matches, sets)
-        links = links.unionByName(_confirmed(_across(left, share), active, texts, share, matches, sets))
+        links = links.unionByName(_across(left, sets, share))
 
     named = components(links.unionByName(_same_set_links(usable)))
     return (
@@ -314,24 +317,74 @@ def _bounded(posts: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return materialize(bounded.join(short, "list").where(f"100 * common >= {share} * (size + least - common)").drop("least"))
 
 
-def _across(posts: DataFrame, share: int) -> DataFrame:
-    """All pairs of a list's members that lie in different components, each once.
+def _across(posts: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Similar pairs of a list's members that lie in different components, found on the full sets.
 
-    Members of the list's largest component are never paired with each other: one side holds
-    only the members outside it. A pair that shares several lists is made by the first of them;
-    an entry is in `coordinates - matches + 1` lists at most.
+    A list is dealt into blocks of bounded rows and bytes, and one task compares two blocks with each
+    other, so pairs that are not similar never become rows. Members of the list's largest component
+    have blocks of their own, which only meet those of the members outside it.
     """
-    weight = posts.groupBy("list", "component").agg(F.count("*").alias("n"))
-    main = weight.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    of_entry = posts.groupBy("id").agg(F.collect_list("list").alias("lists"))
-    placed = posts.join(main, "list").join(of_entry, "id")
-    left = placed.where("component <> main").select("list", F.col("id").alias("a"), F.col("component").alias("ca"), "size", "common", F.col("lists").alias("la"))
-    right = placed.select("list", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("size").alias("other"), F.col("common").alias("shared"), F.col("lists").alias("lb"), "main")
-    first = "array_min(array_intersect(la, lb)) = list"
-    most = "least(common, shared)"
-    close = f"{_close_sizes(share)} and 100 * {most} >= {share} * (size + other - {most})"
-    met = left.join(right, "list").where(f"ca <> cb and (cb = main or a < b) and {close} and {first}")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    weight = posts.groupBy("list", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    by = F.struct("n", "component")
+    lists = weight.groupBy("list").agg(
+        F.max_by("component", by).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"),
+        F.max_by("n", by).alias("main_n"), F.max_by("s", by).alias("main_s"),
+    )
+
+    def blocks(n: str, s: str) -> Column:
+        return F.expr(f"cast(greatest(1, ceil(({n}) / {BLOCK_ROWS}), ceil(({s}) / {BLOCK_SHINGLES})) as int)")
+
+    lists = lists.select("list", "main", blocks("n - main_n", "s - main_s").alias("few"), blocks("main_n", "main_s").alias("many"))
+    dealt = F.xxhash64("id", F.lit(7))
+    outside = F.col("component") != F.col("main")
+    placed = posts.select("list", "id", "component").join(lists, "list").select(
+        "list", "id", "component",
+        F.when(outside, F.pmod(dealt, "few")).otherwise(F.col("few") + F.pmod(dealt, "many")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)).alias("other"),
+    )
+    met = placed.select(
+        "list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component"
+    ).join(sets, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        block = table.column("block").to_numpy()
+        ids, group = table.column("id").to_numpy(), table.column("component").to_numpy()
+        found = [np.frombuffer(m.as_buffer(), "<u8") for m in table.column("members")]
+        x, y = np.flatnonzero(block == table.column("i")[0].as_py()), np.flatnonzero(block == table.column("j")[0].as_py())
+        size = np.array([len(m) for m in found])
+        both = _common([found[k] for k in x], [found[k] for k in y])
+        alike = 100 * both >= share * (size[x][:, None] + size[y][None, :] - both)
+        r, c = np.nonzero(alike & (group[x][:, None] != group[y][None, :]))
+        u, v = ids[x[r]], ids[y[c]]
+        return pa.table({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+    return materialize(met.groupBy("list", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+
+
+def _common(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of `one` with every set of `other`."""
+    both = np.zeros((len(one), len(other)))
+    if not one or not other:
+        return both
+    words = np.intersect1d(np.concatenate(one), np.concatenate(other))
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(words, flat)
+        known = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == flat) if len(words) else np.zeros(0, np.int64)
+        order = known[np.argsort(at[known], kind="stable")]
+        return rows[order], at[order]
+
+    (xr, xw), (yr, yw) = entries(one), entries(other)
+    for a in range(0, len(words), 4096):
+        part = []
+        for rows, at, n in ((xr, xw, len(one)), (yr, yw, len(other))):
+            low, high = np.searchsorted(at, [a, a + 4096])
+            flags = np.zeros((n, 4096), np.float32)
+            flags[rows[low:high], at[low:high] - a] = 1
+            part.append(flags)
+        both += part[0] @ part[1].T
+    return both
 
 
 def _same_set_links(usable: DataFrame) -> DataFrame:

@@ -76,6 +76,29 @@ def test_every_link_between_copies(spark, monkeypatch, leaders, share):
     compare(copies(spark), share)
 
 
+def test_unlike_copies_are_compared_inside_tasks(spark, monkeypatch):
+    """Copies with changes others share, few of them similar: pairs across components never become rows."""
+    rng, base, n = np.random.default_rng(8), prose(78, 240).split(" "), 60
+    texts = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.choice(range(0, 240, 6), 12, replace=False):
+            words[at] = "other"
+        texts.append((k, " ".join(words)))
+    offered, confirmed = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, *more: offered.append(pairs.count()) or confirmed(pairs, *more))
+    compare(spark.createDataFrame(texts, "doc_id long, text string"), 80)
+    assert len(offered) == 2  # members with leaders, twice
+
+
+def test_common_counts_are_set_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in (0, 1, 40, 3000, 6000, 6000)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets[1:]]
+    assert minhash._common(sets[1:], sets).tolist() == want and minhash._common([], sets).shape == (0, 6)
+
+
 def test_few_rounds_never_join_too_much(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(1, 40)], "a long, b long")
     few = {r.node: r.component for r in components(chain, rounds=1).collect()}

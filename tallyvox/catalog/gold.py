@@ -180,9 +180,10 @@ def _(spark, sf):
     return ev.answer_case_scores(src.gold(spark, sf), src.assertions(spark, sf), src.answers(spark, sf))
 
 
-def retrieval(spark, sf):
+def retrieval(spark, sf, found=None):
     """The ranked lists, written once because evidence, hits and answers all read them."""
-    ranked = materialize(src.ranked_ids(spark, sf))
+    ranked = src.ranked_ids(spark, sf, found=found)
+    ranked = materialize(ranked) if found is None else ranked
     return ranked, src.evidence(spark, sf, ranked)
 
 
@@ -235,9 +236,10 @@ SELECT {', '.join(f"{_share(f'{c} <= {k}')} AS candidate_{n}_recall_at{k}" for n
   (SELECT count(*) FROM t_sources WHERE source_kind = 'lexical') AS lexical_candidates, (SELECT count(*) FROM t_sources WHERE source_kind = 'vector') AS vector_candidates,
   (SELECT count(*) FROM t_sources WHERE source_kind = 'both') AS both_candidates FROM t_case_scores"""))
 def _(spark, sf):
-    half, full = src.near(spark, sf, 40, 32), src.near(spark, sf, 40)
+    found = materialize(src.near(spark, sf))  # its first 40 places are the full arm
+    half, full = src.near(spark, sf, 40, 32), found.filter("rank <= 40")
     kinds = rt.provenance_sets(half, full).withColumnRenamed("query_id", "case_key")
-    ranked, evidence = retrieval(spark, sf)
+    ranked, evidence = retrieval(spark, sf, found)
     return ev.retrieval_funnel(src.gold(spark, sf), evidence, ranked, kinds)
 
 

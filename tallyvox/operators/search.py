@@ -7,7 +7,8 @@ small question table is one block.
 
 Vectors are pruned exactly: a task cuts its chunks into cells around pivots. No vector of a cell is
 nearer to a question than its pivot's angle less the cell's radius allows, so a cell that cannot
-reach a question's k-th score so far is skipped.
+reach a question's k-th score so far is skipped. The rest are multiplied in single precision first;
+only pairs that may reach the k-th score, by the bound of its rounding, are scored in double precision.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from tallyvox.session import checkpoint_dir, materialize
 
 # Scores are rounded so that ranks do not depend on how rows were cut into batches.
 SCORE_DIGITS = 9
-QUESTION_BLOCK = 4_096
+QUESTION_BLOCK = 16_384
 QUESTION_BYTES = 64 << 20
 CHUNK_BLOCK = 2_048
 PAIRS_AT_ONCE = 1 << 22
 SLACK = 1e-7  # what rounding may take from a bound
+HITS_AT_ONCE = 1 << 17
+UNPRUNED = 7  # blocks of chunks taken whole after one where cells left little to skip
 
 # Weights and thresholds of the lexical arm.
 TITLE_WEIGHT = 3.0
@@ -59,8 +62,8 @@ class Best:
     def __init__(self, questions: int, k: int):
         self.k, self.floor = k, np.full(questions, -np.inf)
         self.parts: list[tuple] = []
-        self.pending, self.limit = 0, max(4 * questions * k, 1 << 16)
-        self.pairs = self.computed = 0
+        self.pending, self.limit = 0, max(2 * questions * k, 1 << 16)
+        self.pairs = self.computed = self.whole = 0
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Scores of the questions `rows` with the chunks `ids`; minus infinity is no hit."""
@@ -69,9 +72,13 @@ class Best:
         if scores.shape[1] > self.k:
             floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
         r, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        if len(r):
-            self.parts.append((rows[r], ids[c], scores[r, c]))
-            self.pending += len(r)
+        self.take(rows[r], ids[c], scores[r, c])
+
+    def take(self, rows: np.ndarray, ids: np.ndarray, found: np.ndarray) -> None:
+        """Pairs that may be among the best."""
+        if len(rows):
+            self.parts.append((rows, ids, found))
+            self.pending += len(rows)
         if self.pending > self.limit:
             self.cut()
 
@@ -110,8 +117,17 @@ class CosineKernel:
     def _offer(self, best: Best, prepared: tuple, rows: np.ndarray, ids: np.ndarray, unit: np.ndarray, but: tuple | None = None) -> None:
         asked, questions = prepared
         step = max(1, PAIRS_AT_ONCE // max(1, len(unit)))
+        small = unit.astype(np.float32)
+        error = (unit.shape[1] + 4) * 2.0**-23 + 10.0**-SCORE_DIGITS
         for a in range(0, len(rows), step):
             some = rows[a : a + step]
+            edge = best.floor[some]
+            if np.isfinite(edge).all():
+                near = questions[some].astype(np.float32) @ small.T >= (edge - error).astype(np.float32)[:, None]
+                if np.count_nonzero(near) * 4 <= near.size:
+                    best.computed += near.size
+                    self._settle(best, prepared, some, ids, unit, np.flatnonzero(near), but)
+                    continue
             scores = np.round(questions[some] @ unit.T, SCORE_DIGITS)
             if self.exclude_same_id:
                 scores[asked[some][:, None] == ids[None, :]] = -np.inf
@@ -120,6 +136,22 @@ class CosineKernel:
                 scores[own[some][:, None] == cell[None, :]] = -np.inf
             best.offer(some, ids, scores)
 
+    def _settle(self, best: Best, prepared: tuple, some: np.ndarray, ids: np.ndarray, unit: np.ndarray, hits: np.ndarray, but: tuple | None) -> None:
+        """Exact scores of the pairs `hits` (places in the table of `some` by `ids`)."""
+        asked, questions = prepared
+        for a in range(0, len(hits), HITS_AT_ONCE):
+            r, c = np.divmod(hits[a : a + HITS_AT_ONCE], len(ids))
+            r = some[r]
+            keep = np.ones(len(r), bool)
+            if self.exclude_same_id:
+                keep &= asked[r] != ids[c]
+            if but is not None:
+                keep &= but[0][r] != but[1][c]
+            r, c = r[keep], c[keep]
+            scores = np.round(np.einsum("ij,ij->i", questions[r], unit[c]), SCORE_DIGITS)
+            keep = scores >= best.floor[r]
+            best.take(r[keep], ids[c[keep]], scores[keep])
+
     def scan(self, prepared: tuple, ids: np.ndarray, chunks: pa.RecordBatch, best: Best) -> None:
         """Offers every chunk that may be among the k best of a question."""
         unit, questions = self._unit(chunks.column("embedding")), prepared[1]
@@ -127,8 +159,13 @@ class CosineKernel:
         best.pairs += len(everyone) * len(unit)
         cells = int(np.sqrt(len(unit)))
         there = (np.abs(unit).sum(axis=1) > 0) if len(unit) else np.zeros(0, bool)
-        if cells < 8 or not there.all() or not len(everyone):
-            return self._offer(best, prepared, everyone, ids, unit)
+        begun = bool(np.isfinite(best.floor).all())
+        if cells < 8 or not there.all() or not len(everyone) or (begun and best.whole):
+            best.whole = max(0, best.whole - 1)
+            self._offer(best, prepared, everyone, ids, unit)
+            if not begun:
+                best.cut()
+            return None
         pivots = unit[:: len(unit) // cells][:cells]
         near = unit @ pivots.T
         cell = near.argmax(axis=1)
@@ -138,22 +175,26 @@ class CosineKernel:
         least = np.full(cells, 1.0)
         np.minimum.at(least, cell, near[order, cell])
         to_pivot = np.clip(questions @ pivots.T, -1, 1)
-        own = to_pivot.argmax(axis=1)
-        for c in range(cells):
-            rows = np.flatnonzero(own == c)
-            if len(rows):
-                self._offer(best, prepared, rows, ids[edges[c] : edges[c + 1]], unit[edges[c] : edges[c + 1]])
-        best.cut()
+        own = to_pivot.argmax(axis=1) if not begun else np.full(len(questions), -1)
+        if not begun:
+            for c in range(cells):
+                rows = np.flatnonzero(own == c)
+                if len(rows):
+                    self._offer(best, prepared, rows, ids[edges[c] : edges[c + 1]], unit[edges[c] : edges[c + 1]])
+            best.cut()
         bound = np.cos(np.maximum(np.arccos(to_pivot) - np.arccos(np.clip(least, -1, 1)), 0)) + SLACK
         bound[np.abs(questions).sum(axis=1) == 0] = 1.0  # nothing has an angle to these; all scores are 0
         wanted = (bound >= best.floor[:, None]) & (own[:, None] != np.arange(cells))
         if (wanted @ np.diff(edges)).sum() * 2 > len(everyone) * len(unit):
-            self._offer(best, prepared, everyone, ids, unit, (own, cell))  # little to skip: one product
-            return None
-        for c in range(cells):
-            rows = np.flatnonzero(wanted[:, c])
-            if len(rows):
-                self._offer(best, prepared, rows, ids[edges[c] : edges[c + 1]], unit[edges[c] : edges[c + 1]])
+            best.whole = UNPRUNED
+            self._offer(best, prepared, everyone, ids, unit, None if begun else (own, cell))  # little to skip: one product
+        else:
+            for c in range(cells):
+                rows = np.flatnonzero(wanted[:, c])
+                if len(rows):
+                    self._offer(best, prepared, rows, ids[edges[c] : edges[c + 1]], unit[edges[c] : edges[c + 1]])
+        if not begun:
+            best.cut()
 
 
 class _Sets:
@@ -266,8 +307,8 @@ def top_k(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.greatest(F.size(c), F.lit(0))).alias(c) for c in kernel.columns)
     ).first()
     blocks = max(1, -(-size["n"] // question_block), -(-8 * sum(size[c] or 0 for c in kernel.columns) // QUESTION_BYTES))
-    if blocks > 1:
-        questions = materialize(questions)
+    if blocks > 1:  # every block reads both
+        questions, chunks = materialize(questions), materialize(chunks)
     arrow = [to_arrow_type(t) for t in types.values()]
 
     def partial(block: int) -> tuple[DataFrame, object]:

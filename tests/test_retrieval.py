@@ -164,6 +164,30 @@ def test_clustered_vectors_are_pruned_exactly():
     assert best.pairs == 300 * 12_000 and best.computed < 0.2 * best.pairs
 
 
+def test_few_pairs_of_spread_vectors_are_scored_in_double_precision(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(9_000, 48))
+    vectors[5000:5200] = vectors[:200]  # ties at every place
+    kernel, exact = se.CosineKernel(exclude_same_id=True), []
+    monkeypatch.setattr(se.np, "round", lambda x, d, whole=np.round: exact.append(np.size(x)) or whole(x, d))
+    lists = lambda m: pa.array(list(m.tolist()), pa.list_(pa.float64()))
+    prepared = kernel.prepare(pa.table({"query_id": pa.array(range(400)), "embedding": lists(vectors[:400])}))
+    best = se.Best(400, 10)
+    for a in range(0, len(vectors), 1000):
+        ids, some = np.arange(a, a + 1000), lists(vectors[a : a + 1000])
+        kernel.scan(prepared, ids, pa.RecordBatch.from_arrays([pa.array(ids), some], names=["chunk_id", "embedding"]), best)
+    rows, ids, scores = best.cut()
+    monkeypatch.undo()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    full = np.round(unit[:400] @ unit.T, se.SCORE_DIGITS)
+    full[np.arange(400), np.arange(400)] = -np.inf
+    want = np.argsort(-full, axis=1, kind="stable")[:, :10]
+    assert (ids.reshape(400, 10) == want).all() and (scores.reshape(400, 10) == np.take_along_axis(full, want, 1)).all()
+    assert sum(exact) < 0.3 * best.pairs
+
+
 def test_odd_vectors_and_many_blocks(spark):
     rng = np.random.default_rng(1)
     rows = [(k, [float(x) for x in rng.integers(-2, 3, 3)]) for k in range(300)] + [(900, [0.0] * 3), (901, None)]

@@ -5,9 +5,13 @@ accept always counts. Wider generators propose further, overlapping spans: disgu
 other separators, numbers with 00 or without a country. Gradient-boosted trees learn from the base spans of the
 corpus, the strings of the same shape that fail the checks, and rewritten copies of both: a base
 span in another notation stays personal data, one with changed digits does not. Per kind, the
-smallest probability at which held-out candidates are right often enough selects what is redacted. Each kind
-and label has its own bound, counts by its share of the corpus, and stands beside a few made-up spans,
-so a kind that is rare, in a small corpus or beside many others, is selected by the same rule.
+smallest probability at which held-out candidates are right often enough selects what is redacted.
+
+All distinct candidates of the corpus take part: their features are binned, equal ones are counted
+together, and a level of a tree is one sum over all of them, so the driver only sees sums of fixed
+size (or, where they are few, all of them). In the trees each kind and label weighs a bounded amount, thresholds count every held-out
+candidate once, and a few made-up spans stand beside them, so a kind that is rare, in a small corpus or
+beside many others, is selected by the same rule.
 """
 
 from __future__ import annotations
@@ -19,16 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyvox.llm import spans as buffers
 from tallyvox.llm import tokens
+from tallyvox.llm.sketch import LANES, array_rows, summed
+from tallyvox.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000  # candidates the trees may be fitted on, an eighth per kind and label, the first by a hash of span and context
+SAMPLE = 20_000  # weight of all candidates in the trees, an eighth per kind and label at most
+LARGEST = 1000  # values of features above it are told apart by nothing
+SCALE = 2048  # twice the values of a feature fall below it
+FEW = 1 << 16  # distinct binned examples that the driver sums itself
+STEPS = 4096  # of a probability, when thresholds are found
 PRIOR = 60  # made-up spans per kind that are always learned from, whatever the corpus has
-CHOOSERS = 16
 PRECISION = 0.99
 CONTEXT = 24
 
@@ -216,64 +226,65 @@ def rewritten(kind: int, span: str, salt: int) -> list[tuple[str, int]]:
 
 
 class Trees:
-    """Gradient-boosted trees of depth 3 for log loss, on 32 quantile bins per feature."""
+    """Gradient-boosted trees of depth 3 for log loss, on at most 32 bins per feature."""
 
     DEPTH, ROUNDS, RATE, BINS = 3, 40, 0.2, 32
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.BINS + 1)[1:-1])) for c in rows.T]
-        self.start = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
-        binned, value = self._binned(rows), np.full(len(rows), self.start)
-        self.trees = []
-        for _ in range(self.ROUNDS):
-            p = 1 / (1 + np.exp(-value))
-            tree = self._tree(binned, labels - p, p * (1 - p))
-            self.trees.append(tree)
-            value += self._walk(tree, binned)
-
-    def _binned(self, rows: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, rows.T, strict=True)], axis=1)
-
-    def _tree(self, binned: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> list[tuple[int, int, float]]:
-        """Nodes in heap order: (feature, bin, 0) or (-1, 0, value)."""
-        nodes: list[tuple[int, int, float]] = [(-1, 0, 0.0)] * (2 ** (self.DEPTH + 1) - 1)
-        todo = [(0, np.arange(len(binned)))]
-        while todo:
-            k, at = todo.pop()
-            g, h = slope[at].sum(), curve[at].sum()
-            nodes[k] = (-1, 0, self.RATE * g / (h + 1))
-            if 2 * k + 2 >= len(nodes) or len(at) < 20:
-                continue
-            best = (1e-3, -1, 0)
+    def __init__(self, edges: list[np.ndarray], start: float):
+        """A tree is (feature or -1, last bin of the lower side, value) of its nodes in heap order."""
+        self.edges, self.start = edges, start
+        self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def binned(self, rows: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, rows.T, strict=True)], axis=1).astype(np.uint8)
+
+    def _leaf(self, tree: tuple, binned: np.ndarray) -> np.ndarray:
+        feature, cut, _ = tree
+        node, row = np.zeros(len(binned), np.int64), np.arange(len(binned))
+        for _ in range(self.DEPTH):
+            f = feature[node]
+            node = np.where(f >= 0, 2 * node + 2 - (binned[row, np.maximum(f, 0)] <= cut[node]), node)
+        return node
+
+    def value(self, binned: np.ndarray) -> np.ndarray:
+        return self.start + sum((t[2][self._leaf(t, binned)] for t in self.trees), np.zeros(len(binned)))
+
+    def sums(self, tree: tuple, level: int, binned: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Slope, curvature and weight by node of the level, feature and bin."""
+        p = 1 / (1 + np.exp(-self.value(binned)))
+        at = self._leaf(tree, binned) - (2**level - 1)
+        here = np.flatnonzero(at >= 0)
+        out = np.empty((3, 2**level, binned.shape[1], self.BINS))
+        for k, w in enumerate(((label - p) * weight, p * (1 - p) * weight, weight)):
             for f in range(binned.shape[1]):
-                gs = np.cumsum(np.bincount(binned[at, f], slope[at], self.BINS))[:-1]
-                hs = np.cumsum(np.bincount(binned[at, f], curve[at], self.BINS))[:-1]
-                gain = gs**2 / (hs + 1) + (g - gs) ** 2 / (h - hs + 1) - g**2 / (h + 1)
-                b = int(np.argmax(gain))
-                if gain[b] > best[0]:
-                    best = (float(gain[b]), f, b)
-            if best[1] >= 0:
-                nodes[k] = (best[1], best[2], 0.0)
-                low = binned[at, best[1]] <= best[2]
-                todo += [(2 * k + 1, at[low]), (2 * k + 2, at[~low])]
-        return nodes
-
-    def _walk(self, nodes: list[tuple[int, int, float]], binned: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(binned))
-        todo = [(0, np.arange(len(binned)))]
-        while todo:
-            k, at = todo.pop()
-            f, b, v = nodes[k]
-            if f < 0:
-                out[at] = v
-            else:
-                low = binned[at, f] <= b
-                todo += [(2 * k + 1, at[low]), (2 * k + 2, at[~low])]
+                out[k, :, f] = np.bincount(at[here] * self.BINS + binned[here, f], w[here], 2**level * self.BINS).reshape(-1, self.BINS)
         return out
 
+    def grow(self, total) -> None:
+        """All trees; `total(tree, level)` is the sum of `sums` over all examples."""
+        nodes = 2 ** (self.DEPTH + 1) - 1
+        for _ in range(self.ROUNDS):
+            tree = feature, cut, value = np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes)
+            for level in range(self.DEPTH):
+                found = total(tree, level)
+                for k in range(2**level):
+                    node, (gs, hs, ns) = 2**level - 1 + k, found[:, k]
+                    g, h, n = gs[0].sum(), hs[0].sum(), ns[0].sum()
+                    if level == 0:
+                        value[0] = self.RATE * g / (h + 1)
+                    if n < 20:
+                        continue
+                    gl, hl = np.cumsum(gs, axis=1)[:, :-1], np.cumsum(hs, axis=1)[:, :-1]
+                    gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                    f, b = np.unravel_index(int(np.argmax(gain)), gain.shape)
+                    if gain[f, b] > 1e-3:
+                        feature[node], cut[node] = f, b
+                        value[2 * node + 1] = self.RATE * gl[f, b] / (hl[f, b] + 1)
+                        value[2 * node + 2] = self.RATE * (g - gl[f, b]) / (h - hl[f, b] + 1)
+            self.trees.append(tree)
+
     def __call__(self, rows: np.ndarray) -> np.ndarray:
-        binned = self._binned(rows)
-        return 1 / (1 + np.exp(-(self.start + sum(self._walk(t, binned) for t in self.trees))))
+        return 1 / (1 + np.exp(-self.value(self.binned(rows))))
 
 
 def prior_spans() -> list[tuple[int, int, str, str, str]]:
@@ -303,34 +314,44 @@ def prior_spans() -> list[tuple[int, int, str, str, str]]:
     return out
 
 
-def _examples(label: int, kind: int, span: str, before: str, after: str, weight: float) -> list[tuple[int, int, list[float], float]]:
-    """(label, fold, features, weight) of a candidate and, if it is personal data, of its rewritten copies."""
+def _examples(label: int, kind: int, span: str, before: str, after: str) -> list[tuple[int, int, list[float]]]:
+    """(label, fold, features) of a candidate and, if it is personal data, of its rewritten copies."""
     salt = int.from_bytes(hashlib.blake2b(f"{span}|{before}".encode(), digest_size=4).digest(), "little")
     forms = [(span, label)] + (rewritten(kind, span, salt) if label else [])
-    return [(y, salt % 5, features(kind, s, before, after), weight) for s, y in forms]
+    return [(y, salt % 5, np.minimum(features(kind, s, before, after), LARGEST)) for s, y in forms]
+
+
+def _prior_examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, label, fold) of the made-up spans."""
+    found = [e for r in prior_spans() for e in _examples(*r)]
+    return np.array([e[2] for e in found], float), np.array([e[0] for e in found], float), np.array([e[1] for e in found])
+
+
+def _edges(counts: np.ndarray, bins: int) -> list[np.ndarray]:
+    """Bounds between bins of each feature: its values if they are few, else equally heavy parts of them; counts: features x SCALE."""
+    out = []
+    for own in counts:
+        values = np.flatnonzero(own)
+        if len(values) > bins:
+            heavy = np.cumsum(own[values])
+            values = np.unique(values[np.searchsorted(heavy, heavy[-1] * np.linspace(0, 1, bins + 1)[1:-1])])
+        else:
+            values = values[1:]
+        out.append(values / 2)
+    return out
 
 
 class Selector:
-    """Trees and a threshold per kind, from a corpus's examples and the made-up ones."""
+    """Trees, and a threshold per kind from the counts of held-out examples by kind, label and probability."""
 
-    def __init__(self, examples: list[tuple[int, int, list[float], float]]):
-        """examples: (label, fold 0-4, features, how many candidates of the corpus it stands for)."""
-        examples = examples + [e for r in prior_spans() for e in _examples(*r, 1.0)]
+    def __init__(self, trees: Trees, held: np.ndarray):
+        self.trees, self.held = trees, held
         self.thresholds = np.full(len(KINDS), np.inf)
-        label = np.array([e[0] for e in examples], float)
-        fold = np.array([e[1] for e in examples])
-        rows = np.array([e[2] for e in examples], float)
-        weight = np.array([e[3] for e in examples])
-        self.trees = Trees(rows[fold > 0], label[fold > 0])
-        p, held, right, weight = self.trees(rows[fold == 0]), rows[fold == 0], label[fold == 0], weight[fold == 0]
-        for k in range(len(KINDS)):
-            own = held[:, k] == 1
-            order = np.argsort(-p[own], kind="stable")
-            counts = weight[own][order]
-            hit = np.cumsum(right[own][order] * counts) / np.cumsum(counts)
-            enough = np.flatnonzero(hit >= PRECISION)
+        for k, (wrong, right) in enumerate(held):
+            hit, seen = np.cumsum(right[::-1]), np.cumsum((wrong + right)[::-1])
+            enough = np.flatnonzero((hit >= PRECISION * seen) & ((wrong + right)[::-1] > 0))
             if len(enough):
-                self.thresholds[k] = max(0.5, p[own][order][enough[-1]])
+                self.thresholds[k] = max(0.5, (STEPS - 1 - enough[-1]) / STEPS)
 
     def __call__(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not spans:
@@ -355,8 +376,20 @@ def _example_rows(text: str) -> Iterator[tuple[int, int, str, str, str]]:
                 yield label, k, text[s:e], text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]
 
 
+def _held(trees: Trees, rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Examples by kind, label and step of their probability."""
+    step = np.minimum((trees(rows) * STEPS).astype(np.int64), STEPS - 1)
+    kind = rows[:, : len(KINDS)].argmax(axis=1)
+    return np.bincount((kind * 2 + label.astype(np.int64)) * STEPS + step, weight, len(KINDS) * 2 * STEPS)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Selector:
-    """Trees for the corpus `docs` (column text); the driver gets `sample` candidates at most, an eighth of them per kind and label."""
+    """Trees and thresholds from all candidates of the corpus `docs` (column text).
+
+    `sample` bounds the weight, not the number, of the candidates: those of a kind and label weigh an
+    eighth of it at most. Runs jobs: one for the candidates, one for the bins, one per level of a tree
+    and one for the thresholds.
+    """
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,21 +400,104 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Selector:
                 names=["label", "kind", "span", "before", "after"],
             )
 
-    shape = "label int, kind int, span string, before string, after string"
-    most = max(1, sample // (2 * len(KINDS)))
-    # few tasks choose, and each passes on its first `most` rows of a kind and label
-    rows = docs.select("text").mapInArrow(examples, shape).distinct().coalesce(CHOOSERS)
-    rows = rows.withColumn("hash", F.xxhash64("span", "before", "after"))
-    first = Window.partitionBy("kind", "label").orderBy("hash", "span", "before", "after")
-    found = rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= most).collect()
-    # as many stand for each as its full stratum has by the place of its last hash
-    last = {(r["kind"], r["label"]): r["hash"] for r in found if r["at"] == most}
-    learned = []
-    for r in sorted(found, key=lambda r: (r["hash"], r["kind"], r["label"], r["span"], r["before"], r["after"])):
-        stratum = r["kind"], r["label"]
-        weight = max(1.0, 2.0**64 / (last[stratum] + 2.0**63 + 1)) if stratum in last else 1.0
-        learned += _examples(r["label"], r["kind"], r["span"], r["before"], r["after"], weight)
-    return Selector(learned)
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["kind"] * 2 + r["label"], n == 0, *e) for r in batch.to_pylist() for n, e in enumerate(_examples(**r))]
+            stratum, own, label, fold, seen = zip(*rows, strict=True) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(c, pa.int32()) for c in (stratum, label, fold)),
+                    pa.array(own, pa.bool_()),
+                    pa.array([np.asarray(f, "<f4").tobytes() for f in seen], pa.binary()),
+                ],
+                names=["stratum", "label", "fold", "own", "features"],
+            )
+
+    candidates = docs.select("text").mapInArrow(examples, "label int, kind int, span string, before string, after string").distinct()
+    counted = materialize(
+        candidates.mapInArrow(featured, "stratum int, label int, fold int, own boolean, features binary")
+        .groupBy("stratum", "label", "fold", "own", "features")
+        .agg(F.count("*").alias("n"))
+    )
+    many = {r["stratum"]: r["n"] for r in counted.where("own").groupBy("stratum").agg(F.sum("n").alias("n")).collect()}
+    share = np.ones(2 * len(KINDS))
+    for stratum, n in many.items():
+        share[stratum] = min(1.0, sample / (2 * len(KINDS)) / n)
+
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(features, label, number, weight in the trees)."""
+        rows = buffers.buffer(batch.column("features"))[0].view("<f4").reshape(-1, WIDTH).astype(float)
+        n = batch.column("n").to_numpy().astype(float)
+        return rows, batch.column("label").to_numpy().astype(float), n, n * share[batch.column("stratum").to_numpy()]
+
+    def added(local: np.ndarray, of: DataFrame, one) -> np.ndarray:
+        """`local` and the sum of `one(batch)` over all batches."""
+        bits = int(np.ceil(np.log2(local.size)))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            total, some = np.zeros(1 << bits), False
+            for batch in batches:
+                if batch.num_rows:
+                    total[: local.size] += one(batch).ravel()
+                    some = True
+            if some:
+                yield array_rows(total, bits, TaskContext.get().partitionId() % LANES)
+
+        found = summed(of.mapInArrow(add, "shard int, lane int, counts binary"), bits, np.dtype("<f8"))
+        return local + found[: local.size].reshape(local.shape)
+
+    def spread(rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weight of every value of the features, and behind them that of either label."""
+        out = np.zeros((WIDTH + 1, SCALE))
+        for f in range(WIDTH):
+            out[f] = np.bincount((2 * rows[:, f]).astype(np.int64), weight, SCALE)
+        out[WIDTH, :2] = np.bincount(label.astype(np.int64), weight, 2)
+        return out
+
+    def spread_of(batch: pa.RecordBatch) -> np.ndarray:
+        rows, label, _, weight = columns(batch)
+        return spread(rows, label, weight)
+
+    rows, label, fold = _prior_examples()
+    ones, learned = np.ones(len(rows)), fold > 0
+    values = added(spread(rows[learned], label[learned], ones[learned]), counted.where("fold > 0"), spread_of)
+    no, yes = values[WIDTH, :2]
+    trees = Trees(_edges(values[:WIDTH], Trees.BINS), float(np.log((yes + 1) / (no + 1))))
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                seen, own, _, weight = columns(batch)
+                parts = trees.binned(seen), own, weight
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["binned", "label", "weight"])
+
+    def arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(row["binned"], np.uint8).reshape(-1, WIDTH), np.frombuffer(row["label"]), np.frombuffer(row["weight"])
+
+    table = counted.where("fold > 0")
+    few = table.count() <= FEW
+    blocks = materialize(table.mapInArrow(block, "binned binary, label binary, weight binary"))
+    here = [(trees.binned(rows[learned]), label[learned], ones[learned])]
+    if few:
+        here += map(arrays, blocks.collect())
+    blocks = blocks.rdd.map(arrays).cache()
+
+    def total(tree: tuple, level: int) -> np.ndarray:
+        found = sum(trees.sums(tree, level, *b) for b in here)
+        return found if few else found + blocks.map(lambda b: trees.sums(tree, level, *b)).treeReduce(np.add)
+
+    trees.grow(total)
+    blocks.unpersist()
+    held = ~learned
+
+    def held_of(batch: pa.RecordBatch) -> np.ndarray:
+        seen, own, n, _ = columns(batch)
+        return _held(trees, seen, own, n)
+
+    counts = added(_held(trees, rows[held], label[held], ones[held]), counted.where("fold = 0"), held_of)
+    return Selector(trees, counts.reshape(len(KINDS), 2, STEPS))
 
 
 def personal_spans(

@@ -155,6 +155,22 @@ def test_rare_kinds_are_selected(spark, rows):
     assert found("on 2024-01-02 at 10:11 it was 12/05/2021") == []
 
 
+def test_every_candidate_is_learned_from(spark, monkeypatch):
+    """The bound on the weight leaves no candidate out: all that are held out are in the counts behind the thresholds."""
+    rows = [(k, f"host 10.{k % 250}.{k // 250}.7 and {300 + k}.1.2.3, card {4000000000000000 + 7919 * k}, u{k}@mail.example.org") for k in range(600)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string").repartition(3)
+    model = pii.fit(docs, sample=16)
+    found = {r for _, t in rows for r in pii._example_rows(t)}
+    want = Counter((e[2][: len(pii.KINDS)].argmax(), e[0]) for r in [*found, *pii.prior_spans()] for e in pii._examples(*r) if e[1] == 0)
+    assert {(k, y): model.held[k, y].sum() for k in range(4) for y in (0, 1)} == {(k, y): want[k, y] for k in range(4) for y in (0, 1)}
+    assert len(found) > 1800
+    monkeypatch.setattr(pii, "FEW", 0)  # the sums of a level from tasks
+    monkeypatch.setattr(pii.Trees, "ROUNDS", 4)
+    far = pii.fit(docs, sample=16)
+    for a, b in zip(model.trees.trees[:4], far.trees.trees, strict=True):
+        assert all(np.allclose(x, y) for x, y in zip(a, b, strict=True))
+
+
 def test_attention_slopes():
     """Backward pass against differences."""
     rng = np.random.default_rng(0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyvox.functions.text import contains_any
+from tallyvox.functions.text import bind, contains_any
 
 # Caps, levels and reason texts of the risk score.
 SURGE_CAP = 40
@@ -21,7 +21,8 @@ HEAVY_KEY_PARTS = ["login", "payment", "charge", "refund"]
 MEDIUM_KEY_PARTS = ["crash", "stability"]
 
 # Fixed value: a ticket count claimed in a summary.
-CLAIM_PATTERN = r"(共\s*(\d+)\s*条|\d+)\s*条工单"
+CLAIM_END = "条工单"
+CLAIM_PATTERN = rf"(共\s*(\d+)\s*条|\d+)\s*{CLAIM_END}"
 
 
 def java_round(c: Column) -> Column:
@@ -68,5 +69,6 @@ def claimed_count(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     inner = F.regexp_extract(text, CLAIM_PATTERN, 2)
     outer = F.regexp_extract(text, CLAIM_PATTERN, 1)
-    digits = F.regexp_replace(F.when(inner != "", inner).otherwise(outer), r"\s", "")
-    return F.coalesce(digits.try_cast("int"), F.lit(0))
+    digits = F.regexp_replace(bind(inner, lambda x: F.when(x != "", x).otherwise(outer)), r"\s", "")
+    # The pattern is tried only on texts that hold its fixed end.
+    return F.coalesce(F.when(text.contains(CLAIM_END), digits.try_cast("int")), F.lit(0))

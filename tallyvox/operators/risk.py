@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.scores import POLICY_VERSION, claimed_count, risk_score, risk_weight
+from tallyvox.session import materialize, small_side
 
 HIGH_LEVELS = ["P0", "P1"]
 SCOPE_DAYS = {"DAILY": 1, "WEEKLY": 7}
@@ -136,11 +137,12 @@ def report_facts(
 def reconcile(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """Check rows per report: the summary's ticket count, each mention's upper bound, overrides.
 
-    `claims(report_id, ws, summary, mentions map<issue, n>)`, `facts(ws, total, issue_mentions)`.
+    `claims(report_id, ws, summary, mentions map<issue, n>)`, `facts(ws, total, issue_mentions)`. Counts are
+    read out of the summaries before the join, and facts of few workspaces go to every task, so no text is
+    shuffled and a workspace with most reports is not one task.
     """
-    joined = claims.join(facts.select("ws", "total", "issue_mentions"), "ws").withColumn(
-        "claimed", claimed_count(F.col("summary"))
-    )
+    counted = claims.select("report_id", "ws", "mentions", claimed_count(F.col("summary")).alias("claimed"))
+    joined = counted.join(small_side(materialize(facts.select("ws", "total", "issue_mentions"))), "ws")
     checks = F.concat(
         F.array(
             F.struct(

@@ -20,7 +20,7 @@ from tallyvox.operators import classify as cl
 from tallyvox.operators import ingest as ig
 from tallyvox.operators import topics as tp
 from tallyvox.plans.projection import alert_board
-from tallyvox.session import checkpoint_dir
+from tallyvox.session import checkpoint_dir, stored
 from tallyvox.sources import feedback_csv as fc
 from tallyvox.sources import rule_tables as rt
 from tallyvox.sources import sinks
@@ -472,9 +472,9 @@ def _(spark, sf):
         F.when(F.col("quality") == 1, "network").otherwise("topic_general").alias("scored_key"),
         (F.lit(0.5) + (F.col("doc_id") % 50) / 100.0).alias("scored_confidence"),
     )
-    rows = texts(spark, sf)
+    rows = stored(texts(spark, sf))  # read three times
     return cl.model_label_merge(
-        rows, labels(spark, sf), cl.expression_classify(rows, EXPRESSIONS), scored, [r.canonical_key for r in TOPICS]
+        rows, cl.topic_classify(rows, TOPICS), cl.expression_classify(rows, EXPRESSIONS), scored, [r.canonical_key for r in TOPICS]
     )
 
 
@@ -507,7 +507,8 @@ SELECT event_id, canonical_key, CASE WHEN {_any('w', LEXICON.positive)} AND {_an
 
 @query("topic_sentiment", with_tables("SELECT event_id, canonical_key, sentiment FROM t_sentiments"))
 def _(spark, sf):
-    return cl.topic_sentiment(texts(spark, sf), labels(spark, sf), LEXICON)
+    rows = stored(texts(spark, sf))  # read twice
+    return cl.topic_sentiment(rows, cl.topic_classify(rows, TOPICS), LEXICON)
 
 
 CTES["t_full_links"] = """

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvox.functions.text import contains_all, contains_any, hit_count, is_blank, longest_hit
+from tallyvox.session import materialize
 from tallyvox.sources import fixed_rules as fixed
 from tallyvox.sources.rule_tables import EXPRESSION_RULES, TOPIC_RULES, Rule
 
@@ -136,10 +137,11 @@ def model_label_merge(
 
     Accepted attempts become labels with method `llm`, the others fall back to the general topic.
     """
-    unlabelled = events.select("event_id", "normalized_text").join(labels, "event_id", "left_anti")
-    asked = F.col("expression").isin(LABEL_MODEL_EXPRESSIONS) & (
-        F.length("normalized_text") >= min_len
-    )
+    labels = materialize(labels)  # read twice
+    # Only the length of a text is needed: no text is shuffled.
+    lengths = events.select("event_id", F.length("normalized_text").alias("_length"))
+    unlabelled = lengths.join(labels, "event_id", "left_anti")
+    asked = F.col("expression").isin(LABEL_MODEL_EXPRESSIONS) & (F.col("_length") >= min_len)
     allowed = [k for k in topic_keys if k != fixed.GENERAL_TOPIC]
     attempts = (
         unlabelled.join(expressions.select("event_id", "expression"), "event_id", "left")

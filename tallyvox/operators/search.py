@@ -9,6 +9,9 @@ Vectors are pruned exactly: a task cuts its chunks into cells around pivots. No
 nearer to a question than its pivot's angle less the cell's radius allows, so a cell that cannot
 reach a question's k-th score so far is skipped. The rest are multiplied in single precision first;
 only pairs that may reach the k-th score, by the bound of its rounding, are scored in double precision.
+
+Trigrams are made inside the tasks, from the words of a text, and never leave them: three code points are
+one number, and the sorted numbers of a block of texts give the sets of all of them at once.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyvox.functions.text import trigrams
+from tallyvox.functions.text import word_text
 from tallyvox.operators.dashboard import ranked
 from tallyvox.session import checkpoint_dir, materialize
 
@@ -34,7 +37,11 @@ QUESTION_BYTES = 64 << 20
 CHUNK_BLOCK = 2_048
 PAIRS_AT_ONCE = 1 << 22
 SLACK = 1e-7  # what rounding may take from a bound
+TILE = 1 << 19  # pairs whose products stay in a core's cache
 HITS_AT_ONCE = 1 << 17
+CODE_BITS = 21  # of a code point
+DENSE_QUESTIONS, DENSE_CHUNKS = 1 << 24, 1 << 22  # entries of a table of questions or chunks by trigrams
+POSTINGS_COST = 200  # of one step along a posting list, in multiplications of a matrix product
 UNPRUNED = 7  # blocks of chunks taken whole after one where cells left little to skip
 
 # Weights and thresholds of the lexical arm.
@@ -56,6 +63,24 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.to_pandas().to_numpy()
 
 
+def _best_first(rows: np.ndarray, ids: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Order by row, score down, id. Rounded scores are whole numbers, so one number holds row and score."""
+    whole = np.rint(found * 10.0**SCORE_DIGITS).astype(np.int64)
+    gap = whole.max(initial=0) - whole
+    bits = int(gap.max(initial=0)).bit_length()
+    if len(rows) == 0 or bits + int(rows.max()).bit_length() > 62:
+        return np.lexsort((ids, -found, rows))
+    key = (rows.astype(np.int64) << bits) | gap
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    if len(tied):
+        some = order[tied]
+        order[tied] = some[np.lexsort((ids[some], key[tied]))]
+    return order
+
+
 class Best:
     """The k best chunks of every question so far; ties at the edge are settled by chunk id."""
 
@@ -86,9 +111,10 @@ class Best:
         if not self.parts:
             return None
         rows, ids, found = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.lexsort((ids, -found, rows))
+        order = _best_first(rows, ids, found)
         rows, ids, found = rows[order], ids[order], found[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        begin = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(rows)]])))
         last = place == self.k - 1
         self.floor[rows[last]] = found[last]
         best = place < self.k
@@ -101,6 +127,10 @@ class CosineKernel:
 
     columns = ("embedding",)
 
+    @staticmethod
+    def entries(column: str) -> Column:
+        return F.size(column)
+
     def __init__(self, exclude_same_id: bool = False):
         self.exclude_same_id = exclude_same_id
 
@@ -116,7 +146,7 @@ class CosineKernel:
 
     def _offer(self, best: Best, prepared: tuple, rows: np.ndarray, ids: np.ndarray, unit: np.ndarray, but: tuple | None = None) -> None:
         asked, questions = prepared
-        step = max(1, PAIRS_AT_ONCE // max(1, len(unit)))
+        step = max(1, TILE // max(1, len(unit)))
         small = unit.astype(np.float32)
         error = (unit.shape[1] + 4) * 2.0**-23 + 10.0**-SCORE_DIGITS
         for a in range(0, len(rows), step):
@@ -197,30 +227,60 @@ class CosineKernel:
             best.cut()
 
 
+def trigram_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct three-letter pieces of each text, by row and code.
+
+    `texts` holds words between blanks. A word is padded with two blanks left and one right; with three blanks
+    between words a piece belongs to a word if its second or its third place is no blank.
+    """
+    padded = [f"  {(t or '').replace(' ', '   ')} " for t in texts.to_pylist()]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in padded], dtype=np.int64)])
+    bits = int(points.max(initial=1)).bit_length()
+    mask, step = (1 << bits) - 1, 1 << max(0, 62 - 3 * bits)
+    rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(padded), step):
+        b = min(len(padded), a + step)
+        some = points[first[a] : first[b]]
+        key = (some[:-2] << (2 * bits)) | (some[1:-1] << bits) | some[2:]
+        key |= np.repeat(np.arange(b - a) << (3 * bits if b - a > 1 else 0), np.diff(first[a : b + 1]))[:-2]
+        key = key[(some[1:-1] != 32) | (some[2:] != 32)]
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        rows.append(a + (key >> (3 * bits)))
+        codes.append((((key >> (2 * bits)) & mask) << (2 * CODE_BITS)) | (((key >> bits) & mask) << CODE_BITS) | (key & mask))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
 class _Sets:
-    """Sets of hashed trigrams, as (row, place in the vocabulary) entries of those it knows."""
+    """Sets of trigrams, as (row, place in the vocabulary) entries of those it knows."""
 
-    def __init__(self, lists: pa.Array, vocabulary: np.ndarray):
-        self.sizes, flat = _lists(lists)
+    def __init__(self, texts: pa.Array, vocabulary: np.ndarray):
+        rows, flat = trigram_sets(texts)
+        self.sizes = np.bincount(rows, minlength=len(texts))
         place = np.searchsorted(vocabulary, flat)
         known = np.flatnonzero(vocabulary[np.minimum(place, len(vocabulary) - 1)] == flat) if len(vocabulary) else np.zeros(0, np.int64)
-        self.rows = np.repeat(np.arange(len(lists)), self.sizes)[known]
-        self.places = place[known]
+        self.rows, self.places = rows[known], place[known]
 
 
 class _Index(_Sets):
     """Posting lists of the questions: rows by trigram."""
 
-    def __init__(self, lists: pa.Array, vocabulary: np.ndarray):
-        super().__init__(lists, vocabulary)
+    def __init__(self, texts: pa.Array, vocabulary: np.ndarray):
+        super().__init__(texts, vocabulary)
+        self.vocabulary, self.own, self.table = len(vocabulary), self.places, None
+        self.own_rows = self.rows
         self.rows = self.rows[np.argsort(self.places, kind="stable")]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(self.places, minlength=len(vocabulary)))])
 
     def shared(self, other: _Sets) -> np.ndarray:
-        """Common trigrams of every question with every set, by walking the posting lists."""
+        """Common trigrams of every question with every set, by a matrix product or along the posting lists."""
         width = len(other.sizes)
-        out = np.zeros(len(self.sizes) * width, dtype=np.int64)
+        size = len(self.sizes) * self.vocabulary
         count = self.first[other.places + 1] - self.first[other.places]
+        if size <= DENSE_QUESTIONS and count.sum() * POSTINGS_COST > size * width:
+            return self._product(other)
+        out = np.zeros(len(self.sizes) * width, dtype=np.int64)
         stops = np.concatenate([[0], np.cumsum(count)])
         start = 0
         while start < len(count):
@@ -232,15 +292,33 @@ class _Index(_Sets):
             start = stop
         return out.reshape(len(self.sizes), width).astype(np.float64)
 
+    def _product(self, other: _Sets) -> np.ndarray:
+        """Counts below 2^24 are exact in single precision."""
+        if self.table is None:
+            self.table = np.zeros((len(self.sizes), self.vocabulary), np.float32)
+            self.table[self.own_rows, self.own] = 1
+        out = np.zeros((len(self.sizes), len(other.sizes)))
+        step = max(1, DENSE_CHUNKS // max(1, self.vocabulary))
+        for a in range(0, len(other.sizes), step):
+            some = slice(*np.searchsorted(other.rows, [a, a + step]))
+            chunks = np.zeros((min(step, len(other.sizes) - a), self.vocabulary), np.float32)
+            chunks[other.rows[some] - a, other.places[some]] = 1
+            out[:, a : a + step] = self.table @ chunks.T
+        return out
+
 
 class TrigramKernel:
-    """Weighted trigram similarity over title, section, version and body pieces, as hashed sets."""
+    """Weighted trigram similarity over the words of title, section, version and body."""
 
-    columns = ("q_tri", "e_tri")
+    columns = ("q_words", "e_words")
+
+    @staticmethod
+    def entries(column: str) -> Column:
+        return F.length(column) + 1  # a word has one piece more than letters
 
     def prepare(self, questions: pa.Table) -> tuple:
         plain, expanded = (questions.column(c).combine_chunks() for c in self.columns)
-        vocabulary = np.unique(np.concatenate([_lists(c)[1] for c in (plain, expanded)]))
+        vocabulary = np.unique(np.concatenate([trigram_sets(c)[1] for c in (plain, expanded)]))
         return _ids(questions.column("query_id")), vocabulary, _Index(plain, vocabulary), _Index(expanded, vocabulary)
 
     @staticmethod
@@ -259,7 +337,7 @@ class TrigramKernel:
     def score(self, prepared: tuple, chunks: pa.RecordBatch) -> np.ndarray:
         _, vocabulary, plain, expanded = prepared
         fields = {
-            name: _Sets(chunks.column(f"{name}_tri"), vocabulary)
+            name: _Sets(chunks.column(f"{name}_words"), vocabulary)
             for name in ("title", "section", "tag", "number", "body")
         }
         title = self._similarity(plain, fields["title"])
@@ -304,7 +382,7 @@ def top_k(
     types = {"query_id": questions.schema["query_id"].dataType, "chunk_id": chunks.schema["chunk_id"].dataType}
     names = [t.simpleString() for t in types.values()]
     size = questions.agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(F.greatest(F.size(c), F.lit(0))).alias(c) for c in kernel.columns)
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.greatest(kernel.entries(c), F.lit(0))).alias(c) for c in kernel.columns)
     ).first()
     blocks = max(1, -(-size["n"] // question_block), -(-8 * sum(size[c] or 0 for c in kernel.columns) // QUESTION_BYTES))
     if blocks > 1:  # every block reads both
@@ -364,21 +442,18 @@ def lexical_arm(
     questions: DataFrame, chunks: DataFrame, k: int = 40, question_block: int = QUESTION_BLOCK, chunk_block: int = CHUNK_BLOCK
 ) -> DataFrame:
     """`questions(query_id, text, expanded)` against chunk title, section, version and body."""
-    def hashed(text: F.Column) -> F.Column:
-        return F.transform(trigrams(text), lambda t: F.xxhash64(t))
-
     asked = questions.select(
         "query_id",
-        hashed(F.col("text")).alias("q_tri"),
-        hashed(F.col("expanded")).alias("e_tri"),
+        word_text(F.col("text")).alias("q_words"),
+        word_text(F.col("expanded")).alias("e_words"),
     )
     number = F.col("version_no").cast("string")
     indexed = _spread(chunks).select(
         "chunk_id",
-        hashed(F.col("title")).alias("title_tri"),
-        hashed(F.col("section_heading")).alias("section_tri"),
-        hashed(F.concat(F.lit("v"), number)).alias("tag_tri"),
-        hashed(number).alias("number_tri"),
-        hashed(F.coalesce("lexical_text", "content")).alias("body_tri"),
+        word_text(F.col("title")).alias("title_words"),
+        word_text(F.col("section_heading")).alias("section_words"),
+        word_text(F.concat(F.lit("v"), number)).alias("tag_words"),
+        word_text(number).alias("number_words"),
+        word_text(F.coalesce("lexical_text", "content")).alias("body_words"),
     )
     return top_k(asked, indexed, TrigramKernel(), k, question_block, chunk_block)

@@ -9,14 +9,16 @@ from tallyvox.functions.questions import force_abstain, query_expand
 from tallyvox.operators import retrieval as rt
 from tallyvox.operators import search
 from tallyvox.operators import selection as sl
-from tallyvox.session import materialize
+from tallyvox.session import materialize, small_side, stored
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, vector_k: int = 40, lexical_k: int = 40) -> dict[str, DataFrame]:
     """`questions(query_id, text, question_type, embedding)` over visible `chunks`.
 
-    Both arms run per sub-query; sub-query lists are fused, boosted, selected and gated.
+    Both arms run per sub-query; sub-query lists are fused, boosted, selected and gated. Chunks are
+    written once, because both arms, the identifiers and the described candidates read them.
     """
+    chunks = stored(chunks)
     parts = rt.split_subqueries(questions).join(questions.select("query_id", "embedding"), "query_id")
     keyed = materialize(
         parts.select(
@@ -36,8 +38,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vector_k: int = 40, lexica
     extra = rt.identifier_supplement(questions, chunks).select(
         "query_id", "chunk_id", "score", F.lit("lexical").alias("source_kind")
     )
-    candidates = rt.round_merge(merged, extra)
-    described = candidates.join(
+    candidates = materialize(rt.round_merge(merged, extra))
+    described = small_side(candidates).join(
         chunks.select("chunk_id", "document_id", "title", "section_heading", "content", "document_type"),
         "chunk_id",
     )

@@ -55,6 +55,8 @@ def test_signals_are_found_once(spark):
     asked = spark.createDataFrame([(1, "alpha v1.2 alpha gamma"), (2, "first entry和second entry"), (3, None), (4, "")], "query_id long, text string")
     rows = sl.signal_rows(sl.entity_signals(asked))
     assert not re.search(r"Filter \(+size\(", plan_of(rows))  # an inferred one would find them a second time
+    generated = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")[1]
+    assert re.match(r"\([^\n]*?\), \[1(, [2-9])*\], true", generated), generated  # all but the id ends here
     got = {(r.query_id, r.group_no): r for r in rows.collect()}
     assert sorted(got) == [(1, 0), (2, 1), (2, 2), (3, 0), (4, 0)]
     assert got[1, 0].tokens == ["1.2", "alpha", "alph", "v1.2", "gamma", "gamm"] and got[1, 0].versions == ["1.2"]

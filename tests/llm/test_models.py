@@ -293,3 +293,35 @@ def test_generators_propose_what_the_trees_are_taught():
     for text in (f"write {'n' * 90} [at] mail [dot] example [dot] org", "x(at)example(dot)org", "call 0014155551234 now"):
         assert any(e - s > 12 for s, _, e in pii.wide_spans(text, []))
     assert pii.wide_spans(f"{'n' * 90} [at] mail [dot] org", [])[0][0] == 0
+
+
+def test_training_step_is_few_calls():
+    import sys
+
+    rng = np.random.default_rng(9)
+    classes = attention.Classes(rng.integers(0, 50, 600), rng.random(600) < 0.4)
+    rows = rng.integers(-1, attention.CLASSES, (320, attention.WINDOW + 1)).astype(np.int16)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "c_call"
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        trained = attention.train(attention.start(classes), rows)
+    finally:
+        sys.setprofile(before)
+    assert calls < 250 * 10  # ten steps; a loop with its own sums for each of the 16 groups makes more
+    assert all(v.dtype == np.float32 and np.isfinite(v).all() for v in trained.values())
+
+
+def test_large_exponents():
+    rng = np.random.default_rng(10)
+    classes = attention.Classes(rng.integers(0, 50, 600), rng.random(600) < 0.4)
+    p = {k: v * (30 if k in ("qkv", "embed", "u") else 1) for k, v in attention.start(classes).items()}
+    c, t = (rng.integers(0, attention.CLASSES, (3, attention.WINDOW)) for _ in range(2))
+    slopes = attention._slopes(p, c, t, np.ones(t.shape, np.float32))
+    assert all(np.isfinite(v).all() for v in slopes.values())
+    assert np.isfinite(attention.window_scores(p, c, t, 0)[0]).all()

@@ -35,9 +35,8 @@ def build(ids: np.ndarray, bits: int) -> bytes:
     level = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     parts = [MAGIC, struct.pack("<IQ", bits, len(level))]
     for p in range(bits - 1, -1, -1):
-        bit = (level >> np.array(p, level.dtype)) & 1
-        ones = bit.astype(bool)
-        plane = np.packbits(bit)
+        ones = (level & level.dtype.type(1 << p)).astype(bool)
+        plane = np.packbits(ones)
         counts = np.add.reduceat(_ONES[plane].astype(np.uint32), np.arange(0, len(plane), BLOCK)) if len(plane) else np.zeros(0, np.uint32)
         rank = zlib.compress((np.cumsum(counts) - counts).astype("<u4").tobytes(), 1)
         raw = plane.tobytes()
@@ -46,7 +45,8 @@ def build(ids: np.ndarray, bits: int) -> bytes:
         parts.append(struct.pack("<QII", len(zeros), len(rank), len(chunks)))
         parts.append(np.array([len(c) for c in chunks], "<u4").tobytes())
         parts += [rank, *chunks]
-        level = np.concatenate([zeros, level[ones]])
+        if p:
+            level = np.concatenate([zeros, level[ones]])
     return b"".join(parts)
 
 

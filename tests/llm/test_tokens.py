@@ -163,3 +163,50 @@ def test_mirrored_words_differ(spark):
 
     rows = [(k, " ".join([t + s for s in "xyzuvw"])) for k, t in enumerate(mirrored())]
     assert [r.kept for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()] == [True, True]
+
+
+def test_equal_spans():
+    from tallyvox.llm import spans
+
+    texts = [b"", b"a", b"b", b"abcdefgh", b"abcdefgx", b"abcdefghi", b"abcdefghj", b"abcdefghijklmnopq", b"abcdefghijklmnopx", b"zz"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    found = spans.equal(data, at[:-1][a], at[1:][a], data, at[:-1][b], at[1:][b])
+    assert found.tolist() == [texts[i] == texts[j] for i, j in zip(a, b, strict=True)]
+
+
+def test_short_spans_are_compared_at_once(monkeypatch):
+    from tallyvox.llm import spans
+
+    long = []
+    inner = spans._chunks
+    monkeypatch.setattr(spans, "_chunks", lambda data, starts, size: long.append(len(starts)) or inner(data, starts, size))
+    data = np.frombuffer(b" the cat sat on the extraordinarily" * 9, np.uint8)
+    starts = np.flatnonzero(data == 32)
+    ends = np.append(starts[1:], len(data))
+    assert spans.equal(data, starts, ends, data, starts, ends).all()
+    assert sum(long) == 2 * 9  # the only ones over eight bytes, in either buffer
+
+
+def test_planes_are_packed_from_bits(monkeypatch):
+    kinds, inner = [], np.packbits
+    monkeypatch.setattr(np, "packbits", lambda a, *more: kinds.append(a.dtype) or inner(a, *more))
+    ids = np.random.default_rng(4).integers(0, 1 << 16, 5000).astype(np.uint32)
+    file = wavelet.build(ids, 16)
+    monkeypatch.undo()
+    assert kinds == [np.dtype(bool)] * 16  # wider ones are packed thirty times slower
+    assert (wavelet.WaveletMatrix(file).ids() == ids).all()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_without_offsets(path, name):
+    from tallyvox.llm import tokens
+
+    units = [f" w{k} é{k}".encode() for k in range(40_000)] + [b"", b"a <|endoftext|> b", b"x" * 5000, " 日本".encode()]
+    ids, counts = tokens.library_encoder(path(name)).encode(units)
+    own = Tokenizer.from_file(path(name))
+    some = [*range(0, len(units), 997), *range(len(units) - 4, len(units)), 511, 512, 16_383, 16_384]
+    begin = np.cumsum(counts) - counts
+    for k in some:
+        assert ids[begin[k] : begin[k] + counts[k]].tolist() == own.encode(units[k].decode(), add_special_tokens=False).ids

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tallyvox.catalog import feedback as fb
 from tallyvox.catalog import gold as gd
 from tallyvox.catalog import inputs as src
 from tallyvox.catalog import knowledge as kn
-from tallyvox.catalog.base import QUERIES
+from tallyvox.catalog.base import QUERIES, SQL
 from tallyvox.functions import text as tx
 from tallyvox.operators import classify as cl
 from tallyvox.operators import risk as rk
@@ -62,6 +63,32 @@ def test_signals_are_found_once(spark):
     assert got[1, 0].tokens == ["1.2", "alpha", "alph", "v1.2", "gamma", "gamm"] and got[1, 0].versions == ["1.2"]
 
 
+def test_entity_signals_are_all_shown(spark, tmp_path):
+    texts = {5: "Alpha v1.2 alpha gamma", 11: "first FAQ entry ab-123和second 热修 v2.10 说明", 17: None, 2: "unread", 23: "a1.2 é3.4的 5.6.7，一二三四五六七八九，网络卡顿\x01 Sop"}
+    rows = [(i, t, "en", "web", 1) for i, t in texts.items()] + [(5, texts[5], "en", "web", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["entity_signals"](spark, str(tmp_path))
+    got = [r.asDict() for r in found.collect()]
+    # Tokens, versions, identifiers and title anchors of each group.
+    groups = "first,firs,faq,entry,entr,ab-123,ab-1;;AB-123;faq|2.10,second,seco,热修,v2.10,v2.1;2.10;;热修"
+    names = ["question_type", "n_versions", "n_hints", "n_ids", "tokens", "versions", "ids", "hints", "groups"]
+    want = {
+        2: ("CHITCHAT", 0, 0, 0, "hi", "", "", "", ""),
+        5: ("SINGLE_DOCUMENT_FACT", 1, 0, 0, "1.2|alpha|alph|v1.2|gamma|gamm", "1.2", "", "", ""),
+        11: (None, 1, 2, 1, "first|firs|faq|entry|entr|ab-123|ab-1|2.10|second|seco|热修|v2.10|v2.1", "2.10", "AB-123", "faq|release", groups),
+        17: ("SINGLE_DOCUMENT_FACT", 0, 0, 0, "", "", "", "", ""),
+        23: (
+            None, 1, 0, 0, "5.6.7|a1.2|é3.4的|é3.4|5.6.|一二三四五六七八九|一二三四|一二三四五六七八|一二|网络卡顿|sop|网络", "5.6.7", "", "",
+            "5.6.7,a1.2,é3.4的,é3.4,5.6.;5.6.7;;|一二三四五六七八九,一二三四,一二三四五六七八,一二;;;|网络卡顿,sop,网络;;;sop",
+        ),
+    }
+    assert len(got) == len(rows) and all(tuple(r[n] for n in names) == want[r["query_id"]] for r in got), got
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    plain = db.execute(f"SELECT {', '.join(found.columns)} FROM ({SQL['entity_signals']}) q").fetchall()
+    assert sorted(map(str, plain)) == sorted(str(tuple(r.values())) for r in got)
+
+
 def test_model_labels_shuffle_no_text(spark):
     events = spark.createDataFrame([(1, "x" * 20), (2, "the"), (3, "y")], "event_id long, normalized_text string")
     expressions = events.select("event_id", F.lit("expr_complaint").alias("expression"))

@@ -60,6 +60,17 @@ def test_question_texts(spark):
     assert not value(spark, qs.force_abstain(F.lit("登录失败怎么办"), F.lit("SINGLE_DOCUMENT_FACT")))
 
 
+def test_plain_titles_have_the_same_tokens_and_anchors(spark):
+    words = ["", "a", "ab", "abcd", "abcde", "straße", "é1.2", "v1.2.3", "😀😀😀😀😀", "$1", "\\", "faq", "postmortem", "sop", "abcde", "\u3000x", "ab-123"]
+    titles = [sep.join(words[i:] + words[:i]) for sep in (" ", "; ", "\t?\n", "：") for i in range(len(words))] + ["", "x"]
+    rows = spark.createDataFrame([(t,) for t in titles], "title string")
+    title = F.col("title")
+    general = qs._tokens(qs.versions(title), F.regexp_replace(title, qs.TOKEN_EDGES, " "))
+    for r in rows.select("title", general.alias("want"), qs.entity_tokens(title).alias("tokens"), qs.title_anchors(title).alias("anchors")).collect():
+        assert r.tokens == r.want
+        assert r.anchors == [a for a in ("faq", "postmortem", "sop") if a in r.title]
+
+
 def test_scores(spark):
     r = value(spark, risk_score(F.lit(8.0), F.lit(100), F.lit(20), F.lit(4)))
     assert (r["score"], r["level"]) == (89, "P0")
